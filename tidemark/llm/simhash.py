@@ -155,9 +155,10 @@ def link_within(own: np.ndarray, guests: np.ndarray, fp: np.ndarray, radius: int
             point, cut = _vantage(np.sort(fp[own]))
             d = distance(fp[own], point)
             near = d <= cut
-            if 0 < near.sum() < len(own):
-                g = distance(fp[guests], point).astype(np.int64)
-                todo += [(own[near], guests[g - radius <= cut]), (own[~near], guests[g + radius > cut])]
+            g = distance(fp[guests], point).astype(np.int64)
+            inner, outer = guests[g - radius <= cut], guests[g + radius > cut]
+            if 0 < near.sum() < len(own) and len(inner) + len(outer) < 1.6 * len(guests):  # else the bounds prune too little
+                todo += [(own[near], inner), (own[~near], outer)]
                 continue
         step = max(1, brute // len(guests))
         for a in range(0, len(own), step):
