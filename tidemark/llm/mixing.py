@@ -86,25 +86,45 @@ def thresholds(base: DataFrame, budgets: DataFrame, n_sources: int, levels: Sequ
     return found
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: key, source, size, source_size, target, copies and taken (= copies * size).
+def mix_plan(base: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS) -> tuple[DataFrame, int]:
+    """How often each source of base (source, size, h) is taken, and how many sources there are.
 
-    A source whose target exceeds its size takes every document floor(target / size) times and, of the next repeat,
-    the documents under its threshold. Null sources are one source; null keys, empty texts and an empty table are allowed
-    (a document of size 0 takes 0). The same rows give the same result, in any order and partitioning.
+    Columns: source, source_size, target, whole (times that every document is taken) and below (see thresholds).
     """
-    base = materialize(sized(docs, key, text, source), "mix_sizes")
     by_source = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(mix_targets(by_source, weights, most), "mix_targets")
     n = targets.count()
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     below = thresholds(base, targets.select("source", "budget"), n)
-    plan = targets.alias("t").join(below.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")), "left").select("t.*", "b.below")
-    out = join_small(base, plan, n, ["source"], salt="h")
+    return targets.alias("t").join(below.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")), "left").select("t.*", "b.below").drop("budget"), n
+
+
+def take(rows: DataFrame, plan: DataFrame, n_sources: int, most: int = MOST_REPEATS) -> DataFrame:
+    """rows (source, h and others) with source_size, target and copies, the times that the plan takes each."""
+    out = join_small(rows, plan, n_sources, ["source"], salt="h")
     one = F.when(F.col("h").bitwiseXOR(F.lit(-(2**63))) < F.col("below"), F.lit(1)).otherwise(F.lit(0))
-    copies = F.least(F.col("whole") + one, F.lit(most))
-    return out.withColumn("copies", copies).select(key, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.withColumn("copies", F.least(F.col("whole") + one, F.lit(most))).drop("whole", "below")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """One row per document: key, source, size, source_size, target, copies and taken (= copies * size).
+
+    A source whose target exceeds its size takes every document floor(target / size) times and, of the next repeat,
+    the documents under its threshold. Null sources are one source; null keys, empty texts and an empty table are allowed
+    (a document of size 0 takes 0). The same rows give the same result, in any order and partitioning.
+    """
+    base = materialize(sized(docs, key, text, source), "mix_sizes")
+    out = take(base, *mix_plan(base, weights, most), most)
+    return out.select(key, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeat_taken(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
+    base = materialize(sized(docs, key, text, source), "mix_sizes")
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.xxhash64(key, text).alias("h"))
+    out = take(rows, *mix_plan(base, weights, most), most).filter(F.col("copies") > 0)
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
