@@ -41,7 +41,8 @@ def asof_latest(left: DataFrame, right: DataFrame, by: str, ts: str, tie: str, v
     The time line is cut into spans at quantiles; each (by, span) is a window of its own, begun with what the spans
     before it leave behind. A row with a null `by` or ts finds nothing.
     """
-    cuts = right.filter(F.col(ts).isNotNull()).select(F.col(ts).cast("double").alias("t")).approxQuantile("t", [k / spans for k in range(1, spans)], 0.002)
+    probes = [k / spans for k in range(1, spans)]
+    cuts = (right.agg(F.percentile_approx(F.col(ts).cast("double"), probes, 1000).alias("c")).first()["c"] or []) if probes else []
     place = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c <= F.col(ts).cast("double"))) if cuts else F.lit(0)
     r = right.filter(F.col(by).isNotNull() & F.col(ts).isNotNull()).select(F.col(by).alias("__by"), place.alias("__span"), F.col(ts).alias("__ts"), F.col(tie).alias("__tie"), value.alias("__value"))
     last = r.groupBy("__by", "__span").agg(F.max_by("__value", F.struct("__ts", "__tie")).alias("__value"))
