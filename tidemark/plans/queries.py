@@ -236,7 +236,7 @@ def daily_context(spark: SparkSession, d: str) -> DataFrame:
     days = fx.daily_bars(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("session_date")))
     e = fx.events(spark, d).select(*KEY)
     at = e.join(days.select("symbol", "session_date", F.col("n").alias("at")), "symbol").filter("session_date >= earnings_date").groupBy(*KEY).agg(F.min("at").alias("at"))
-    return rounded(at.join(days, "symbol").filter("n BETWEEN at - 3 AND at + 2").select(*KEY, (F.col("n") - F.col("at")).alias("rel"), "close"), 4)
+    return at.join(days, "symbol").filter("n BETWEEN at - 3 AND at + 2").select(*KEY, (F.col("n") - F.col("at")).alias("rel"), "session_date", "volume")
 
 
 def export_flatten(spark: SparkSession, d: str) -> DataFrame:
@@ -403,7 +403,7 @@ CASE WHEN reaction_class = 'insufficient_data' AND reason IS NULL THEN 'insuffic
 CASE WHEN observed_minutes < 95 THEN 'thin_window' END], lambda x: x IS NOT NULL)) AS rule FROM feat""",
     "daily_context": f"""WITH {fx.DUCK_EVENTS}, {fx.DUCK_DAILY}, d AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session_date) AS n FROM daily),
 a AS (SELECT ev.symbol, earnings_date, min(n) AS n0 FROM ev JOIN d ON ev.symbol = d.symbol AND session_date >= earnings_date GROUP BY ALL)
-SELECT a.symbol, earnings_date, CAST(n - n0 AS INT) AS rel, round(close, 4) AS close FROM a JOIN d ON a.symbol = d.symbol AND n BETWEEN n0 - 3 AND n0 + 2""",
+SELECT a.symbol, earnings_date, CAST(n - n0 AS INT) AS rel, session_date, volume FROM a JOIN d ON a.symbol = d.symbol AND n BETWEEN n0 - 3 AND n0 + 2""",
     "export_flatten": f"""{_U} SELECT symbol, strftime(earnings_date, '%Y-%m-%d') AS earnings_date, array_to_string(list_filter([CASE WHEN stale THEN 'stale' END, CASE WHEN early_close THEN 'early_close' END,
 CASE WHEN backfilled THEN 'backfilled' END], lambda x: x IS NOT NULL), ';') AS flags, coalesce(reaction_class, '') AS reaction_class FROM u""",
 }
