@@ -73,33 +73,30 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     A null or empty text has no words: counts 0, ratios over words null, ratios over lines 0.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
-    w = F.col("__words")
     gone = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
     plain = lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?")))
-    out = docs.withColumns({"__words": words(F.col(text)), "__lines": lines}).withColumns(
-        {
-            "n_words": F.size(w).cast("long"),
-            "word_chars": F.length(F.array_join(w, "")).cast("long"),
-            "n_symbols": gone(r"[#*$%&|<>]").cast("long"),
-            "__marks": gone(r"[!?]").cast("long"),
-            "__n_lines": F.size("__lines").cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": repeat_words(w),
-            "__stop": F.size(F.filter(w, lambda x: plain(x).isin(STOP_WORDS))).cast("long"),
-        }
+    of_words = let(
+        words(F.col(text)),
+        lambda w: F.struct(
+            F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), repeat_words(w).alias("repeats"), F.size(F.filter(w, lambda x: plain(x).isin(STOP_WORDS))).alias("stops")
+        ),
     )
-    per_word = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words"))
-    return out.withColumns(
-        {
-            "mean_word_chars": per_word("word_chars"),
-            "symbols_per_word": per_word("n_symbols"),
-            "marks_per_word": per_word("__marks"),
-            "stop_words_per_word": per_word("__stop"),
-            "repeat_word_ratio": per_word("n_repeat_words"),
-            "dup_line_ratio": F.when(F.col("__n_lines") > 0, F.col("n_dup_lines") / F.col("__n_lines")).otherwise(0.0),
-        }
-    ).drop("__words", "__lines", "__marks", "__n_lines", "__stop")
+    of_lines = let(
+        F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \t-\r]")),
+        lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dups")),
+    )
+    # a generator keeps the optimizer from copying these expressions to each place that uses a measure
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbols_per_word", "marks_per_word", "stop_words_per_word", "repeat_word_ratio", "dup_line_ratio"]
+    once = F.struct(of_words.alias("w"), of_lines.alias("l"), gone(r"[#*$%&|<>]").alias("symbols"), gone(r"[!?]").alias("marks"))
+    out = docs.drop(*names).select("*", F.explode(F.array(once)).alias("__m"))
+    m = F.col("__m")
+    per_word = lambda c: F.when(m["w"]["n"] > 0, c / m["w"]["n"])
+    values = [
+        m["w"]["n"].cast("long"), m["w"]["chars"].cast("long"), m["symbols"].cast("long"), m["l"]["dups"].cast("long"), m["w"]["repeats"].cast("long"),
+        per_word(m["w"]["chars"]), per_word(m["symbols"]), per_word(m["marks"]), per_word(m["w"]["stops"]), per_word(m["w"]["repeats"]),
+        F.when(m["l"]["n"] > 0, m["l"]["dups"] / m["l"]["n"]).otherwise(0.0),
+    ]
+    return out.withColumns(dict(zip(names, values, strict=True))).drop("__m")
 
 
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
