@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def minute_bars(ticks: DataFrame, bucket: str = "1 minute") -> DataFrame:
+def minute_bars(ticks: DataFrame, bucket: str = "1 minute", time: str | None = None) -> DataFrame:
     """OHLCV per symbol and bucket of the event time (else the time received); ticks without a last price are left out.
 
+    time names the column to bucket by; a stream needs its watermark's own column.
+
     Volume is the last cumulative volume less the first; null if negative or missing. Works on batches and streams.
     """
-    t = ticks.filter(F.col("last").isNotNull()).withColumn("at", F.coalesce("event_timestamp", "received_at"))
+    t = ticks.filter(F.col("last").isNotNull())
+    t = t.withColumn("at", F.coalesce("event_timestamp", "received_at")) if time is None else t.withColumn("at", F.col(time))
     order = F.struct("at", "received_at", "event_id")
     gap = F.max_by("volume", order) - F.min_by("volume", order)
-    b = t.groupBy("symbol", F.window("at", bucket).alias("w")).agg(
+    b = t.groupBy("symbol", F.window(time or "at", bucket).alias("w")).agg(
         F.min_by("last", order).alias("open"), F.max("last").alias("high"), F.min("last").alias("low"), F.max_by("last", order).alias("close"), gap.alias("gap"), F.count("*").alias("ticks")
     )
     return b.select("symbol", F.col("w.start").alias("bar_ts"), "open", "high", "low", "close", F.when(F.col("gap") >= 0, F.col("gap")).alias("volume"), "ticks")
