@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars as b
-from ..operators import ledger, reaction, research
+from ..operators import integrity, ledger, reaction, research
 from ..operators.outcome import outcomes as outcome_rows
 from ..operators.reaction import HORIZONS, KEY
+from ..sources import calendar as cal
 from ..sources import fixtures as fx
 
 NOW = "2030-01-01 00:00:00"
@@ -245,9 +246,40 @@ def export_flatten(spark: SparkSession, d: str) -> DataFrame:
     return u.select("symbol", F.date_format("earnings_date", "yyyy-MM-dd").alias("earnings_date"), F.array_join(flags, ";").alias("flags"), F.coalesce("reaction_class", F.lit("")).alias("reaction_class"))
 
 
+def _calendar(spark: SparkSession, d: str) -> DataFrame:
+    r = fx.read(spark, d, "orders").agg(F.min(F.year("o_orderdate")).alias("a"), F.max(F.year("o_orderdate")).alias("b")).first()
+    return cal.calendar(spark, (r["a"] or 1992) - 1, (r["b"] or 1998) + 1)
+
+
+def trading_days(spark: SparkSession, d: str) -> DataFrame:
+    """Every order date: whether it is a session, and the sessions around it."""
+    days = fx.read(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return days.join(F.broadcast(_calendar(spark, d)), "day")
+
+
+def phase_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return cal.phase_bounds(fx.events(spark, d).select(*KEY), _calendar(spark, d))
+
+
+def key_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Bars that share a key, and symbols with daily bars that no event has."""
+    e = fx.events(spark, d)
+    again = integrity.repeated_keys(fx.bars(e), [*KEY, "phase", "minute"]).select(F.lit("repeated_key").alias("rule"), "symbol", "earnings_date", "n")
+    lost = integrity.orphans(fx.daily_bars(spark, d), e, ["symbol"])
+    return again.unionByName(lost.select(F.lit("orphan").alias("rule"), "symbol", F.lit(None).cast("date").alias("earnings_date"), "n"))
+
+
+def append_only_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Earlier rows that a later snapshot (some rows edited, some added) no longer holds."""
+    e = fx.read(spark, d, "events").select("event_id", "event_type")
+    later = e.withColumn("event_type", F.when(F.col("event_id") % 97 == 0, F.lit("edited")).otherwise(F.col("event_type")))
+    return integrity.changed_rows(e.filter("event_id % 5 <> 0"), later)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        trading_days, phase_bounds, key_violations, append_only_changes,
         reaction_features, class_distribution, monthly_counts, class_by_direction, retention_histogram, liquidity_quartiles, first_cross, checkpoint_asof,
         vwap_proxy, day_bars, minute_bars, latest_quote, degradation_reasons, changed_snapshots, authoritative_bars, coverage_summary, coverage_audit, outcomes,
         cohort_page, cohort_counts, exclusion_reasons, quality_issues, scatter_series, liquidity_floor, upsert_events, append_only_new_rows, coverage_replace,
@@ -335,7 +367,41 @@ _MEMBERS = f"""{_U}, {_OUT}, om AS (SELECT symbol, earnings_date, regular_close_
 mem AS (SELECT u.symbol, u.earnings_date, delay_minutes, metric, {_WHY}, CASE WHEN metric IS NULL THEN 'outcome_missing' END], lambda x: x IS NOT NULL) AS why
         FROM u LEFT JOIN om ON u.symbol = om.symbol AND u.earnings_date = om.earnings_date WHERE u.earnings_date BETWEEN DATE '{DEV[0]}' AND DATE '{DEV[1]}')"""
 
+#: Good Fridays, as given dates; they must cover the tables' years and one on each side.
+_GOOD_FRIDAYS = (
+    "1991-03-29", "1992-04-17", "1993-04-09", "1994-04-01", "1995-04-14", "1996-04-05", "1997-03-28", "1998-04-10", "1999-04-02",
+    "2000-04-21", "2001-04-13", "2002-03-29", "2003-04-18", "2004-04-09", "2005-03-25",
+)
+_NTH = "SELECT d + CAST((7 + {dow} - isodow(d)) % 7 AS INT) + {skip} FROM (SELECT make_date(y, {month}, 1) AS d FROM yr{when})"
+_CAL = f"""yr AS (SELECT CAST(unnest(range((SELECT min(year(o_orderdate)) FROM orders) - 1, (SELECT max(year(o_orderdate)) FROM orders) + 2)) AS INT) AS y),
+thanks AS ({_NTH.format(dow=4, skip=21, month=11, when="").replace(" FROM (", " AS d FROM (", 1)}),
+hol(d) AS (SELECT CASE isodow(d) WHEN 6 THEN d - 1 WHEN 7 THEN d + 1 ELSE d END FROM (SELECT make_date(y, 7, 4) AS d FROM yr UNION ALL SELECT make_date(y, 12, 25) FROM yr)
+  UNION ALL SELECT CASE isodow(d) WHEN 7 THEN d + 1 ELSE d END FROM (SELECT make_date(y, 1, 1) AS d FROM yr)
+  UNION ALL {_NTH.format(dow=1, skip=14, month=2, when="")} UNION ALL {_NTH.format(dow=1, skip=14, month=1, when=" WHERE y >= 1998")} UNION ALL {_NTH.format(dow=1, skip=0, month=9, when="")}
+  UNION ALL SELECT d FROM thanks UNION ALL SELECT d - CAST(isodow(d) - 1 AS INT) FROM (SELECT make_date(y, 5, 31) AS d FROM yr)
+  UNION ALL SELECT CAST(unnest({list(_GOOD_FRIDAYS)}) AS DATE)),
+day0 AS (SELECT CAST(unnest(range(make_date((SELECT min(y) FROM yr), 1, 1), make_date((SELECT max(y) FROM yr) + 1, 1, 1), INTERVAL 1 DAY)) AS DATE) AS day),
+day1 AS (SELECT day, isodow(day) < 6 AND day NOT IN (SELECT d FROM hol) AS is_session FROM day0),
+day2 AS (SELECT *, is_session AND (day IN (SELECT d + 1 FROM thanks) OR strftime(day, '%m-%d') = '12-24' OR (strftime(day, '%m-%d') = '07-03' AND isodow(day) < 5)) AS early_close,
+  CASE WHEN is_session THEN day END AS s FROM day1),
+cal AS (SELECT day, is_session, early_close, max(s) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous,
+  min(s) OVER (ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next, max(s) OVER (ORDER BY day) AS latest FROM day2)"""
+#: Hours that New York was behind UTC in these years: daylight time from the first Sunday of April to the last of October.
+_BEHIND = """CASE WHEN market_date >= make_date(year(market_date), 4, 1) + CAST((7 - isodow(make_date(year(market_date), 4, 1))) AS INT)
+  AND market_date < make_date(year(market_date), 10, 31) - CAST(isodow(make_date(year(market_date), 10, 31)) % 7 AS INT) THEN 4 ELSE 5 END"""
+
 ORACLE_SQL = {
+    "trading_days": f"WITH {_CAL} SELECT * FROM cal WHERE day IN (SELECT CAST(o_orderdate AS DATE) FROM orders)",
+    "phase_bounds": f"""WITH {fx.DUCK_EVENTS}, {_CAL}, ph AS (SELECT symbol, earnings_date, phase, CASE WHEN phase LIKE 'following%' THEN next ELSE earnings_date END AS market_date
+  FROM ev JOIN cal ON day = earnings_date, (VALUES ('earnings_regular'), ('earnings_postmarket'), ('following_premarket'), ('following_regular')) v(phase)),
+pb AS (SELECT ph.*, {_BEHIND} * 60 AS z, CASE WHEN early_close THEN 780 ELSE 960 END AS shut FROM ph JOIN cal ON day = market_date WHERE is_session)
+SELECT symbol, earnings_date, phase, market_date,
+CAST(market_date AS TIMESTAMP) + (z + CASE phase WHEN 'earnings_postmarket' THEN shut WHEN 'following_premarket' THEN 420 ELSE 570 END) * INTERVAL 1 MINUTE AS expected_start,
+CAST(market_date AS TIMESTAMP) + (z + CASE phase WHEN 'earnings_postmarket' THEN 1200 WHEN 'following_premarket' THEN 570 ELSE shut END) * INTERVAL 1 MINUTE AS expected_end FROM pb""",
+    "key_violations": f"""WITH {fx.DUCK_EVENTS}, {fx.DUCK_BARS}, {fx.DUCK_DAILY}
+SELECT 'repeated_key' AS rule, symbol, earnings_date, count(*) AS n FROM bar GROUP BY symbol, earnings_date, phase, minute HAVING count(*) > 1
+UNION ALL SELECT 'orphan', symbol, NULL, count(*) FROM daily WHERE symbol NOT IN (SELECT symbol FROM ev) GROUP BY symbol""",
+    "append_only_changes": "SELECT event_id, event_type FROM events WHERE event_id % 5 <> 0 AND event_id % 97 = 0 AND event_type <> 'edited'",
     "reaction_features": f"{_HEAD} SELECT symbol, earnings_date, reaction_class, reason, direction, delay_minutes, observed_minutes, {', '.join(f'volume_{h}m' for h in HORIZONS)}, {_ROUND(_NUM)} FROM feat",
     "class_distribution": f"{_U} SELECT coalesce(reaction_class, 'not_analyzed') AS reaction_class, count(*) AS n FROM u GROUP BY ALL",
     "monthly_counts": f"{_U} SELECT strftime(earnings_date, '%Y-%m') AS month, count(*) FILTER (reaction_class <> 'insufficient_data') AS analyzed, count(*) AS total FROM u GROUP BY ALL",
