@@ -7,7 +7,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans.queries import ORACLE_SQL, QUERIES
+from tidemark.plans import operations, queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | operations.QUERIES, queries.ORACLE_SQL | operations.ORACLE_SQL
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
