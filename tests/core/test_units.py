@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import bar_problem, norm_symbol, pct_change, row_digest, stale_is_fatal, surprise_pct
-from tidemark.operators import ledger, reaction
+from tidemark.operators import ledger, reaction, research
 from tidemark.operators.bars import minute_bars
 from tidemark.sources import fixtures as fx
 from tidemark.streaming.bars import stream_minute_bars, stream_quotes
@@ -95,3 +95,22 @@ def test_streamed_bars_equal_batch(spark, tmp_path):
     for k in ("c1", "c2"):
         stream_quotes(read, f"{tmp_path}/quotes", f"{tmp_path}/{k}", ["event_id"]).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/quotes").count() == t.count()
+
+
+def test_orders_put_nulls_where_they_belong(spark):
+    u = spark.createDataFrame(
+        [("A", DAY, -3.0, 1.0, 105), ("B", DAY, 2.0, None, 50), ("C", dt.date(2024, 3, 5), None, 2.0, None), ("D", DAY, 2.0, 0.5, 80)],
+        "symbol string, earnings_date date, initial_return double, retention double, observed_minutes int",
+    ).withColumns({c: F.lit(None).cast("double") for c in ("return_105m", "delay_minutes", "volume_105m", "eps_surprise")})
+    page = lambda by, **k: "".join(r["symbol"] for r in research.cohort_page(u, research.Cohort(**k), 9, 0, by).collect())
+    want = {"abs_initial_return_desc": "ABDC", "initial_return_asc": "ABDC", "initial_return_desc": "BDAC", "retention_desc": "CADB", "retention_asc": "DACB", "coverage_ratio_asc": "CBDA"}
+    want |= {"symbol_asc": "ABCD", "earnings_date_desc": "CABD", "earnings_date_asc": "ABDC", "volume_105m_desc": "CABD"}
+    assert {by: page(by) for by in want} == want
+    assert all(len(page(by)) == 4 for by in research.ORDERS)
+    assert page("symbol_asc", most_abs_return=2.5) == "BD" and page("symbol_asc", least_retention=1.0, least_coverage=0.9) == "A"
+
+
+def test_issues_wait_for_the_deadline(spark):
+    u = spark.createDataFrame([("A", DAY, False, None, None, False, 0)], "symbol string, earnings_date date, post_covered boolean, reaction_class string, reason string, backfilled boolean, observed_minutes int")
+    kinds = lambda now: [r["kind"] for r in research.quality_issues(u, now).collect()]
+    assert kinds("2024-03-04 20:09:59") == [] and kinds("2024-03-04 20:10:00") == ["missing_capture_phase"]

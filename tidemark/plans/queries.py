@@ -16,6 +16,13 @@ NOW = "2030-01-01 00:00:00"
 DEV = ("1992-01-01", "1998-12-31")
 COHORT = research.Cohort(directions=("up",), least_abs_return=1.0, most_delay=60, least_surprise=-50.0)
 FLOOR = 50_000
+#: In the middle of the tables, so that some captures are still to come.
+QUALITY_NOW = "1998-01-01 20:10:00"
+#: Every bound at once.
+WIDE = research.Cohort(
+    statuses=("complete",), classes=("immediate_continuation", "spike_and_fade", "delayed_breakout"), directions=("up", "down"), modes=("scheduled_capture",), least_abs_return=1.0, most_abs_return=3.0,
+    least_retention=0.0, most_retention=1.2, least_delay=1, most_delay=60, least_volume=1000, least_coverage=0.95, least_surprise=-50.0, most_surprise=200.0,
+)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -153,8 +160,16 @@ def exclusion_reasons(spark: SparkSession, d: str) -> DataFrame:
     return _universe(spark, d).select(*KEY, F.array_join(COHORT.exclusions(), ",").alias("reasons"))
 
 
+def exclusion_reasons_wide(spark: SparkSession, d: str) -> DataFrame:
+    u = _universe(spark, d).withColumns({
+        "analysis_status": F.when(F.col("reaction_class") == "insufficient_data", "insufficient_data").when(F.col("reaction_class").isNotNull(), "complete"),
+        "collection_mode": F.when(F.col("backfilled"), "historical_backfill").otherwise("scheduled_capture"),
+    })
+    return u.select(*KEY, F.array_join(WIDE.exclusions(), ",").alias("reasons"))
+
+
 def quality_issues(spark: SparkSession, d: str) -> DataFrame:
-    return research.quality_issues(_universe(spark, d))
+    return research.quality_issues(_universe(spark, d), QUALITY_NOW)
 
 
 def scatter_series(spark: SparkSession, d: str) -> DataFrame:
@@ -282,7 +297,7 @@ QUERIES = {
         trading_days, phase_bounds, key_violations, append_only_changes,
         reaction_features, class_distribution, monthly_counts, class_by_direction, retention_histogram, liquidity_quartiles, first_cross, checkpoint_asof,
         vwap_proxy, day_bars, minute_bars, latest_quote, degradation_reasons, changed_snapshots, authoritative_bars, coverage_summary, coverage_audit, outcomes,
-        cohort_page, cohort_counts, exclusion_reasons, quality_issues, scatter_series, liquidity_floor, upsert_events, append_only_new_rows, coverage_replace,
+        cohort_page, cohort_counts, exclusion_reasons, exclusion_reasons_wide, quality_issues, scatter_series, liquidity_floor, upsert_events, append_only_new_rows, coverage_replace,
         reconcile_plan, study_members, study_result, exclusion_counter, monitor_health, feature_violations, daily_context, export_flatten,
     )
 }
@@ -341,7 +356,7 @@ _ROUND = lambda cols: ", ".join(f"round({c}, 6) AS {c}" for c in cols)  # noqa:
 _NUM = [f"return_{h}m" for h in HORIZONS] + ["pre_close", "high_return", "low_return", "vwap", "initial_return", "mfe", "mae", "retracement"]
 _X = ["direction = 'up'", "abs(initial_return) >= 1", "delay_minutes <= 60", "eps_surprise >= -50"]
 _KEEP = " AND ".join(f"coalesce({x}, FALSE)" for x in _X)
-_WHY = "list_filter([" + ", ".join(f"CASE WHEN NOT coalesce({x}, FALSE) THEN '{n}' END" for x, n in zip(_X, ["direction_excluded", "initial_return_excluded", "delay_excluded", "surprise_excluded"], strict=True))
+_WHY = "list_filter([" + ", ".join(f"CASE WHEN NOT coalesce({x}, FALSE) THEN '{n}' END" for x, n in zip(_X, ["reaction_direction_excluded", "min_abs_initial_return_excluded", "max_detection_delay_excluded", "min_eps_surprise_pct_excluded"], strict=True))
 _TICKS = f"WITH {fx.DUCK_TICKS}"
 _BAR = lambda bucket: f"""{_TICKS}, t AS (SELECT *, time_bucket(INTERVAL '{bucket}', event_timestamp) AS bar_ts, row(event_timestamp, received_at, event_id) AS o FROM tick WHERE last IS NOT NULL)
 SELECT symbol, bar_ts, arg_min(last, o) AS open, max(last) AS high, min(last) AS low, arg_max(last, o) AS close,
@@ -435,10 +450,20 @@ SELECT ev.symbol, ev.earnings_date, p.phase, CASE WHEN n IS NULL THEN 'MISSING'
     "outcomes": f"""WITH {fx.DUCK_EVENTS}, {fx.DUCK_BARS}, {_OUT} SELECT symbol, earnings_date, status, missing, regular_minutes,
 {_ROUND(["pre_close", *_PRICES, *[f"{c}_return" for c in _PRICES], "regular_return_5m", "regular_return_30m", "regular_return_60m", "regular_coverage"])} FROM oc""",
     "cohort_page": f"""{_U} SELECT symbol, earnings_date, reaction_class, direction, round(initial_return, 6) AS initial_return, delay_minutes, round(retention, 6) AS retention, round(eps_surprise, 6) AS eps_surprise
-FROM u WHERE {_KEEP} ORDER BY abs(u.initial_return) DESC NULLS LAST, symbol, earnings_date LIMIT 50 OFFSET 10""",
+FROM u WHERE {_KEEP} ORDER BY abs(u.initial_return) DESC NULLS LAST, u.earnings_date DESC, symbol LIMIT 50 OFFSET 10""",
     "cohort_counts": f"{_U} SELECT coalesce(reaction_class, 'not_analyzed') AS status, count(*) AS universe, count(*) FILTER ({_KEEP}) AS included, count(*) FILTER (NOT ({_KEEP})) AS excluded FROM u GROUP BY ALL",
     "exclusion_reasons": f"{_U} SELECT symbol, earnings_date, array_to_string({_WHY}], lambda x: x IS NOT NULL), ',') AS reasons FROM u",
-    "quality_issues": f"""{_U}, k AS (SELECT *, CASE WHEN NOT post_covered THEN 'missing_capture_phase' WHEN reaction_class IS NULL THEN 'not_analyzed' WHEN reaction_class = 'insufficient_data' THEN 'insufficient_data'
+    "exclusion_reasons_wide": f"""{_U} SELECT symbol, earnings_date, array_to_string(list_filter([
+  CASE WHEN NOT coalesce(reaction_class <> 'insufficient_data', FALSE) THEN 'analysis_status_excluded' END,
+  CASE WHEN NOT coalesce(reaction_class IN ('immediate_continuation', 'spike_and_fade', 'delayed_breakout'), FALSE) THEN 'reaction_class_excluded' END,
+  CASE WHEN direction IS NULL THEN 'reaction_direction_excluded' END, CASE WHEN backfilled THEN 'postmarket_collection_mode_excluded' END,
+  CASE WHEN NOT coalesce(abs(initial_return) >= 1, FALSE) THEN 'min_abs_initial_return_excluded' END, CASE WHEN NOT coalesce(abs(initial_return) <= 3, FALSE) THEN 'max_abs_initial_return_excluded' END,
+  CASE WHEN NOT coalesce(retention >= 0, FALSE) THEN 'min_retention_excluded' END, CASE WHEN NOT coalesce(retention <= 12e-1, FALSE) THEN 'max_retention_excluded' END,
+  CASE WHEN NOT coalesce(delay_minutes >= 1, FALSE) THEN 'min_detection_delay_excluded' END, CASE WHEN NOT coalesce(delay_minutes <= 60, FALSE) THEN 'max_detection_delay_excluded' END,
+  CASE WHEN NOT coalesce(volume_105m >= 1000, FALSE) THEN 'min_volume_105m_excluded' END, CASE WHEN NOT coalesce(observed_minutes / 105 >= 95e-2, FALSE) THEN 'min_coverage_ratio_excluded' END,
+  CASE WHEN NOT coalesce(eps_surprise >= -50, FALSE) THEN 'min_eps_surprise_pct_excluded' END, CASE WHEN NOT coalesce(eps_surprise <= 200, FALSE) THEN 'max_eps_surprise_pct_excluded' END
+], lambda x: x IS NOT NULL), ',') AS reasons FROM u""",
+    "quality_issues": f"""{_U}, k AS (SELECT *, CASE WHEN NOT post_covered THEN CASE WHEN earnings_date + INTERVAL 1210 MINUTE <= TIMESTAMP '{QUALITY_NOW}' THEN 'missing_capture_phase' END WHEN reaction_class IS NULL THEN 'not_analyzed' WHEN reaction_class = 'insufficient_data' THEN 'insufficient_data'
 WHEN backfilled THEN 'historical_backfill' WHEN observed_minutes < 105 THEN 'data_quality_flag' END AS kind FROM u) SELECT symbol, earnings_date, kind, CASE WHEN kind = 'insufficient_data' THEN reason END AS detail FROM k WHERE kind IS NOT NULL""",
     "scatter_series": f"{_U} SELECT reaction_class, round(initial_return, 6) AS x, round(return_105m, 6) AS y FROM u WHERE reaction_class IS NOT NULL AND initial_return IS NOT NULL AND return_105m IS NOT NULL",
     "liquidity_floor": f"""WITH {fx.DUCK_EVENTS}, {fx.DUCK_DAILY}, t AS (SELECT * FROM daily QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY session_date DESC) <= 10),
