@@ -341,3 +341,9 @@ SELECT symbol, earnings_date, rule FROM y""",
     "cycle_violations": f"""WITH {fx.DUCK_TICKS}, x AS (SELECT date_trunc('hour', event_timestamp) AS started, hour(date_trunc('hour', event_timestamp)) BETWEEN 15 AND 20 AS active, bool_or(event_type = 'error') AS bad FROM tick GROUP BY 1, 2),
 y AS ({_BROKEN(("active AND bad AND hour(started) = 16", "degraded_without_error"), ("NOT active AND bad", "error_without_degraded"))}) SELECT started, rule FROM y""",
 }
+
+# --- over every order ---
+
+_ALL_ORDERS = fx.sql_all_orders(ORACLE_SQL)
+QUERIES |= {n: fx.all_orders(QUERIES[n.removesuffix("_all_orders")]) for n in _ALL_ORDERS}
+ORACLE_SQL |= _ALL_ORDERS

@@ -196,6 +196,13 @@ def append_only_new_rows(spark: SparkSession, d: str) -> DataFrame:
     return ledger.new_rows(t.filter("event_id % 3 = 0"), twice, ["event_id"]).select("event_id", "symbol")
 
 
+def append_only_new_rows_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every row is offered, some of them twice."""
+    t = fx.ticks(spark, d).select("symbol", "received_at", "event_id")
+    twice = t.unionByName(t.filter("event_id % 4 = 0"))
+    return ledger.new_rows(t.filter("event_id % 3 = 0"), twice, ["event_id"]).select("event_id", "symbol")
+
+
 def coverage_replace(spark: SparkSession, d: str) -> DataFrame:
     e = fx.events(spark, d).select(*KEY, "k", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
     mode = F.when((F.col("k") + F.col("n")) % 4 == 0, "historical_backfill").otherwise("scheduled_capture")
@@ -297,7 +304,7 @@ QUERIES = {
         trading_days, phase_bounds, key_violations, append_only_changes,
         reaction_features, class_distribution, monthly_counts, class_by_direction, retention_histogram, liquidity_quartiles, first_cross, checkpoint_asof,
         vwap_proxy, day_bars, minute_bars, latest_quote, degradation_reasons, changed_snapshots, authoritative_bars, coverage_summary, coverage_audit, outcomes,
-        cohort_page, cohort_counts, exclusion_reasons, exclusion_reasons_wide, quality_issues, scatter_series, liquidity_floor, upsert_events, append_only_new_rows, coverage_replace,
+        cohort_page, cohort_counts, exclusion_reasons, exclusion_reasons_wide, quality_issues, scatter_series, liquidity_floor, upsert_events, append_only_new_rows, append_only_new_rows_all, coverage_replace,
         reconcile_plan, study_members, study_result, exclusion_counter, monitor_health, feature_violations, daily_context, export_flatten,
     )
 }
@@ -471,6 +478,7 @@ l AS (SELECT symbol, avg(close * volume) AS dv FROM t GROUP BY ALL) SELECT s.sym
     "upsert_events": f"""WITH {fx.DUCK_EVENTS} SELECT symbol, earnings_date, round(CASE WHEN k % 3 <> 0 THEN coalesce(eps_estimate, CASE WHEN k % 3 <> 1 THEN eps_estimate + 1 END) ELSE eps_estimate + 1 END, 6) AS eps_estimate,
 round(CASE WHEN k % 3 <> 1 THEN eps_actual END, 6) AS eps_actual, k % 3 = 0 AS is_new FROM ev""",
     "append_only_new_rows": "SELECT event_id, 'U' || user_id AS symbol FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0",
+    "append_only_new_rows_all": "SELECT event_id, 'U' || user_id AS symbol FROM events WHERE event_id % 3 <> 0",
     "coverage_replace": f"""WITH {fx.DUCK_EVENTS}, a AS (SELECT symbol, earnings_date, CASE WHEN (k + n) % 4 = 0 THEN 'historical_backfill' ELSE 'scheduled_capture' END AS mode, CAST(n AS INT) AS retrieved_at FROM ev, range(3) r(n))
 SELECT symbol, earnings_date, CASE WHEN arg_min(mode, retrieved_at) = 'historical_backfill' THEN 'historical_backfill' ELSE 'scheduled_capture' END AS mode,
 CASE WHEN arg_min(mode, retrieved_at) = 'historical_backfill' THEN min(retrieved_at) ELSE max(retrieved_at) FILTER (mode = 'scheduled_capture') END AS retrieved_at FROM a GROUP BY ALL""",
@@ -498,3 +506,9 @@ SELECT a.symbol, earnings_date, CAST(n - n0 AS INT) AS rel, session_date, volume
     "export_flatten": f"""{_U} SELECT symbol, strftime(earnings_date, '%Y-%m-%d') AS earnings_date, array_to_string(list_filter([CASE WHEN stale THEN 'stale' END, CASE WHEN early_close THEN 'early_close' END,
 CASE WHEN backfilled THEN 'backfilled' END], lambda x: x IS NOT NULL), ';') AS flags, coalesce(reaction_class, '') AS reaction_class FROM u""",
 }
+
+# --- over every order ---
+
+_ALL_ORDERS = fx.sql_all_orders(ORACLE_SQL)
+QUERIES |= {n: fx.all_orders(QUERIES[n.removesuffix("_all_orders")]) for n in _ALL_ORDERS}
+ORACLE_SQL |= _ALL_ORDERS

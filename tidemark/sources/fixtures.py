@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +19,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_EVERY_ORDER = ContextVar("every_order", default=False)
+
+
+def all_orders(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with events() of every order, not of each fifth order key alone."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = _EVERY_ORDER.set(True)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _EVERY_ORDER.reset(before)
+
+    return run
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer and order weekday: symbol, earnings_date, k, path s, estimates and flags."""
-    o = read(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select("o_custkey", F.to_date("o_orderdate").alias("earnings_date"), "o_orderkey")
+    """One row per customer and order weekday: symbol, earnings_date, k, path s, estimates and flags.
+
+    Of each fifth order key, as DUCK_EVENTS has it; under all_orders() of every order, as sql_all_orders() has it."""
+    o = read(spark, sf_dir, "orders")
+    o = (o if _EVERY_ORDER.get() else o.filter("o_orderkey % 5 = 0")).select("o_custkey", F.to_date("o_orderdate").alias("earnings_date"), "o_orderkey")
     e = o.filter(F.weekday("earnings_date") < 5).groupBy("o_custkey", "earnings_date").agg(F.min("o_orderkey").alias("k"))
     return e.select(
         F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"), "earnings_date", "k", F.expr("CAST((k div 5) % 8 AS INT)").alias("s"),
@@ -40,6 +64,12 @@ ev AS (
          year(earnings_date) AS year, quarter(earnings_date) AS quarter, k % 13 = 0 AS illiquid, k % 17 = 0 AS superseded, k % 19 <> 0 AS post_covered,
          k % 23 = 5 AS stale, k % 29 = 0 AS early_close, k % 31 = 0 AS backfilled
   FROM o)"""
+_FIFTH = "o_orderkey % 5 = 0 AND "
+
+
+def sql_all_orders(sql: dict[str, str]) -> dict[str, str]:
+    """Of the SQL that reads DUCK_EVENTS, by name with _all_orders: the same over every order."""
+    return {f"{n}_all_orders": q.replace(_FIFTH, "") for n, q in sql.items() if _FIFTH in q}
 
 
 def bars(evs: DataFrame, first: int = -30, last: int = 104) -> DataFrame:
