@@ -28,19 +28,23 @@ SHARD_ROWS = 16_384
 LEAST_DEPTH = 5
 
 
+def shingles(text: str | None, width: int) -> list[int]:
+    """XXH64 of each run of `width` words, A-Z lowered; of the whole sequence if it is shorter; none without words."""
+    ws = (text or "").encode().lower().split()
+    digest = xxhash.xxh64_intdigest
+    if len(ws) < width:
+        return [digest(b" ".join(ws), SEED)] if ws else []
+    return [digest(b" ".join(s), SEED) for s in zip(*(ws[k:] for k in range(width)), strict=False)]
+
+
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     """64-bit SimHash (signed) of a text's word shingles: a bit is 1 if it is set in over half of their XXH64.
 
     A-Z is lowered; words end at blanks. Under `width` words: the whole sequence is the one shingle; none: 0.
     """
-    ws = (text or "").encode().lower().split()
-    if not ws:
+    h = shingles(text, width)
+    if not h:
         return 0
-    digest = xxhash.xxh64_intdigest
-    if len(ws) < width:
-        h = [digest(b" ".join(ws), SEED)]
-    else:
-        h = [digest(b" ".join(s), SEED) for s in zip(*(ws[k:] for k in range(width)), strict=False)]
     bits = np.zeros(64, np.int64)
     for a in range(0, len(h), 65_536):
         part = np.array(h[a : a + 65_536], np.uint64).view(np.uint8).reshape(-1, 8)
@@ -213,6 +217,68 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return each.join(by_fp, "fp").select(key, "fp", "component_id")
 
 
+#: Rounds in which every text is compared with one of its group, before what is left is compared in pairs.
+ROUNDS = 3
+
+
+def near_copies(docs: DataFrame, key: str, text: str = "text", radius: int = RADIUS, width: int = 5, least: float = 0.8) -> DataFrame:
+    """key and component_id, the smallest key of those that links reach. Keys are longs, distinct and not null.
+
+    Texts are linked if they are equal, or if their fingerprints lie within radius and the Jaccard similarity of their
+    sets of `width`-word shingles is `least` or more. Fingerprint links give groups outside of which there is no link.
+    In a group, texts like its first are linked to that; this is repeated for the rest; then each pair of two
+    different such sets is checked. So no link is missed, and a large group of copies costs no pairs inside of it.
+    """
+    each = docs.select(F.col(key).alias("key"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("sha"))
+    each = materialize(each.join(fingerprints(docs, key, text).select(F.col(key).alias("key"), "fp").hint("merge"), "key"), "fingerprints")
+    texts = materialize(each.groupBy("sha").agg(F.min("key").alias("node"), F.min("fp").alias("fp")), "texts")
+    loose = components(links(materialize(texts.select("fp").distinct(), "distinct"), radius)).withColumnRenamed("node", "fp")
+    placed = materialize(texts.join(loose.hint("merge"), "fp", "left").select("node", "fp", F.coalesce("root", "fp").alias("area")), "placed")
+    shared = placed.groupBy("area").agg(F.count("*").alias("n")).filter("n > 1").select("area")
+    placed = placed.join(shared.hint("merge"), "area")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.array(shingles(x.as_py(), width), np.uint64)).view(np.int64) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["node", "fp", "area", "shingles"])
+
+    full = placed.join(docs.select(F.col(key).alias("node"), F.col(text).alias("text")).hint("merge"), "node").select("node", "fp", "area", "text")
+    full = materialize(full.mapInArrow(sets, "node long, fp long, area long, shingles array<long>"), "shingles")
+
+    left, linked, label = full, [], None
+    for k in range(ROUNDS):
+        first = left.groupBy("area").agg(F.min("node").alias("node"))
+        head = full.join(first.hint("merge"), ["node", "area"]).select("area", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("shingles").alias("shingles_b"))
+        like = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= radius) & (_jaccard("shingles", "shingles_b") >= least)
+        found = materialize(left.join(head.hint("merge"), "area").filter((F.col("node") == F.col("b")) | like).select("node", "b", F.lit(k).alias("round")), "like_first")
+        linked.append(found)
+        label = found if label is None else label.unionByName(found)
+        left = materialize(left.join(found.hint("merge"), "node", "left_anti"), "left")
+    size = F.size("shingles")
+    plain = full.select("node", "fp", "area", size.alias("size")).join(label.withColumnRenamed("b", "label").hint("merge"), "node", "left")
+    plain = materialize(plain.select("node", "fp", "area", "size", F.coalesce("label", "node").alias("label"), F.coalesce("round", F.lit(ROUNDS)).alias("round")), "labels")
+    x, y = (plain.select(*[F.col(c).alias(f"{c}_{side}") for c in plain.columns]) for side in ("x", "y"))
+    near = (F.bit_count(F.col("fp_x").bitwiseXOR(F.col("fp_y"))) <= radius) & (F.least("size_x", "size_y") >= F.lit(least) * F.greatest("size_x", "size_y"))
+    once = (F.col("round_y") == 0) | (F.col("node_x") < F.col("node_y"))
+    pairs = x.filter("round_x > 0").join(y.hint("merge"), F.col("area_x") == F.col("area_y")).filter(near & once & (F.col("label_x") != F.col("label_y")))
+    pairs = materialize(pairs.select("node_x", "node_y"), "pairs")
+    ends = [full.select(F.col("node").alias(f"node_{s}"), F.col("shingles").alias(f"shingles_{s}")) for s in ("x", "y")]
+    pairs = pairs.join(ends[0].hint("merge"), "node_x").join(ends[1].hint("merge"), "node_y").filter(_jaccard("shingles_x", "shingles_y") >= least)
+    edges = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    for found in linked:
+        edges = edges.unionByName(found.select(F.col("node").alias("a"), "b"))
+    stars = components(edges)
+    ids = texts.join(stars.hint("merge"), "node", "left").select("sha", F.coalesce("root", "node").alias("component_id"))
+    return each.join(ids.hint("merge"), "sha").select(F.col("key").alias(key), "component_id")
+
+
+def _jaccard(a: str, b: str) -> Column:
+    """Of two arrays of distinct longs; two empty ones are alike."""
+    both = F.size(F.array_intersect(a, b))
+    of = F.size(a) + F.size(b) - both
+    return F.when(of == 0, 1.0).otherwise(both / of)
+
+
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
