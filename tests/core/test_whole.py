@@ -1,7 +1,10 @@
 """Queries over the whole tables: nothing is left out by a number's remainder."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from tidemark.operators import selection
 from tidemark.plans import queries
 from tidemark.sources import fixtures as fx
 
@@ -21,3 +24,14 @@ def test_every_weekday_order_makes_an_event(spark):
 def test_odd_rows_are_offered(spark):
     rest = fx.read(spark, SF, "events").filter("event_id % 3 <> 0")
     assert queries.append_only_new_rows_all(spark, SF).count() == rest.count()
+
+
+def test_daily_context_has_the_full_width(spark):
+    day = dt.date(2024, 1, 1)
+    daily = spark.createDataFrame([("A", day + dt.timedelta(i), 1) for i in range(200)], "symbol string, session_date date, volume long")
+    events = spark.createDataFrame([("A", day + dt.timedelta(i)) for i in (130, 500)], "symbol string, earnings_date date")
+    rel = {}
+    for r in selection.daily_context(events, daily).collect():
+        rel.setdefault(r["earnings_date"], []).append(r["rel"])
+    assert sorted(rel[day + dt.timedelta(130)]) == list(range(-120, 31))
+    assert sorted(rel[day + dt.timedelta(500)]) == list(range(-120, 1))

@@ -55,6 +55,14 @@ def path_tail(bars: DataFrame, minutes: int = 30) -> DataFrame:
     return b.filter(~reg | (F.col("minute") > F.col("last") - minutes)).withColumn("part", F.when(reg, "regular_tail").otherwise("postmarket")).drop("last")
 
 
+def daily_context(events: DataFrame, daily: DataFrame, before: int = 120, after: int = 30) -> DataFrame:
+    """Sessions before and after each event's first session on or after it, by session number; after its symbol's last session, around that."""
+    days = daily.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("session_date")))
+    e = events.select(*KEY).join(days.select("symbol", "session_date", "n"), "symbol")
+    at = e.groupBy(*KEY).agg(F.coalesce(F.min(F.when(F.col("session_date") >= F.col("earnings_date"), F.col("n"))), F.max("n")).alias("at"))
+    return at.join(days, "symbol").filter(F.col("n").between(F.col("at") - before, F.col("at") + after)).withColumn("rel", F.col("n") - F.col("at")).drop("n", "at")
+
+
 def development_split(events: DataFrame, holdout: float) -> DataFrame:
     """One row: the period of all events, cut so that the last share of its days is held out."""
     e = events.agg(F.min("earnings_date").alias("first"), F.max("earnings_date").alias("last"))

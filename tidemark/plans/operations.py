@@ -137,6 +137,14 @@ def path_tail(spark: SparkSession, d: str) -> DataFrame:
     return rounded(selection.path_tail(fx.bars(fx.events(spark, d)), 15).select(*KEY, "minute", "close", "part"))
 
 
+def path_tail_whole(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(selection.path_tail(fx.bars(fx.events(spark, d))).select(*KEY, "minute", "close", "part"))
+
+
+def daily_context_whole(spark: SparkSession, d: str) -> DataFrame:
+    return selection.daily_context(fx.events(spark, d), fx.daily_bars(spark, d)).select(*KEY, "rel", "session_date", "volume")
+
+
 def development_split(spark: SparkSession, d: str) -> DataFrame:
     return selection.development_split(fx.events(spark, d), 0.3)
 
@@ -245,7 +253,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         landed_calendar, landed_rejects, landed_session_bars, retrieval_mismatches, history_collection, landed_quotes, realized_moves, today_snapshot, captured_pending,
-        capture_candidates, active_symbols, clean_notes, path_tail, development_split, outcome_choice, operations_snapshot, register_studies, stage_status, evidence_digests,
+        capture_candidates, active_symbols, clean_notes, path_tail, path_tail_whole, daily_context_whole, development_split, outcome_choice, operations_snapshot, register_studies, stage_status, evidence_digests,
         stale_reprocess_plan, outcome_violations, spec_violations, result_violations, supersession_violations, cycle_violations,
     )
 }
@@ -305,6 +313,12 @@ CASE WHEN (conv_id + turn) % 7 = 0 OR coalesce(trim(text), '') = '' THEN 'body'
     "path_tail": f"""{_EB}, l AS (SELECT *, max(minute) FILTER (phase = 'earnings_regular') OVER (PARTITION BY symbol, earnings_date) AS last FROM bar)
 SELECT symbol, earnings_date, minute, round(close, 6) AS close, CASE WHEN phase = 'earnings_regular' THEN 'regular_tail' ELSE 'postmarket' END AS part
 FROM l WHERE phase <> 'earnings_regular' OR minute > last - 15""",
+    "path_tail_whole": f"""{_EB}, l AS (SELECT *, max(minute) FILTER (phase = 'earnings_regular') OVER (PARTITION BY symbol, earnings_date) AS last FROM bar)
+SELECT symbol, earnings_date, minute, round(close, 6) AS close, CASE WHEN phase = 'earnings_regular' THEN 'regular_tail' ELSE 'postmarket' END AS part
+FROM l WHERE phase <> 'earnings_regular' OR minute > last - 30""",
+    "daily_context_whole": f"""WITH {fx.DUCK_EVENTS}, {fx.DUCK_DAILY}, d AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session_date) AS n FROM daily),
+a AS (SELECT ev.symbol, earnings_date, coalesce(min(n) FILTER (session_date >= earnings_date), max(n)) AS n0 FROM ev JOIN d ON ev.symbol = d.symbol GROUP BY ALL)
+SELECT a.symbol, earnings_date, CAST(n - n0 AS INT) AS rel, session_date, volume FROM a JOIN d ON a.symbol = d.symbol AND n BETWEEN n0 - 120 AND n0 + 30""",
     "development_split": f"""WITH {fx.DUCK_EVENTS}, e AS (SELECT min(earnings_date) AS a, max(earnings_date) AS b FROM ev), c AS (SELECT a, b, b - CAST(floor((b - a + 1) * 3e-1) AS INT) AS cut FROM e)
 SELECT a AS development_from, cut AS development_to, cut + 1 AS oos_from, b AS oos_to FROM c""",
     "outcome_choice": f"""{_EB}, {core._OUT}, t AS (SELECT symbol, earnings_date, status, regular_close_return, 'b' AS evidence_sha256 FROM oc
