@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bytebpe, components, langid, licenses, media, mixing, pitmanyor, quality, simhash, tokencount, warc
+from tidemark.llm import bytebpe, components, langid, licenses, media, mixing, quality, simhash, tokencount, warc
 from tidemark.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -386,52 +386,6 @@ def test_revisit_edges(spark):
     assert warc.resolve_revisits(none, none.drop("digest")).count() == 0
 
 
-# --- op10 ---
-
-
-def test_language_model(spark, edge, empty):
-    from collections import Counter
-
-    train = [r for r in edge_rows() if r[0] is not None and r[0] % 3]
-    model = pitmanyor.fit(docs(spark, train))
-    c = Counter(w for _, t, _, _ in train for w in [*(t or "").encode().lower().split(), b" end"])
-    n, v = sum(c.values()), len(c)
-    assert (model.n, model.vocabulary) == (n, v)
-    few = {r["doc_id"]: r for r in pitmanyor.score(edge, model, held_words=5).filter("doc_id IS NOT NULL AND doc_id <> 20").collect()}
-    many = {r["doc_id"]: r for r in pitmanyor.score(edge, model).filter("doc_id IS NOT NULL AND doc_id <> 20").collect()}
-    for i, t, _, _ in edge_rows():
-        if i is None or i == 20:
-            continue
-        ws = [*(t or "").encode().lower().split(), b" end"]
-        base = sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws)
-        for r in (few[i], many[i]):
-            assert (r["n_tokens"], r["n_known"]) == (len(ws), sum(w in c for w in ws)) and abs(r["base_score"] - base) < 1e-6 * len(ws)
-        assert abs(few[i]["score"] - many[i]["score"]) < 1e-6 * len(ws) and many[i]["score"] < 0
-    assert pitmanyor.score(edge, model).count() == len(edge_rows())
-    # every context's predictions, the unknown word's among them, sum to one
-    words = model.words.collect()
-    for k in (pitmanyor.START, ord("a")):
-        p = sum(sum(x["a"] for x in r["cells"] if x["k"] == k) + np.mean(model.spread[:, k] * np.array(r["chances"])) for r in words)
-        assert abs(p + np.mean(model.spread[:, k] * model.unknown) - 1) < 1e-9
-    none = pitmanyor.fit(empty)
-    assert none.n == 0 and pitmanyor.score(docs(spark, [(1, "a b", None, None)]), none).first()["n_known"] == 0
-    assert rows(pitmanyor.score(empty, model)) == []
-
-
-def test_seating_is_the_pitman_yor_law():
-    rng = np.random.default_rng(0)
-    c, d, w = 40, 0.5, 2.0
-    jump, _ = pitmanyor.seat(np.full(40_000, c), np.full(40_000, w), d, rng)
-    plain = []
-    for _ in range(4000):
-        t = 1
-        for i in range(1, c):
-            t += rng.random() < w / (w + i - d * t)
-        plain.append(t)
-    assert abs(jump.mean() - np.mean(plain)) < 0.15 and jump.min() >= 1 and jump.max() <= c
-    assert np.allclose(pitmanyor.lgamma(np.array([0.3, 1, 2.5, 100.0])), [1.0957979948180756, 0, 0.2846828704729192, 359.1342053695754])
-
-
 # --- pipeline ---
 
 
