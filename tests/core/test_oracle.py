@@ -7,9 +7,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans import operations, queries
+from tidemark.plans import events, operations, queries
 
-QUERIES, ORACLE_SQL = queries.QUERIES | operations.QUERIES, queries.ORACLE_SQL | operations.ORACLE_SQL
+QUERIES, ORACLE_SQL = queries.QUERIES | operations.QUERIES | events.QUERIES, queries.ORACLE_SQL | operations.ORACLE_SQL | events.ORACLE_SQL
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 

@@ -42,7 +42,8 @@ def authoritative_bars(coverage: DataFrame, bars: DataFrame) -> DataFrame:
 def coverage_summary(bars: DataFrame, expected: DataFrame) -> DataFrame:
     """Per event and phase of expected (expected_minutes): first, last and distinct minutes seen, missing ones, ratio and flags."""
     key = ["symbol", "earnings_date", "phase"]
-    b = bars.groupBy(*key).agg(F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"), F.size(F.collect_set("minute")).alias("observed"), F.count("*").alias("rows"))
+    each = bars.groupBy(*key, "minute").agg(F.count("*").alias("rows"))
+    b = each.groupBy(*key).agg(F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"), F.count("*").cast("int").alias("observed"), F.sum("rows").alias("rows"))
     o = expected.join(b, key, "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
     flags = F.array_compact(F.array(F.when(F.col("observed") == 0, F.lit("no_bars_in_requested_phase")), F.when(F.col("rows") > F.col("observed"), F.lit("duplicate_minute_bars"))))
     return o.select(

@@ -16,23 +16,43 @@ def upsert_events(stored: DataFrame, new: DataFrame, key: list[str], keep: list[
 
 
 def new_rows(existing: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows to append: one per key, none whose key exists."""
-    return rows.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
+    """Rows to append: one per key, none whose key exists. Null keys are equal to each other."""
+    had = existing.select(*[F.col(c).alias(f"__{c}") for c in key])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    return rows.dropDuplicates(key).join(had, same, "left_anti")
 
 
-def append_ledger(rows: DataFrame, path: str, key: list[str]) -> int:
-    """Append new_rows() to a Parquet ledger; running it again adds nothing. Returns how many were added."""
+def append_ledger(rows: DataFrame, path: str, key: list[str], by: str | None = None) -> int:
+    """Append new_rows() to a Parquet ledger; running it again adds nothing. Returns how many were added (append_counted() tells the rest)."""
+    return append_counted(rows, path, key, by)[0]
+
+
+def append_counted(rows: DataFrame, path: str, key: list[str], by: str | None = None) -> tuple[int, int]:
+    """append_ledger() with the numbers inserted and conflicted (offered, but there already or repeated).
+
+    by: a column, one of the key, that the ledger is partitioned by. Only the partitions of the rows' values are read then: the join on
+    them prunes partitions at run time. Without it every call reads the keys of the whole ledger. One writer at a time is assumed.
+    """
     spark = rows.sparkSession
     from pyspark.errors import AnalysisException
     from pyspark.sql import Observation
 
+    offered, added = Observation(), Observation()
+    rows = rows.observe(offered, F.count(F.lit(1)).alias("n"))
     try:
-        fresh = new_rows(spark.read.schema(rows.schema).parquet(path), rows, key)
-    except AnalysisException:  # the ledger does not exist yet
+        old = spark.read.schema(rows.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         fresh = rows.dropDuplicates(key)
-    seen = Observation()
-    fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
-    return seen.get["n"]
+    else:
+        if by is not None:
+            old = old.join(F.broadcast(rows.select(by).distinct()), by, "left_semi")  # the dates of one batch
+        fresh = new_rows(old, rows, key)
+    out = fresh.observe(added, F.count(F.lit(1)).alias("n")).write.mode("append")
+    (out if by is None else out.partitionBy(by)).parquet(path)
+    inserted = added.get["n"]
+    return inserted, max(offered.get["n"], inserted) - inserted
 
 
 def coverage_now(arrivals: DataFrame, key: list[str]) -> DataFrame:
@@ -57,10 +77,50 @@ def reconcile_plan(events: DataFrame, listings: DataFrame) -> DataFrame:
     """What to do with recorded events given the current calendar, by fiscal quarter.
 
     supersede: the quarter is listed once, on another date; reinstate: a superseded event is listed on its own date.
-    Quarters that are not listed, or on several dates, say nothing.
+    Quarters that are not listed, or on several dates, or not known (null year or quarter), say nothing.
     """
     key = ["symbol", "year", "quarter"]
     sure = listings.groupBy(*key).agg(F.min("date").alias("listed"), F.max("date").alias("other")).filter(F.col("listed") == F.col("other")).drop("other")
     j = events.join(sure, key)
     action = F.when((F.col("listed") != F.col("earnings_date")) & ~F.col("superseded"), "supersede").when((F.col("listed") == F.col("earnings_date")) & F.col("superseded"), "reinstate")
-    return j.withColumn("action", action).filter("action IS NOT NULL").select("symbol", "earnings_date", "action", "listed")
+    why = F.when(action == "supersede", F.format_string("Q%d of %d is listed on %s", F.col("quarter").cast("int"), F.col("year").cast("int"), F.date_format("listed", "yyyy-MM-dd")))
+    return j.withColumns({"action": action, "reason": why}).filter("action IS NOT NULL").select("symbol", "earnings_date", "action", "listed", "reason")
+
+
+#: Days around a symbol's events within which listings are looked up (fixed value).
+LOOKUP_DAYS = 75
+
+
+def unlisted_events(events: DataFrame, fetched: DataFrame, start: str, end: str) -> DataFrame:
+    """Live after-close events of a window of days that the listings fetched for it do not name on their date."""
+    live = events.filter((F.col("hour") == "amc") & ~F.col("superseded") & F.col("earnings_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return live.join(fetched.select("symbol", F.col("date").alias("earnings_date")), ["symbol", "earnings_date"], "left_anti")
+
+
+def reconcile_window(events: DataFrame, fetched: DataFrame, lookup: DataFrame, start: str, end: str) -> DataFrame:
+    """reconcile_plan() after a refresh of a window of days. For symbols with an unlisted live event in it, `lookup` (all listings of a symbol) adds those
+    within LOOKUP_DAYS of the symbol's unlisted events; events of symbols without any evidence are left alone.
+
+    The lookup is an equi-join on the symbol with the span of days as a residual."""
+    gone = unlisted_events(events, fetched, start, end).groupBy("symbol").agg(F.date_sub(F.min("earnings_date"), LOOKUP_DAYS).alias("_from"), F.date_add(F.max("earnings_date"), LOOKUP_DAYS).alias("_to"))
+    found = lookup.join(gone, "symbol").filter(F.col("date").between(F.col("_from"), F.col("_to"))).select(*fetched.columns)
+    evidence = fetched.unionByName(found)
+    recorded = events.filter("hour = 'amc'").join(evidence.select("symbol").distinct(), "symbol", "left_semi")
+    return reconcile_plan(recorded, evidence)
+
+
+def latest_actions(actions: DataFrame, key: list[str], at: str = "at") -> DataFrame:
+    """Of a ledger of actions the one in force for each key: the last by time, of several at one time the last by name."""
+    return actions.groupBy(*key).agg(F.max(F.struct(at, "action")).alias("x")).select(*key, "x.*")
+
+
+def liquidity_decisions(events: DataFrame, rows: DataFrame, dollar_volume: DataFrame, floor: float) -> DataFrame:
+    """What to do with each event whose live feature row is insufficient and that is not excluded yet: `exclude` under the floor, `keep` from it
+    on, `inconclusive` (kept too) without a volume.
+
+    rows: live feature rows; dollar_volume: liquidity()."""
+    backlog = events.filter(~F.col("illiquid")).join(rows.filter("analysis_status = 'insufficient_data'").select("symbol", "earnings_date"), ["symbol", "earnings_date"])
+    j = backlog.join(dollar_volume, "symbol", "left")
+    decision = F.when(F.col("dollar_volume").isNull(), "inconclusive").when(F.col("dollar_volume") < floor, "exclude").otherwise("keep")
+    why = F.when(decision == "exclude", F.format_string("mean dollar volume %.0f is under %.0f", F.col("dollar_volume"), F.lit(float(floor))))
+    return j.select("symbol", "earnings_date", decision.alias("decision"), why.alias("reason"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import bar_problem, pct_change
-from .reaction import KEY
+from ..functions.columns import bar_problem, pct_change, reasons
+from .reaction import KEY, repeat_marks
 
 #: Minutes after the open that are priced exactly, the least share of regular minutes, and the session's length (fixed values).
 OPEN_MINUTES, LEAST_COVERAGE, SESSION = (5, 30, 60), 0.95, 390
@@ -21,7 +21,7 @@ def outcomes(header: DataFrame, bars: DataFrame, *, now: str) -> DataFrame:
     """
     reg, pre = F.col("phase") == "following_regular", F.col("phase") == "following_premarket"
     at = lambda phase, m, c: F.max(F.when(phase & (F.col("minute") == m), F.col(c)))
-    a = bars.groupBy(*KEY).agg(
+    a = repeat_marks(bars).groupBy(*KEY).agg(
         F.max(F.when((F.col("phase") == "earnings_regular") & (F.col("minute") == -1), F.col("close"))).alias("pre_close"),
         F.min_by(F.when(pre, F.col("open")), F.when(pre, F.col("minute"))).alias("premarket_open"),
         F.max_by(F.when(pre, F.col("close")), F.when(pre, F.col("minute"))).alias("premarket_close"),
@@ -29,7 +29,7 @@ def outcomes(header: DataFrame, bars: DataFrame, *, now: str) -> DataFrame:
         at(reg, 0, "open").alias("regular_open"), at(reg, SESSION - 1, "close").alias("regular_close"),
         F.max(F.when(reg, F.col("high"))).alias("regular_high"), F.min(F.when(reg, F.col("low"))).alias("regular_low"),
         *[at(reg, n - 1, "close").alias(f"_close_{n}") for n in OPEN_MINUTES],
-        F.count(F.when(reg, 1)).alias("_rows"), F.size(F.collect_set(F.when(reg, F.col("minute")))).alias("regular_minutes"),
+        F.count(F.when(reg, 1)).alias("_rows"), F.count(F.when(reg & ~F.col("again"), 1)).cast("int").alias("regular_minutes"),
         F.bool_or(bar_problem(F.col("open"), F.col("high"), F.col("low"), F.col("close")).isNotNull() & (reg | pre)).alias("_bad"),
     )
     o = header.select(*KEY).join(a, list(KEY), "left")
@@ -55,3 +55,88 @@ def outcomes(header: DataFrame, bars: DataFrame, *, now: str) -> DataFrame:
         *KEY, status.alias("status"), F.array_join("missing", ",").alias("missing"), "pre_close", *prices, *[f"{c}_return" for c in prices],
         *[f"regular_return_{n}m" for n in OPEN_MINUTES], F.coalesce("regular_minutes", F.lit(0)).alias("regular_minutes"), "regular_coverage",
     )
+
+
+#: Minutes after the following close until which an outcome may still come (fixed value); the version of stored outcomes.
+CAPTURE_GRACE = 10
+OUTCOME_VERSION = "outcome-1"
+
+_NEEDED = ("reference_close", "reference_close_ts", "premarket_first", "premarket_high", "premarket_low", "premarket_last", "regular_open", "regular_high", "regular_low", "regular_close", *[f"regular_return_{n}m" for n in OPEN_MINUTES])
+_PHASES = {"regular": ("earnings_regular", 390), "premarket": ("following_premarket", 150), "following_regular": ("following_regular", 390)}
+
+
+def session_outcomes(events: DataFrame, coverage: DataFrame, bars: DataFrame, days: DataFrame, *, now: str) -> DataFrame:
+    """One row per after-close event: prices, times and returns of its next session by the calendar, coverage of three phases, status, missing fields and flags.
+
+    coverage, bars: as evidence.phase_bars() takes and gives them (repeats kept). days: the calendar (one row a day). now: exchange wall clock, as text.
+    `not_yet_available`: now is before the following close plus CAPTURE_GRACE, and that session has no coverage, or has not ended, or lacks minutes.
+    """
+    c = F.col
+    b = bars.filter(c("phase").isin(*[p for p, _ in _PHASES.values()])).withColumn("minute", F.timestamp_diff("MINUTE", c("expected_start"), c("ts")).cast("int"))
+    b = repeat_marks(b)
+    ref, pre, reg = (c("phase") == p for p, _ in _PHASES.values())
+    last = c("ts") == c("expected_end") - F.expr("INTERVAL 1 MINUTE")
+    at = lambda cond, v: F.max(F.when(cond, c(v)))
+    bad = bar_problem(c("open"), c("high"), c("low"), c("close")).isNotNull()
+    a = b.groupBy(*KEY).agg(
+        at(ref & last, "close").alias("reference_close"), at(ref & last, "ts").alias("reference_close_ts"),
+        F.min_by(F.when(pre, c("open")), F.when(pre, c("ts"))).alias("premarket_first"), at(pre, "high").alias("premarket_high"), F.min(F.when(pre, c("low"))).alias("premarket_low"),
+        F.max_by(F.when(pre, c("close")), F.when(pre, c("ts"))).alias("premarket_last"), F.min(F.when(pre, c("ts"))).alias("premarket_first_ts"), F.max(F.when(pre, c("ts"))).alias("premarket_last_ts"),
+        at(reg & (c("minute") == 0), "open").alias("regular_open"), at(reg, "high").alias("regular_high"), F.min(F.when(reg, c("low"))).alias("regular_low"), at(reg & last, "close").alias("regular_close"),
+        *[at(reg & (c("minute") == n - 1), "close").alias(f"_close_{n}") for n in OPEN_MINUTES],
+        *[F.bool_or((c("phase") == p) & bad).alias(f"_bad_{s}") for s, (p, _) in _PHASES.items()], *[F.bool_or((c("phase") == p) & c("again")).alias(f"_twice_{s}") for s, (p, _) in _PHASES.items()],
+    )
+    pick = lambda p, v: F.max(F.when(c("phase") == p, c(v)))
+    names = {"observed_minutes": "observed_minutes", "expected_minutes": "expected_minutes", "expected_end": "_end", "response_sha256": "response_sha256", "collection_mode": "collection_mode", "data_quality_flags": "_flags"}
+    cov = coverage.groupBy(*KEY).agg(*[pick(p, v).alias(f"{s}_{n}") for s, (p, _) in _PHASES.items() for v, n in names.items()])
+    nxt = days.select(c("day").alias("earnings_date"), c("next").alias("_following"))
+    shut = days.select(c("day").alias("_following"), F.when(c("early_close"), 780).otherwise(960).alias("_shut"))
+    o = events.filter("hour = 'amc'").select(*KEY).join(F.broadcast(nxt), "earnings_date").join(F.broadcast(shut), "_following").join(cov, list(KEY), "left").join(a, list(KEY), "left")
+    o = o.withColumn("available_after", c("_following").cast("timestamp_ntz") + F.make_dt_interval(mins=c("_shut") + CAPTURE_GRACE))
+    for name in ("premarket_first", "premarket_high", "premarket_low", "premarket_last", "regular_open", "regular_high", "regular_low", "regular_close"):
+        o = o.withColumn(f"{name}_return", pct_change(c("reference_close"), c(name)))
+    for n in OPEN_MINUTES:
+        o = o.withColumn(f"regular_return_{n}m", pct_change(c("reference_close"), c(f"_close_{n}")))
+    there = {s: c(f"{s}_observed_minutes").isNotNull() for s in _PHASES}
+    ratio = {s: F.when(there[s], F.least(F.lit(1.0), c(f"{s}_observed_minutes") / c(f"{s}_expected_minutes"))).otherwise(0.0) for s in _PHASES}
+    phase = {s: p for s, (p, _) in _PHASES.items()}
+    broken = [*[(c(f"_bad_{s}"), f"{phase[s]}_invalid_bar") for s in _PHASES], *[(c(f"_twice_{s}"), f"{phase[s]}_duplicate_timestamp") for s in _PHASES]]
+    missing = reasons(*[(c(n).isNull(), n) for n in _NEEDED], *[(there[s] & (ratio[s] < LEAST_COVERAGE), f"{phase[s]}_coverage") for s in ("regular", "following_regular")], *broken)
+    o = o.withColumn("_missing", missing)
+    wall, reg_s = F.lit(now).cast("timestamp_ntz"), "following_regular"
+    open_ = (wall < c("available_after")) & (~there[reg_s] | (wall < c(f"{reg_s}__end")) | (c(f"{reg_s}_observed_minutes") < c(f"{reg_s}_expected_minutes")))
+    status = F.when(F.coalesce(open_, F.lit(False)), "not_yet_available").when(F.size("_missing") > 0, "insufficient_data").otherwise("complete")
+    why = F.when(status == "not_yet_available", "session_not_complete").when(status == "insufficient_data", "evidence_missing")
+    none = F.array().cast("array<string>")
+    flags = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(c(f"{s}__flags"), none) for s in _PHASES], reasons(*broken))))
+    absent = reasons(*[(~there[s], phase[s]) for s in _PHASES])
+    values = ["reference_close", "reference_close_ts", "premarket_first", "premarket_first_ts", "premarket_high", "premarket_low", "premarket_last", "premarket_last_ts", "regular_open", "regular_high", "regular_low", "regular_close"]
+    returns = [f"{n}_return" for n in ("premarket_first", "premarket_high", "premarket_low", "premarket_last", "regular_open", "regular_high", "regular_low", "regular_close")] + [f"regular_return_{n}m" for n in OPEN_MINUTES]
+    cover = [x for s, (_, minutes) in _PHASES.items() for x in (
+        F.coalesce(f"{s}_observed_minutes", F.lit(0)).alias(f"{s}_observed_minutes"), F.coalesce(f"{s}_expected_minutes", F.lit(minutes)).alias(f"{s}_expected_minutes"), ratio[s].alias(f"{s}_coverage_ratio"),
+        f"{s}_response_sha256", f"{s}_collection_mode",
+    )]
+    return o.select(
+        *KEY, F.lit(OUTCOME_VERSION).alias("outcome_version"), status.alias("analysis_status"), why.alias("analysis_status_reason"), *values, *returns, c("regular_open_return").alias("overnight_gap_return"), *cover,
+        F.array_sort(F.array_distinct(F.concat(absent, "_missing"))).alias("missing_fields"), flags.alias("data_quality_flags"), "available_after",
+    )
+
+
+def with_outcome_digest(outcomes: DataFrame) -> DataFrame:
+    """session_outcomes() with source_evidence_sha256: of the identities of the three phases and the prices read from them."""
+    text = lambda n: F.coalesce(F.col(n), F.lit("-"))
+    micro = lambda n: F.coalesce(F.round(F.col(n) * 1_000_000).cast("long").cast("string"), F.lit("-"))
+    prices = ("reference_close", "premarket_first", "premarket_high", "premarket_low", "premarket_last", "regular_open", "regular_high", "regular_low", "regular_close")
+    parts = ["symbol", F.date_format("earnings_date", "yyyy-MM-dd"), *[text(f"{s}_response_sha256") for s in _PHASES], *[micro(n) for n in prices]]
+    return outcomes.withColumn("source_evidence_sha256", F.sha2(F.concat_ws("|", *parts), 256))
+
+
+def outcomes_to_store(outcomes: DataFrame) -> DataFrame:
+    """with_outcome_digest() without what is not available yet; the ledger's key is event, version and digest."""
+    return outcomes.filter("analysis_status <> 'not_yet_available'")
+
+
+def read_outcomes(stored: DataFrame, version: str = OUTCOME_VERSION) -> DataFrame:
+    """Stored outcomes of a version in reading order: by event, complete ones first, then the newest, then by digest."""
+    by = ["earnings_date", "symbol", (F.col("analysis_status") != "complete").cast("int"), F.desc("computed_at"), "source_evidence_sha256"]
+    return stored.filter(F.col("outcome_version") == version).orderBy(*by)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,50 +60,54 @@ def vwap(high: Column, low: Column, close: Column, volume: Column, where: Column
     return F.sum((high + low + close) / 3 * v) / F.nullif(F.sum(v), F.lit(0))
 
 
-def reaction_features(header: DataFrame, bars: DataFrame, threshold: float = THRESHOLD_PCT, horizons: Sequence[int] = HORIZONS) -> DataFrame:
-    """One row per event of header (symbol, earnings_date, post_covered, stale, early_close).
+def count_distinct_minutes(where: Column) -> Column:
+    """Distinct minutes of the rows where the condition holds; rows need repeat_marks()."""
+    return F.count(F.when(where & ~F.col("again"), 1))
 
-    bars: symbol, earnings_date, phase, minute (0 at the close), open, high, low, close, volume. Events that fail a gate are
-    `insufficient_data` with the first reason; those without a checkpoint or volume keep their partial numbers.
-    """
-    s = with_signal(bars, threshold)
+
+def repeat_marks(bars: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """bars with `again`: whether another bar of the event has the phase and minute before it in the order."""
+    w = Window.partitionBy(*key).orderBy("phase", "minute")
+    at = F.struct("phase", "minute")
+    return bars.withColumn("again", F.coalesce(F.lag(at).over(w) == at, F.lit(False)))
+
+
+def path_measures(header: DataFrame, bars: DataFrame, threshold: float, horizons: Sequence[int], gates: Callable[[Callable], Column], extra: Sequence[Column] = ()) -> DataFrame:
+    """header's events with everything that is measured on their bars, the first gate that fails (`hard`), `reason` and `reaction_class`.
+
+    gates: given n (a column, null as 0), the code of the first failed gate. extra: aggregates for it."""
+    s = repeat_marks(with_signal(bars, threshold))
     w = Window.partitionBy(*KEY)
-    direction = F.signum(F.max(F.when(F.col("minute") == F.col("trigger"), F.col("cr"))).over(w))
-    s = s.withColumn("dir", direction)
+    s = s.withColumn("dir", F.signum(F.max(F.when(F.col("minute") == F.col("trigger"), F.col("cr"))).over(w)))
     hr, lr = pct_change(F.col("ref"), F.col("high")), pct_change(F.col("ref"), F.col("low"))
     after = _post() & (F.col("minute") > F.col("trigger"))
     best = F.greatest(F.col("dir") * hr, F.col("dir") * lr)
     worst = F.least(F.col("dir") * hr, F.col("dir") * lr)
     from_signal = _post() & (F.col("minute") >= F.col("trigger"))
     upto = lambda h: _post(F.when(F.col("minute") < h, F.col("minute")))
+    bad = bar_problem(*[F.col(c) for c in ("open", "high", "low", "close", "volume")]).isNotNull()
     aggs = [
         F.max("ref").alias("pre_close"), F.max("trigger").alias("trigger"), F.max("dir").alias("dir"),
         F.max(F.when(F.col("minute") == F.col("trigger"), F.col("cr"))).alias("initial_return"),
-        F.count(_post(F.lit(1))).alias("post_bars"), F.size(F.collect_set(_post(F.col("minute")))).alias("observed_minutes"),
-        F.count(F.when(F.col("phase") == "earnings_regular", 1)).alias("regular_bars"),
-        F.min(F.when(bar_problem(*[F.col(c) for c in ("open", "high", "low", "close", "volume")]).isNotNull(), F.col("phase"))).alias("bad_phase"),
-        F.max(_post(hr)).alias("high_return"), F.min(_post(lr)).alias("low_return"),
+        F.count(_post(F.lit(1))).alias("post_bars"), count_distinct_minutes(_post()).alias("observed_minutes"),
+        F.count(F.when(F.col("phase") == "earnings_regular", 1)).alias("regular_bars"), F.count("*").alias("bars"), F.count(F.when(F.col("again"), 1)).alias("repeated_bars"),
+        F.max(F.when(bad, F.col("phase"))).alias("bad_phase"), F.max(_post(hr)).alias("high_return"), F.min(_post(lr)).alias("low_return"),
         vwap(F.col("high"), F.col("low"), F.col("close"), F.col("volume"), _post()).alias("vwap"),
-        F.max(F.when(after, best)).alias("best_after"), F.min(F.when(after, worst)).alias("worst_after"),
-        F.count(F.when(after, 1)).alias("bars_after"),
+        F.max(F.when(after, best)).alias("best_after"), F.min(F.when(after, worst)).alias("worst_after"), F.count(F.when(after, 1)).alias("bars_after"),
         F.max_by("cr", _post(F.col("minute"))).alias("terminal"),
-        F.bool_or(from_signal & (F.col("cr") >= threshold)).alias("was_up"), F.bool_or(from_signal & (F.col("cr") <= -threshold)).alias("was_down"),
+        F.bool_or(from_signal & (F.col("cr") >= threshold)).alias("was_up"), F.bool_or(from_signal & (F.col("cr") <= -threshold)).alias("was_down"), *extra,
     ]
     for h in horizons:
         aggs += [F.max(upto(h)).alias(f"_at_{h}"), F.max_by("cr", upto(h)).alias(f"_return_{h}"), F.sum(F.when(upto(h).isNotNull(), F.col("volume"))).alias(f"volume_{h}m")]
-    f = header.select(*KEY, "post_covered", "stale", "early_close").join(s.groupBy(*KEY).agg(*aggs), list(KEY), "left")
+    f = header.join(s.groupBy(*KEY).agg(*aggs), list(KEY), "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     for h in horizons:
         f = f.withColumn(f"return_{h}m", F.when(F.col(f"_at_{h}") >= h - 1 - MOST_CARRY, F.col(f"_return_{h}")))
     missing = F.array_compact(F.array(*[F.when(F.col(f"return_{h}m").isNull(), F.lit(f"{h}m")) for h in horizons]))
-    hard = first_reason(
-        (~F.col("post_covered"), "phase_not_covered"), (F.col("stale"), "stale_retrieval"), (F.col("early_close"), "early_close"),
-        (F.col("bad_phase").isNotNull(), "invalid_bar"), (n("post_bars") > n("observed_minutes"), "duplicate_timestamp"),
-        (n("regular_bars") == 0, "no_regular_bars"), (n("post_bars") < LEAST_BARS, "too_few_bars"), (F.col("pre_close").isNull(), "reference_close_missing"),
-    )
+    f = f.withColumn("observed_minutes", n("observed_minutes").cast("int")).withColumn("hard", gates(n))
     soft = F.when(F.size(missing) > 0, F.concat(F.lit(f"no checkpoint bar within {MOST_CARRY}m for: "), F.array_join(missing, ", "))).when(F.col("vwap").isNull(), "vwap_missing")
     late = F.when(F.col("trigger").isNotNull() & (n("bars_after") == 0), "trigger_on_last_bar")
-    f = f.withColumn("hard", hard).withColumn("reason", F.coalesce("hard", soft, late))
+    f = f.withColumn("reason", F.coalesce("hard", soft, late))
     ok, found = F.col("reason").isNull(), F.col("trigger").isNotNull()
     mfe = F.greatest(F.lit(0.0), F.col("dir") * F.col("initial_return"), F.col("best_after"))
     mae = F.least(F.lit(0.0), F.col("dir") * F.col("initial_return"), F.col("worst_after"))
@@ -113,10 +117,32 @@ def reaction_features(header: DataFrame, bars: DataFrame, threshold: float = THR
         F.when(~ok, "insufficient_data").when(~found, "no_trigger_in_window").when(F.col("was_up") & F.col("was_down"), "whipsaw")
         .when(F.col("retracement") > 50, "spike_and_fade").when(F.col("trigger") + 1 >= DELAYED_MINUTES, "delayed_breakout").otherwise("immediate_continuation")
     )
+    return f.withColumn("reaction_class", kind)
+
+
+def measured_columns(horizons: Sequence[int] = HORIZONS) -> list[Column]:
+    """Of path_measures() what a result shows: partial numbers where no gate failed, the path's where a signal was found."""
+    ok, found = F.col("reason").isNull(), F.col("trigger").isNotNull()
     keep = lambda c: F.when(F.col("hard").isNull(), F.col(c)).alias(c)
     full = lambda c, name: F.when(ok & found, c).alias(name)
-    return f.select(
-        *KEY, kind.alias("reaction_class"), "reason", full(F.when(F.col("dir") > 0, "up").otherwise("down"), "direction"), keep("pre_close"),
+    return [
+        "reaction_class", "reason", full(F.when(F.col("dir") > 0, "up").otherwise("down"), "direction"), keep("pre_close"),
         *[keep(f"return_{h}m") for h in horizons], *[keep(f"volume_{h}m") for h in horizons], keep("high_return"), keep("low_return"), keep("vwap"),
-        full(F.col("initial_return"), "initial_return"), full(F.col("trigger") + 1, "delay_minutes"), "mfe", "mae", "retracement", n("observed_minutes").alias("observed_minutes"),
+        full(F.col("initial_return"), "initial_return"), full(F.col("trigger") + 1, "delay_minutes"), "mfe", "mae", "retracement", "observed_minutes",
+    ]
+
+
+def reaction_features(header: DataFrame, bars: DataFrame, threshold: float = THRESHOLD_PCT, horizons: Sequence[int] = HORIZONS) -> DataFrame:
+    """One row per event of header (symbol, earnings_date, post_covered, stale, early_close).
+
+    bars: symbol, earnings_date, phase, minute (0 at the close), open, high, low, close, volume. Events that fail a gate are
+    `insufficient_data` with the first reason; those without a checkpoint or volume keep their partial numbers.
+    evidence.evidence_features() does the same from coverage rows, with all gates.
+    """
+    gates = lambda n: first_reason(
+        (~F.col("post_covered"), "phase_not_covered"), (F.col("stale"), "stale_retrieval"), (F.col("early_close"), "early_close"), (F.col("bad_phase").isNotNull(), "invalid_bar"),
+        (n("post_bars") > n("observed_minutes"), "duplicate_timestamp"), (n("regular_bars") == 0, "no_regular_bars"), (n("post_bars") < LEAST_BARS, "too_few_bars"),
+        (F.col("pre_close").isNull(), "reference_close_missing"),
     )
+    f = path_measures(header.select(*KEY, "post_covered", "stale", "early_close"), bars, threshold, horizons, gates)
+    return f.select(*KEY, *measured_columns(horizons))

@@ -22,8 +22,8 @@ def register_studies(specs: DataFrame, registry: DataFrame) -> DataFrame:
 def stage_status(asked: DataFrame, registry: DataFrame, results: DataFrame) -> DataFrame:
     """Whether each asked evaluation (study, stage, digest, rule_sha, result_sha) may be stored, and its generation if so.
 
-    The first that holds: `plan_not_registered`, `sealed` (out of sample without a development result), `rule_differs` (from the latest
-    development result), `already_present`, `already_evaluated` (out of sample only once), else `ready`.
+    The first that holds: `plan_not_registered`, `sealed` (out of sample without a development result), `rule_differs` (either stage, from the
+    latest development result), `already_present`, `already_evaluated` (out of sample only once), else `ready`.
     """
     dev, oos = F.col("stage") == "development", F.col("stage") == "oos"
     r = results.groupBy(*STUDY).agg(
@@ -34,7 +34,7 @@ def stage_status(asked: DataFrame, registry: DataFrame, results: DataFrame) -> D
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     status = (
         F.when(~F.col("plan").eqNullSafe(F.col("digest")), "plan_not_registered").when(oos & ~yes("has_dev"), "sealed")
-        .when(oos & (F.col("frozen") != F.col("rule_sha")), "rule_differs").when(yes("stored"), "already_present").when(oos & yes("has_oos"), "already_evaluated").otherwise("ready")
+        .when(F.col("frozen") != F.col("rule_sha"), "rule_differs").when(yes("stored"), "already_present").when(oos & yes("has_oos"), "already_evaluated").otherwise("ready")
     )
     return j.select(*STUDY, "stage", status.alias("status"), F.when(status == "ready", F.coalesce("last", F.lit(0)) + 1).alias("generation"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, reasons, retention, surprise_pct
+from . import study
 from .reaction import KEY
 
 
@@ -115,10 +116,47 @@ def cohort_counts(u: DataFrame, cohort: Cohort) -> DataFrame:
 
 def liquidity_quartiles(u: DataFrame, value: str = "volume_105m", of: str = "retention") -> DataFrame:
     """Count and median by quartile of value; edges are interpolated, right-closed, and equal edges merge."""
-    e = u.agg(F.percentile(value, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])).alias("e"))
-    j = u.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(e))  # one row
-    q = F.lit(1) + sum((F.when(F.col(value) > F.col("e")[k], 1).otherwise(0) for k in range(3)), F.lit(0))
-    return j.groupBy(q.alias("bucket")).agg(F.count("*").alias("n"), F.percentile(of, F.lit(0.5)).alias("median_retention"))
+    x = u.filter(F.col(value).isNotNull()).select(value, of).persist()  # read by some twenty small jobs
+    edges = [quantile(x, value, p) for p in (0.25, 0.5, 0.75)]
+    q = F.lit(1) + sum((F.when(F.col(value) > e, 1).otherwise(0) for e in edges if e is not None), F.lit(0))
+    b = x.select(q.alias("bucket"), F.col(of).alias("of"))
+    n = b.groupBy("bucket").agg(F.count("*").alias("n")).collect()
+    rows = [(r["bucket"], r["n"], quantile(b.filter(F.col("bucket") == r["bucket"]), "of", 0.5)) for r in n]  # four buckets at most
+    x.unpersist()
+    return u.sparkSession.createDataFrame(rows, "bucket int, n long, median_retention double")
+
+
+#: Bins of a histogram in quantile(), and rows that it sorts out at the end.
+BINS, FEW = 1024, 4096
+
+
+def quantile(df: DataFrame, value: str, p: float) -> float | None:
+    """The interpolated quantile of a numeric column, exact, with nulls left out; null for no values.
+
+    Ranks are found by histograms of BINS bins over ever smaller spans, each one aggregation without a wide sort, until the span holds
+    FEW values or one value alone: no task ever holds all distinct values."""
+    x = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    s = x.agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).first()
+    if not s["n"]:
+        return None
+    rank = p * (s["n"] - 1)
+    low, high = int(rank), min(int(rank) + 1, s["n"] - 1)
+    found = [_ranked(x, k, s["n"], s["a"], s["b"]) for k in sorted({low, high})]
+    return found[0] + (found[-1] - found[0]) * (rank - low)
+
+
+def _ranked(x: DataFrame, rank: int, n: int, a: float, b: float) -> float:
+    while a < b and n > FEW:
+        width = (b - a) / BINS
+        place = F.least(F.floor((F.col("v") - F.lit(a)) / F.lit(width)), F.lit(BINS - 1)).alias("bin")
+        for r in x.filter(F.col("v").between(a, b)).groupBy(place).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("bin").collect():
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        a, b, n = r["a"], r["b"], r["n"]
+    if a == b:
+        return a
+    return x.filter(F.col("v").between(a, b)).orderBy("v").offset(rank).limit(1).first()["v"]
 
 
 #: Minutes after the evening's end (20:00) at which a missing phase is overdue (fixed value).
@@ -139,27 +177,35 @@ def quality_issues(u: DataFrame, now: str) -> DataFrame:
     return u.withColumn("kind", kind).filter("kind IS NOT NULL").select(*KEY, "kind", F.when(F.col("kind") == "insufficient_data", F.col("reason")).alias("detail"))
 
 
+#: Classes of an event that showed a signal (fixed values).
+COMPLETE = ("immediate_continuation", "spike_and_fade", "delayed_breakout", "whipsaw")
+
+
 def study_members(u: DataFrame, outcomes: DataFrame, cohort: Cohort, start: str, end: str) -> DataFrame:
-    """Every event of the period with its exclusion reasons; the outcome counts as missing unless complete."""
-    o = outcomes.filter("status = 'complete'").select(*KEY, F.col("regular_close_return").alias("metric"))
-    m = u.filter(F.col("earnings_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).join(o, list(KEY), "left")
-    why = F.concat(cohort.exclusions(), reasons((F.col("metric").isNull(), "outcome_missing")))
-    return m.select(*KEY, "delay_minutes", "metric", why.alias("reasons"), (F.size(why) == 0).alias("included"))
+    """Every event of the period with its sorted exclusion reasons and whether it is eligible (in the cohort, with a finished feature).
 
+    outcomes: at most one an event (selection.outcome_choice()): status and regular_close_return. study.members() does this for many studies at once."""
+    o = outcomes.select(*KEY, F.col("status").alias("outcome_status"), F.col("regular_close_return").alias("metric"))
+    m = u.filter(F.col("earnings_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).join(o, list(KEY), "left")
+    done = F.coalesce(F.col("reaction_class").isin(*COMPLETE), F.lit(False))
+    why = F.array_sort(F.concat(cohort.exclusions(), outcome_reasons(done & F.col("delay_minutes").isNotNull())))
+    metric = F.when(F.col("outcome_status") == "complete", F.col("metric"))
+    return m.select(*KEY, "delay_minutes", metric.alias("metric"), why.alias("reasons"), (F.size(why) == 0).alias("included"), (cohort.keeps() & done).alias("eligible"))
 
-def study_result(members: DataFrame, threshold: DataFrame | None = None, least_sample: int = 5, direction: str = "positive") -> DataFrame:
-    """Means of the metric before and after the median delay of the included, the gates and the decision.
 
-    threshold: a one-row frame (threshold) frozen earlier, for the sealed stage; without it this is the development stage."""
-    used = members.filter("included")
-    t = threshold if threshold is not None else used.agg(F.percentile("delay_minutes", F.lit(0.5)).alias("threshold"))
-    early = F.col("delay_minutes") <= F.col("threshold")
-    r = used.crossJoin(F.broadcast(t.select("threshold"))).agg(  # one row
-        F.max("threshold").alias("threshold"), F.count("*").alias("n"), F.count_if(early).alias("n_early"), F.count_if(~early).alias("n_late"),
-        F.avg(F.when(early, F.col("metric"))).alias("early_mean"), F.avg(F.when(~early, F.col("metric"))).alias("late_mean"),
+def outcome_reasons(finished: Column) -> Column:
+    """Codes (fixed values) of a missing feature, and of a missing or unfinished outcome (columns outcome_status and metric)."""
+    return reasons(
+        (~finished, "feature_not_complete"), (F.col("outcome_status").isNull(), "outcome_missing"),
+        (F.col("outcome_status").isNotNull() & ((F.col("outcome_status") != "complete") | F.col("metric").isNull()), "outcome_not_complete"),
     )
-    r = r.withColumn("difference", F.col("early_mean") - F.col("late_mean"))
-    gate = (F.col("n") >= least_sample) & (F.col("n_early") > 0) & (F.col("n_late") > 0)
-    right = F.col("difference") > 0 if direction == "positive" else F.col("difference") < 0
-    decision = F.lit("refine") if threshold is None else F.when(gate & right, "paper_trade_candidate").otherwise("reject")
-    return r.withColumn("sample_gate", gate).withColumn("decision", decision)
+
+
+def study_result(members: DataFrame, rules: DataFrame | None = None, least_sample: int = 5, direction: str = "higher") -> DataFrame:
+    """study.results() of one study: members as study_members() gives them, of its development stage, or with rules (one row: threshold, frozen
+    earlier) of its sealed one."""
+    one = [F.lit("study").alias("study_key"), F.lit(1).alias("version")]
+    stage = F.lit("development" if rules is None else "oos").alias("stage")
+    m = members.select("*", *one, stage, F.lit(least_sample).alias("least_sample"), F.lit(direction).alias("expected_direction"), F.lit(None).cast("string").alias("outcome_status"))
+    r = study.results(m, None if rules is None else rules.select(*one, "threshold"))
+    return r.drop("study_key", "version", "stage", "complete_outcomes", "insufficient_outcomes")

@@ -56,15 +56,23 @@ def path_tail(bars: DataFrame, minutes: int = 30) -> DataFrame:
 
 
 def daily_context(events: DataFrame, daily: DataFrame, before: int = 120, after: int = 30) -> DataFrame:
-    """Sessions before and after each event's first session on or after it, by session number; after its symbol's last session, around that."""
-    days = daily.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("session_date")))
-    e = events.select(*KEY).join(days.select("symbol", "session_date", "n"), "symbol")
-    at = e.groupBy(*KEY).agg(F.coalesce(F.min(F.when(F.col("session_date") >= F.col("earnings_date"), F.col("n"))), F.max("n")).alias("at"))
-    return at.join(days, "symbol").filter(F.col("n").between(F.col("at") - before, F.col("at") + after)).withColumn("rel", F.col("n") - F.col("at")).drop("n", "at")
+    """Sessions before and after each event's first session on or after it, by session number; after its symbol's last session, around that.
+
+    The session number comes from one ordered pass over events and sessions, the sessions around it from an equi-join on symbol and number.
+    """
+    w = Window.partitionBy("symbol")
+    both = daily.select("symbol", F.col("session_date").alias("at"), F.lit(1).alias("side")).unionByName(events.select("symbol", F.col("earnings_date").alias("at"), F.lit(0).alias("side")))
+    earlier = F.sum("side").over(w.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = both.withColumn("first", F.least(earlier + 1, F.sum("side").over(w))).filter("side = 0 AND first > 0")
+    each = placed.select("symbol", F.col("at").alias("earnings_date"), F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("rel"), "first")
+    days = daily.withColumn("n", F.row_number().over(w.orderBy("session_date")))
+    return each.withColumn("n", (F.col("first") + F.col("rel")).cast("int")).drop("first").join(days, ["symbol", "n"]).drop("n")
 
 
 def development_split(events: DataFrame, holdout: float) -> DataFrame:
-    """One row: the period of all events, cut so that the last share of its days is held out."""
+    """One row: the period of all events, by days; its last share, to the nearest day (halves to the even one), is held out."""
+    if not 0 < holdout < 1:
+        raise ValueError("holdout must lie between 0 and 1")
     e = events.agg(F.min("earnings_date").alias("first"), F.max("earnings_date").alias("last"))
-    cut = F.date_sub("last", F.floor((F.datediff("last", "first") + 1) * holdout).cast("int"))
-    return e.select(F.col("first").alias("development_from"), cut.alias("development_to"), F.date_add(cut, 1).alias("oos_from"), F.col("last").alias("oos_to"))
+    cut = F.date_sub("last", F.bround(F.datediff("last", "first") * F.lit(float(holdout))).cast("int"))
+    return e.select(F.col("first").alias("development_from"), F.date_sub(cut, 1).alias("development_to"), cut.alias("oos_from"), F.col("last").alias("oos_to"))

@@ -134,17 +134,9 @@ def clean_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def path_tail(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(selection.path_tail(fx.bars(fx.events(spark, d)), 15).select(*KEY, "minute", "close", "part"))
-
-
-def path_tail_whole(spark: SparkSession, d: str) -> DataFrame:
     return rounded(selection.path_tail(fx.bars(fx.events(spark, d))).select(*KEY, "minute", "close", "part"))
 
 
-def daily_context_whole(spark: SparkSession, d: str) -> DataFrame:
-    return selection.daily_context(fx.events(spark, d), fx.daily_bars(spark, d)).select(*KEY, "rel", "session_date", "volume")
-
-
 def development_split(spark: SparkSession, d: str) -> DataFrame:
     return selection.development_split(fx.events(spark, d), 0.3)
 
@@ -253,7 +245,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         landed_calendar, landed_rejects, landed_session_bars, retrieval_mismatches, history_collection, landed_quotes, realized_moves, today_snapshot, captured_pending,
-        capture_candidates, active_symbols, clean_notes, path_tail, path_tail_whole, daily_context_whole, development_split, outcome_choice, operations_snapshot, register_studies, stage_status, evidence_digests,
+        capture_candidates, active_symbols, clean_notes, path_tail, development_split, outcome_choice, operations_snapshot, register_studies, stage_status, evidence_digests,
         stale_reprocess_plan, outcome_violations, spec_violations, result_violations, supersession_violations, cycle_violations,
     )
 }
@@ -312,15 +304,9 @@ SELECT DISTINCT day, symbol FROM ev JOIN w ON earnings_date BETWEEN previous AND
 CASE WHEN (conv_id + turn) % 7 = 0 OR coalesce(trim(text), '') = '' THEN 'body' END AS rejected FROM conversations""",
     "path_tail": f"""{_EB}, l AS (SELECT *, max(minute) FILTER (phase = 'earnings_regular') OVER (PARTITION BY symbol, earnings_date) AS last FROM bar)
 SELECT symbol, earnings_date, minute, round(close, 6) AS close, CASE WHEN phase = 'earnings_regular' THEN 'regular_tail' ELSE 'postmarket' END AS part
-FROM l WHERE phase <> 'earnings_regular' OR minute > last - 15""",
-    "path_tail_whole": f"""{_EB}, l AS (SELECT *, max(minute) FILTER (phase = 'earnings_regular') OVER (PARTITION BY symbol, earnings_date) AS last FROM bar)
-SELECT symbol, earnings_date, minute, round(close, 6) AS close, CASE WHEN phase = 'earnings_regular' THEN 'regular_tail' ELSE 'postmarket' END AS part
 FROM l WHERE phase <> 'earnings_regular' OR minute > last - 30""",
-    "daily_context_whole": f"""WITH {fx.DUCK_EVENTS}, {fx.DUCK_DAILY}, d AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session_date) AS n FROM daily),
-a AS (SELECT ev.symbol, earnings_date, coalesce(min(n) FILTER (session_date >= earnings_date), max(n)) AS n0 FROM ev JOIN d ON ev.symbol = d.symbol GROUP BY ALL)
-SELECT a.symbol, earnings_date, CAST(n - n0 AS INT) AS rel, session_date, volume FROM a JOIN d ON a.symbol = d.symbol AND n BETWEEN n0 - 120 AND n0 + 30""",
-    "development_split": f"""WITH {fx.DUCK_EVENTS}, e AS (SELECT min(earnings_date) AS a, max(earnings_date) AS b FROM ev), c AS (SELECT a, b, b - CAST(floor((b - a + 1) * 3e-1) AS INT) AS cut FROM e)
-SELECT a AS development_from, cut AS development_to, cut + 1 AS oos_from, b AS oos_to FROM c""",
+    "development_split": f"""WITH {fx.DUCK_EVENTS}, e AS (SELECT min(earnings_date) AS a, max(earnings_date) AS b FROM ev), c AS (SELECT a, b, b - CAST(round_even((b - a) * 3e-1, 0) AS INT) AS cut FROM e)
+SELECT a AS development_from, cut - 1 AS development_to, cut AS oos_from, b AS oos_to FROM c""",
     "outcome_choice": f"""{_EB}, {core._OUT}, t AS (SELECT symbol, earnings_date, status, regular_close_return, 'b' AS evidence_sha256 FROM oc
   UNION ALL SELECT symbol, earnings_date, CASE WHEN day(earnings_date) < 15 THEN 'complete' ELSE 'insufficient_data' END, 0, 'a' FROM oc)
 SELECT symbol, earnings_date, status, evidence_sha256, round(regular_close_return, 6) AS regular_close_return FROM t
@@ -333,7 +319,7 @@ QUALIFY row_number() OVER (PARTITION BY symbol, earnings_date ORDER BY status <>
 FROM spec LEFT JOIN reg ON spec.study_key = reg.study_key AND spec.version = reg.version""",
     "stage_status": f"""{_SPEC}, a AS (SELECT spec.*, stage, known, k % 3 <> 0 AS has_dev, k % 6 = 1 AS has_oos FROM spec CROSS JOIN (VALUES ('development'), ('oos')) v(stage)
   LEFT JOIN reg ON spec.study_key = reg.study_key AND spec.version = reg.version),
-s AS (SELECT *, CASE WHEN known IS DISTINCT FROM digest THEN 'plan_not_registered' WHEN stage = 'oos' AND NOT has_dev THEN 'sealed' WHEN stage = 'oos' AND k % 7 = 0 THEN 'rule_differs'
+s AS (SELECT *, CASE WHEN known IS DISTINCT FROM digest THEN 'plan_not_registered' WHEN stage = 'oos' AND NOT has_dev THEN 'sealed' WHEN has_dev AND k % 7 = 0 THEN 'rule_differs'
   WHEN k % 2 = 0 AND ((stage = 'development' AND has_dev) OR (stage = 'oos' AND has_oos)) THEN 'already_present' WHEN stage = 'oos' AND has_oos THEN 'already_evaluated' ELSE 'ready' END AS status FROM a)
 SELECT study_key, version, stage, status, CAST(CASE WHEN status = 'ready' THEN CASE WHEN has_oos THEN 3 WHEN has_dev THEN 2 ELSE 1 END END AS INT) AS generation FROM s""",
     "evidence_digests": f"""{_EB}, r AS (SELECT symbol, earnings_date, phase || ':' || minute || ':' || {_MICRO} || ':' || volume AS t FROM bar)
@@ -355,9 +341,3 @@ SELECT symbol, earnings_date, rule FROM y""",
     "cycle_violations": f"""WITH {fx.DUCK_TICKS}, x AS (SELECT date_trunc('hour', event_timestamp) AS started, hour(date_trunc('hour', event_timestamp)) BETWEEN 15 AND 20 AS active, bool_or(event_type = 'error') AS bad FROM tick GROUP BY 1, 2),
 y AS ({_BROKEN(("active AND bad AND hour(started) = 16", "degraded_without_error"), ("NOT active AND bad", "error_without_degraded"))}) SELECT started, rule FROM y""",
 }
-
-# --- over every order ---
-
-_ALL_ORDERS = fx.sql_all_orders(ORACLE_SQL)
-QUERIES |= {n: fx.all_orders(QUERIES[n.removesuffix("_all_orders")]) for n in _ALL_ORDERS}
-ORACLE_SQL |= _ALL_ORDERS

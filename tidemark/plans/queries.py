@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars as b
-from ..operators import integrity, ledger, reaction, research
+from ..operators import integrity, ledger, reaction, research, selection
 from ..operators.outcome import outcomes as outcome_rows
 from ..operators.reaction import HORIZONS, KEY
 from ..sources import calendar as cal
 from ..sources import fixtures as fx
 
+#: Wall clock of the capture window, in minutes of the day (fixed values).
+WINDOW_OPENS, WINDOW_ENDS = 15 * 60 + 50, 20 * 60 + 15
+
 NOW = "2030-01-01 00:00:00"
 DEV = ("1992-01-01", "1998-12-31")
 COHORT = research.Cohort(directions=("up",), least_abs_return=1.0, most_delay=60, least_surprise=-50.0)
@@ -191,12 +194,6 @@ def upsert_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def append_only_new_rows(spark: SparkSession, d: str) -> DataFrame:
-    t = fx.ticks(spark, d).select("symbol", "received_at", "event_id")
-    twice = t.filter("event_id % 2 = 0").unionByName(t.filter("event_id % 4 = 0"))
-    return ledger.new_rows(t.filter("event_id % 3 = 0"), twice, ["event_id"]).select("event_id", "symbol")
-
-
-def append_only_new_rows_all(spark: SparkSession, d: str) -> DataFrame:
     """Every row is offered, some of them twice."""
     t = fx.ticks(spark, d).select("symbol", "received_at", "event_id")
     twice = t.unionByName(t.filter("event_id % 4 = 0"))
@@ -235,8 +232,9 @@ def exclusion_counter(spark: SparkSession, d: str) -> DataFrame:
 
 def monitor_health(spark: SparkSession, d: str) -> DataFrame:
     t = fx.ticks(spark, d)
-    c = t.groupBy(F.date_trunc("hour", "event_timestamp").alias("started")).agg(F.countDistinct("symbol").alias("candidates"), F.count("*").alias("fetched"), F.bool_or(F.col("event_type") == "error").alias("bad"))
-    status = F.when(~F.hour("started").between(15, 20), "inactive").when(F.col("bad"), "degraded").otherwise("success")
+    c = t.groupBy(F.window("event_timestamp", "5 minutes")["start"].alias("started")).agg(F.countDistinct("symbol").alias("candidates"), F.count("*").alias("fetched"), F.bool_or(F.col("event_type") == "error").alias("bad"))
+    minute = F.hour("started") * 60 + F.minute("started")
+    status = F.when(~minute.between(WINDOW_OPENS, WINDOW_ENDS), "inactive").when(F.col("bad"), "degraded").otherwise("success")
     c = c.withColumn("status", status).groupBy(F.to_date("started").alias("market_date"))
     ok = lambda s: F.max(F.when(F.col("status") == s, F.col("started")))
     return c.agg(F.max_by("status", "started").alias("last_status"), F.max_by("fetched", "started").alias("last_fetched"), ok("success").alias("last_success"), ok("degraded").alias("last_degraded"), F.sum("candidates").alias("candidates"))
@@ -253,13 +251,7 @@ def feature_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def daily_context(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions 3 before to 2 after the first session on or after each event, by session number."""
-    from pyspark.sql import Window
-
-    days = fx.daily_bars(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("session_date")))
-    e = fx.events(spark, d).select(*KEY)
-    at = e.join(days.select("symbol", "session_date", F.col("n").alias("at")), "symbol").filter("session_date >= earnings_date").groupBy(*KEY).agg(F.min("at").alias("at"))
-    return at.join(days, "symbol").filter("n BETWEEN at - 3 AND at + 2").select(*KEY, (F.col("n") - F.col("at")).alias("rel"), "session_date", "volume")
+    return selection.daily_context(fx.events(spark, d), fx.daily_bars(spark, d)).select(*KEY, "rel", "session_date", "volume")
 
 
 def export_flatten(spark: SparkSession, d: str) -> DataFrame:
@@ -304,7 +296,7 @@ QUERIES = {
         trading_days, phase_bounds, key_violations, append_only_changes,
         reaction_features, class_distribution, monthly_counts, class_by_direction, retention_histogram, liquidity_quartiles, first_cross, checkpoint_asof,
         vwap_proxy, day_bars, minute_bars, latest_quote, degradation_reasons, changed_snapshots, authoritative_bars, coverage_summary, coverage_audit, outcomes,
-        cohort_page, cohort_counts, exclusion_reasons, exclusion_reasons_wide, quality_issues, scatter_series, liquidity_floor, upsert_events, append_only_new_rows, append_only_new_rows_all, coverage_replace,
+        cohort_page, cohort_counts, exclusion_reasons, exclusion_reasons_wide, quality_issues, scatter_series, liquidity_floor, upsert_events, append_only_new_rows, coverage_replace,
         reconcile_plan, study_members, study_result, exclusion_counter, monitor_health, feature_violations, daily_context, export_flatten,
     )
 }
@@ -385,9 +377,12 @@ o2 AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END"
     CASE WHEN regular_coverage < 0.95 THEN 'following_regular_coverage' END], lambda x: x IS NOT NULL) AS miss FROM o1),
 oc AS (SELECT symbol, earnings_date, CASE WHEN len(miss) > 0 THEN 'insufficient_data' ELSE 'complete' END AS status, array_to_string(miss, ',') AS missing, pre_close, {", ".join(_PRICES)},
     {", ".join(f"({c} - pre_close) / pre_close * 100 AS {c}_return" for c in _PRICES)}, regular_return_5m, regular_return_30m, regular_return_60m, regular_minutes, regular_coverage FROM o2)"""
-_MEMBERS = f"""{_U}, {_OUT}, om AS (SELECT symbol, earnings_date, regular_close_return AS metric FROM oc WHERE status = 'complete'),
-mem AS (SELECT u.symbol, u.earnings_date, delay_minutes, metric, {_WHY}, CASE WHEN metric IS NULL THEN 'outcome_missing' END], lambda x: x IS NOT NULL) AS why
-        FROM u LEFT JOIN om ON u.symbol = om.symbol AND u.earnings_date = om.earnings_date WHERE u.earnings_date BETWEEN DATE '{DEV[0]}' AND DATE '{DEV[1]}')"""
+_MEMBERS = f"""{_U}, {_OUT}, om AS (SELECT symbol, earnings_date, status AS o_status, regular_close_return AS o_metric FROM oc),
+mem0 AS (SELECT u.symbol, u.earnings_date, delay_minutes, o_status, o_metric, coalesce(reaction_class NOT IN ('insufficient_data', 'no_trigger_in_window'), FALSE) AS done, {_KEEP} AS inside, {_WHY},
+  CASE WHEN NOT coalesce(reaction_class NOT IN ('insufficient_data', 'no_trigger_in_window') AND delay_minutes IS NOT NULL, FALSE) THEN 'feature_not_complete' END, CASE WHEN o_status IS NULL THEN 'outcome_missing' END,
+  CASE WHEN o_status IS NOT NULL AND (o_status <> 'complete' OR o_metric IS NULL) THEN 'outcome_not_complete' END], lambda x: x IS NOT NULL) AS why0
+  FROM u LEFT JOIN om ON u.symbol = om.symbol AND u.earnings_date = om.earnings_date WHERE u.earnings_date BETWEEN DATE '{DEV[0]}' AND DATE '{DEV[1]}'),
+mem AS (SELECT symbol, earnings_date, delay_minutes, CASE WHEN o_status = 'complete' THEN o_metric END AS metric, list_sort(why0) AS why, inside AND done AS eligible FROM mem0)"""
 
 #: Good Fridays, as given dates; they must cover the tables' years and one on each side.
 _GOOD_FRIDAYS = (
@@ -477,38 +472,32 @@ WHEN backfilled THEN 'historical_backfill' WHEN observed_minutes < 105 THEN 'dat
 l AS (SELECT symbol, avg(close * volume) AS dv FROM t GROUP BY ALL) SELECT s.symbol, round(dv, 4) AS dollar_volume, dv IS NULL OR dv >= {FLOOR} AS keep FROM (SELECT DISTINCT symbol FROM ev) s LEFT JOIN l ON s.symbol = l.symbol""",
     "upsert_events": f"""WITH {fx.DUCK_EVENTS} SELECT symbol, earnings_date, round(CASE WHEN k % 3 <> 0 THEN coalesce(eps_estimate, CASE WHEN k % 3 <> 1 THEN eps_estimate + 1 END) ELSE eps_estimate + 1 END, 6) AS eps_estimate,
 round(CASE WHEN k % 3 <> 1 THEN eps_actual END, 6) AS eps_actual, k % 3 = 0 AS is_new FROM ev""",
-    "append_only_new_rows": "SELECT event_id, 'U' || user_id AS symbol FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0",
-    "append_only_new_rows_all": "SELECT event_id, 'U' || user_id AS symbol FROM events WHERE event_id % 3 <> 0",
+    "append_only_new_rows": "SELECT event_id, 'U' || user_id AS symbol FROM events WHERE event_id % 3 <> 0",
     "coverage_replace": f"""WITH {fx.DUCK_EVENTS}, a AS (SELECT symbol, earnings_date, CASE WHEN (k + n) % 4 = 0 THEN 'historical_backfill' ELSE 'scheduled_capture' END AS mode, CAST(n AS INT) AS retrieved_at FROM ev, range(3) r(n))
 SELECT symbol, earnings_date, CASE WHEN arg_min(mode, retrieved_at) = 'historical_backfill' THEN 'historical_backfill' ELSE 'scheduled_capture' END AS mode,
 CASE WHEN arg_min(mode, retrieved_at) = 'historical_backfill' THEN min(retrieved_at) ELSE max(retrieved_at) FILTER (mode = 'scheduled_capture') END AS retrieved_at FROM a GROUP BY ALL""",
     "reconcile_plan": f"""WITH {fx.DUCK_EVENTS}, q AS (SELECT symbol, year, quarter, min(earnings_date) AS d0, min(k) AS k0 FROM ev GROUP BY ALL HAVING (min(k) // 5) % 6 <> 0),
 li AS (SELECT symbol, year, quarter, d0 + CASE WHEN k0 % 3 = 0 THEN 7 ELSE 0 END AS d FROM q UNION ALL SELECT symbol, year, quarter, d0 + 14 FROM q WHERE k0 % 7 = 0),
 s AS (SELECT symbol, year, quarter, min(d) AS listed FROM li GROUP BY ALL HAVING min(d) = max(d)),
-x AS (SELECT ev.symbol, earnings_date, listed, CASE WHEN listed <> earnings_date AND NOT superseded THEN 'supersede' WHEN listed = earnings_date AND superseded THEN 'reinstate' END AS action FROM ev JOIN s ON ev.symbol = s.symbol AND ev.year = s.year AND ev.quarter = s.quarter)
-SELECT symbol, earnings_date, action, CAST(listed AS DATE) AS listed FROM x WHERE action IS NOT NULL""",
-    "study_members": f"{_MEMBERS} SELECT symbol, earnings_date, delay_minutes, round(metric, 6) AS metric, array_to_string(why, ',') AS reasons, len(why) = 0 AS included FROM mem",
-    "study_result": f"""{_MEMBERS}, us AS (SELECT * FROM mem WHERE len(why) = 0), t AS (SELECT quantile_cont(delay_minutes, 0.5) AS threshold FROM us),
-a AS (SELECT max(threshold) AS threshold, count(*) AS n, count(*) FILTER (delay_minutes <= threshold) AS n_early, count(*) FILTER (delay_minutes > threshold) AS n_late,
-avg(metric) FILTER (delay_minutes <= threshold) AS e, avg(metric) FILTER (delay_minutes > threshold) AS l FROM us, t)
-SELECT round(threshold, 6) AS threshold, n, n_early, n_late, round(e, 6) AS early_mean, round(l, 6) AS late_mean, round(e - l, 6) AS difference, n >= 5 AND n_early > 0 AND n_late > 0 AS sample_gate, 'refine' AS decision FROM a""",
+x AS (SELECT ev.symbol, earnings_date, listed, ev.year, ev.quarter, CASE WHEN listed <> earnings_date AND NOT superseded THEN 'supersede' WHEN listed = earnings_date AND superseded THEN 'reinstate' END AS action FROM ev JOIN s ON ev.symbol = s.symbol AND ev.year = s.year AND ev.quarter = s.quarter)
+SELECT symbol, earnings_date, action, CAST(listed AS DATE) AS listed, CASE WHEN action = 'supersede' THEN 'Q' || quarter || ' of ' || year || ' is listed on ' || strftime(listed, '%Y-%m-%d') END AS reason FROM x WHERE action IS NOT NULL""",
+    "study_members": f"{_MEMBERS} SELECT symbol, earnings_date, delay_minutes, round(metric, 6) AS metric, array_to_string(why, ',') AS reasons, len(why) = 0 AS included, eligible FROM mem",
+    "study_result": f"""{_MEMBERS}, t AS (SELECT quantile_cont(delay_minutes, 0.5) AS threshold FROM mem WHERE len(why) = 0),
+a AS (SELECT max(threshold) AS threshold, count(*) AS universe_count, count(*) FILTER (len(why) = 0) AS n, count(*) FILTER (eligible) AS eligible, count(*) FILTER (len(why) = 0 AND delay_minutes <= threshold) AS n_early,
+count(*) FILTER (len(why) = 0 AND delay_minutes > threshold) AS n_late, avg(metric) FILTER (len(why) = 0 AND delay_minutes <= threshold) AS e, avg(metric) FILTER (len(why) = 0 AND delay_minutes > threshold) AS l FROM mem, t)
+SELECT round(threshold, 6) AS threshold, universe_count, universe_count - n AS excluded_count, n, eligible, n_early, n_late, round(e, 6) AS early_mean, round(l, 6) AS late_mean, round(e - l, 6) AS difference,
+n >= 5 AND n_early > 0 AND n_late > 0 AS sample_gate, eligible = n AS coverage_gate, 'refine' AS decision FROM a""",
     "exclusion_counter": f"{_MEMBERS} SELECT reason, count(*) AS n FROM (SELECT unnest(why) AS reason FROM mem) GROUP BY ALL",
-    "monitor_health": f"""{_TICKS}, c AS (SELECT date_trunc('hour', event_timestamp) AS started, count(DISTINCT symbol) AS candidates, count(*) AS fetched, bool_or(event_type = 'error') AS bad FROM tick GROUP BY ALL),
-s AS (SELECT *, CASE WHEN hour(started) NOT BETWEEN 15 AND 20 THEN 'inactive' WHEN bad THEN 'degraded' ELSE 'success' END AS status FROM c)
+    "monitor_health": f"""{_TICKS}, c AS (SELECT time_bucket(INTERVAL '5 minutes', event_timestamp) AS started, count(DISTINCT symbol) AS candidates, count(*) AS fetched, bool_or(event_type = 'error') AS bad FROM tick GROUP BY ALL),
+s AS (SELECT *, CASE WHEN strftime(started, '%H:%M') NOT BETWEEN '15:50' AND '20:15' THEN 'inactive' WHEN bad THEN 'degraded' ELSE 'success' END AS status FROM c)
 SELECT CAST(started AS DATE) AS market_date, arg_max(status, started) AS last_status, arg_max(fetched, started) AS last_fetched, max(started) FILTER (status = 'success') AS last_success,
 max(started) FILTER (status = 'degraded') AS last_degraded, CAST(sum(candidates) AS BIGINT) AS candidates FROM s GROUP BY ALL""",
     "feature_violations": f"""{_HEAD} SELECT symbol, earnings_date, unnest(list_filter([CASE WHEN reaction_class <> 'insufficient_data' AND vwap IS NULL THEN 'complete_without_vwap' END,
 CASE WHEN reaction_class = 'insufficient_data' AND reason IS NULL THEN 'insufficient_without_reason' END, CASE WHEN mfe < 0 THEN 'negative_mfe' END, CASE WHEN mae > 0 THEN 'positive_mae' END,
 CASE WHEN observed_minutes < 95 THEN 'thin_window' END], lambda x: x IS NOT NULL)) AS rule FROM feat""",
     "daily_context": f"""WITH {fx.DUCK_EVENTS}, {fx.DUCK_DAILY}, d AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session_date) AS n FROM daily),
-a AS (SELECT ev.symbol, earnings_date, min(n) AS n0 FROM ev JOIN d ON ev.symbol = d.symbol AND session_date >= earnings_date GROUP BY ALL)
-SELECT a.symbol, earnings_date, CAST(n - n0 AS INT) AS rel, session_date, volume FROM a JOIN d ON a.symbol = d.symbol AND n BETWEEN n0 - 3 AND n0 + 2""",
+a AS (SELECT ev.symbol, earnings_date, coalesce(min(n) FILTER (session_date >= earnings_date), max(n)) AS n0 FROM ev JOIN d ON ev.symbol = d.symbol GROUP BY ALL)
+SELECT a.symbol, earnings_date, CAST(n - n0 AS INT) AS rel, session_date, volume FROM a JOIN d ON a.symbol = d.symbol AND n BETWEEN n0 - 120 AND n0 + 30""",
     "export_flatten": f"""{_U} SELECT symbol, strftime(earnings_date, '%Y-%m-%d') AS earnings_date, array_to_string(list_filter([CASE WHEN stale THEN 'stale' END, CASE WHEN early_close THEN 'early_close' END,
 CASE WHEN backfilled THEN 'backfilled' END], lambda x: x IS NOT NULL), ';') AS flags, coalesce(reaction_class, '') AS reaction_class FROM u""",
 }
-
-# --- over every order ---
-
-_ALL_ORDERS = fx.sql_all_orders(ORACLE_SQL)
-QUERIES |= {n: fx.all_orders(QUERIES[n.removesuffix("_all_orders")]) for n in _ALL_ORDERS}
-ORACLE_SQL |= _ALL_ORDERS

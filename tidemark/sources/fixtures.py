@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,35 +15,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_EVERY_ORDER = ContextVar("every_order", default=False)
-
-
-def all_orders(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query with events() of every order, not of each fifth order key alone."""
-
-    @wraps(query)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        before = _EVERY_ORDER.set(True)
-        try:
-            return query(spark, sf_dir)
-        finally:
-            _EVERY_ORDER.reset(before)
-
-    return run
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer and order weekday: symbol, earnings_date, k, path s, estimates and flags.
-
-    Of each fifth order key, as DUCK_EVENTS has it; under all_orders() of every order, as sql_all_orders() has it."""
-    o = read(spark, sf_dir, "orders")
-    o = (o if _EVERY_ORDER.get() else o.filter("o_orderkey % 5 = 0")).select("o_custkey", F.to_date("o_orderdate").alias("earnings_date"), "o_orderkey")
+    """One row per customer and order weekday, of every order: symbol, earnings_date, k, path s, estimates and flags."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("earnings_date"), "o_orderkey")
     e = o.filter(F.weekday("earnings_date") < 5).groupBy("o_custkey", "earnings_date").agg(F.min("o_orderkey").alias("k"))
-    return e.select(
-        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"), "earnings_date", "k", F.expr("CAST((k div 5) % 8 AS INT)").alias("s"),
+    # events are few bytes but become hundreds of bars each: dealt once by their key, all that is made of them needs no further shuffle on it
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _dealt(e, partitions).select(
+        "symbol", "earnings_date", "k", F.expr("CAST((k div 5) % 8 AS INT)").alias("s"),
         F.expr("CASE WHEN k % 9 = 0 THEN 'bmo' ELSE 'amc' END").alias("hour"),
         F.expr("CASE WHEN k % 11 <> 0 THEN (k % 200 - 50) / 1e2 END").alias("eps_estimate"),
         F.expr("CASE WHEN k % 11 <> 0 THEN (k % 200 - 50) / 1e2 + (k % 7 - 3) / 1e2 END").alias("eps_actual"),
+        F.expr("CASE WHEN k % 6 <> 0 THEN CAST(k % 300 AS DOUBLE) END").alias("revenue_estimate"), F.expr("CASE WHEN k % 6 <> 0 THEN k % 300 + (k % 5 - 2) * 1e0 END").alias("revenue_actual"),
         F.year("earnings_date").alias("year"), F.quarter("earnings_date").alias("quarter"),
         F.expr("k % 13 = 0").alias("illiquid"), F.expr("k % 17 = 0").alias("superseded"), F.expr("k % 19 <> 0").alias("post_covered"),
         F.expr("k % 23 = 5").alias("stale"), F.expr("k % 29 = 0").alias("early_close"), F.expr("k % 31 = 0").alias("backfilled"),
@@ -56,20 +35,20 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DUCK_EVENTS = """
 o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS earnings_date, min(o_orderkey) AS k FROM orders
-      WHERE o_orderkey % 5 = 0 AND isodow(CAST(o_orderdate AS DATE)) < 6 GROUP BY ALL),
+      WHERE isodow(CAST(o_orderdate AS DATE)) < 6 GROUP BY ALL),
 ev AS (
   SELECT 'C' || o_custkey AS symbol, earnings_date, k, CAST((k // 5) % 8 AS INT) AS s, CASE WHEN k % 9 = 0 THEN 'bmo' ELSE 'amc' END AS hour,
          CASE WHEN k % 11 <> 0 THEN (k % 200 - 50) / 1e2 END AS eps_estimate,
          CASE WHEN k % 11 <> 0 THEN (k % 200 - 50) / 1e2 + (k % 7 - 3) / 1e2 END AS eps_actual,
+         CASE WHEN k % 6 <> 0 THEN CAST(k % 300 AS DOUBLE) END AS revenue_estimate, CASE WHEN k % 6 <> 0 THEN k % 300 + (k % 5 - 2) * 1e0 END AS revenue_actual,
          year(earnings_date) AS year, quarter(earnings_date) AS quarter, k % 13 = 0 AS illiquid, k % 17 = 0 AS superseded, k % 19 <> 0 AS post_covered,
          k % 23 = 5 AS stale, k % 29 = 0 AS early_close, k % 31 = 0 AS backfilled
   FROM o)"""
-_FIFTH = "o_orderkey % 5 = 0 AND "
 
 
-def sql_all_orders(sql: dict[str, str]) -> dict[str, str]:
-    """Of the SQL that reads DUCK_EVENTS, by name with _all_orders: the same over every order."""
-    return {f"{n}_all_orders": q.replace(_FIFTH, "") for n, q in sql.items() if _FIFTH in q}
+def _dealt(e: DataFrame, partitions: int) -> DataFrame:
+    e = e.withColumn("symbol", F.concat(F.lit("C"), F.col("o_custkey").cast("string")))
+    return e.repartition(partitions, "symbol", "earnings_date")
 
 
 def bars(evs: DataFrame, first: int = -30, last: int = 104) -> DataFrame:
