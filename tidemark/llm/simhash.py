@@ -23,8 +23,9 @@ SEED = 42
 #: The tree is fitted on about this many distinct fingerprints, drawn by their hash.
 SAMPLE = 20_000
 
-#: Fingerprints that a shard owns, about; at least LEAST_DEPTH levels are made so that tasks are many.
+#: Fingerprints that a shard owns, about, and that it is compared with at once; at least LEAST_DEPTH levels are made so that tasks are many.
 SHARD_ROWS = 16_384
+GUEST_ROWS = 1 << 18
 LEAST_DEPTH = 5
 
 
@@ -171,16 +172,18 @@ def link_within(own: np.ndarray, guests: np.ndarray, fp: np.ndarray, radius: int
             groups.union(part[i], guests[j])
 
 
-def links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Edges (a, b) that join all fingerprints (column fp, distinct) within radius, a spanning set for each shard.
+def links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS, guest_rows: int = GUEST_ROWS) -> DataFrame:
+    """Edges (a, b) that join all fingerprints (column fp, distinct) within radius, a spanning set for each shard and block.
 
-    The tree is fitted on the sample, but every fingerprint is routed and compared: the result is exact.
+    The tree is fitted on the sample, but every fingerprint is routed and compared: the result is exact. What reaches a shard is dealt
+    to blocks by a hash, each with all that the shard owns, so that a group holds about shard_rows + guest_rows fingerprints at any size.
     """
     n = fps.count()
     draw = F.pmod(F.xxhash64("fp", F.lit("vp")), F.lit(1 << 40)) / float(1 << 40)
     rows = fps.filter(draw < min(1.0, sample / max(1, n))).select("fp").toArrow()["fp"]
     depth = max(LEAST_DEPTH, int(np.ceil(np.log2(max(1.0, n / shard_rows)))))
     tree = VpTree.fit(rows.to_numpy().view(np.uint64), depth)
+    blocks = max(1, -(-n // guest_rows))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,18 +191,25 @@ def links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard_rows
             for a in range(0, len(fp), 50_000):
                 part = fp[a : a + 50_000]
                 at, shard, own = tree.route(part, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(part[at].view(np.int64)), pa.array(own)], ["shard", "fp", "own"])
+                block = (part[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(blocks)
+                mine = np.flatnonzero(own)
+                shard = np.concatenate([shard, np.repeat(shard[mine], blocks)])
+                block = np.concatenate([block.astype(np.int32), np.tile(np.arange(blocks, dtype=np.int32), len(mine))])
+                value = np.concatenate([part[at], np.repeat(part[at[mine]], blocks)])
+                own = np.concatenate([np.zeros(len(at), bool), np.ones(len(mine) * blocks, bool)])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(block), pa.array(value.view(np.int64)), pa.array(own)], ["shard", "block", "fp", "own"])
 
     def search(shard: pd.DataFrame) -> pd.DataFrame:
-        fp, own = shard["fp"].to_numpy().view(np.uint64), np.flatnonzero(shard["own"].to_numpy())
+        fp, place = np.unique(shard["fp"].to_numpy().view(np.uint64), return_inverse=True)
+        mine = shard["own"].to_numpy()
         groups = Groups(len(fp))
-        link_within(own, np.arange(len(fp)), fp, radius, groups)
+        link_within(place[mine], place[~mine], fp, radius, groups)
         root = groups.roots(np.arange(len(fp)))
         linked = root != np.arange(len(fp))
         return pd.DataFrame({"a": fp[linked].view(np.int64), "b": fp[root[linked]].view(np.int64)})
 
-    routed = fps.select("fp").mapInArrow(route, "shard int, fp long, own boolean")
-    return routed.groupBy("shard").applyInPandas(search, "a long, b long")
+    routed = fps.select("fp").mapInArrow(route, "shard int, block int, fp long, own boolean")
+    return routed.groupBy("shard", "block").applyInPandas(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -217,20 +227,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return each.join(by_fp, "fp").select(key, "fp", "component_id")
 
 
-#: Rounds in which every text is compared with one of its group, before what is left is compared in pairs.
-ROUNDS = 3
+#: Texts and shingles of a block.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 500_000
 
 
-def near_copies(docs: DataFrame, key: str, text: str = "text", radius: int = RADIUS, width: int = 5, least: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, key: str, text: str = "text", radius: int = RADIUS, width: int = 5, least: float = 0.8, fingerprint_width: int = SHINGLE) -> DataFrame:
     """key and component_id, the smallest key of those that links reach. Keys are longs, distinct and not null.
 
-    Texts are linked if they are equal, or if their fingerprints lie within radius and the Jaccard similarity of their
-    sets of `width`-word shingles is `least` or more. Fingerprint links give groups outside of which there is no link.
-    In a group, texts like its first are linked to that; this is repeated for the rest; then each pair of two
-    different such sets is checked. So no link is missed, and a large group of copies costs no pairs inside of it.
+    Texts are linked if they are equal, or if their fingerprints (of fingerprint_width words) lie within radius and the Jaccard similarity of
+    their sets of `width`-word shingles is `least` or more. Null and empty texts are alike. Fingerprint links give groups outside of which there
+    is no link. In a group, texts like its most central one are linked to that; each that is not is compared with all of its group, block by
+    block, where a pair of blocks gives a spanning set of its links, not all pairs. So no link is missed, and no task holds a group.
     """
     each = docs.select(F.col(key).alias("key"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("sha"))
-    each = materialize(each.join(fingerprints(docs, key, text).select(F.col(key).alias("key"), "fp").hint("merge"), "key"), "fingerprints")
+    each = materialize(each.join(fingerprints(docs, key, text, fingerprint_width).select(F.col(key).alias("key"), "fp").hint("merge"), "key"), "fingerprints")
     texts = materialize(each.groupBy("sha").agg(F.min("key").alias("node"), F.min("fp").alias("fp")), "texts")
     loose = components(links(materialize(texts.select("fp").distinct(), "distinct"), radius)).withColumnRenamed("node", "fp")
     placed = materialize(texts.join(loose.hint("merge"), "fp", "left").select("node", "fp", F.coalesce("root", "fp").alias("area")), "placed")
@@ -244,34 +254,66 @@ def near_copies(docs: DataFrame, key: str, text: str = "text", radius: int = RAD
 
     full = placed.join(docs.select(F.col(key).alias("node"), F.col(text).alias("text")).hint("merge"), "node").select("node", "fp", "area", "text")
     full = materialize(full.mapInArrow(sets, "node long, fp long, area long, shingles array<long>"), "shingles")
-
-    left, linked, label = full, [], None
-    for k in range(ROUNDS):
-        first = left.groupBy("area").agg(F.min("node").alias("node"))
-        head = full.join(first.hint("merge"), ["node", "area"]).select("area", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("shingles").alias("shingles_b"))
-        like = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= radius) & (_jaccard("shingles", "shingles_b") >= least)
-        found = materialize(left.join(head.hint("merge"), "area").filter((F.col("node") == F.col("b")) | like).select("node", "b", F.lit(k).alias("round")), "like_first")
-        linked.append(found)
-        label = found if label is None else label.unionByName(found)
-        left = materialize(left.join(found.hint("merge"), "node", "left_anti"), "left")
-    size = F.size("shingles")
-    plain = full.select("node", "fp", "area", size.alias("size")).join(label.withColumnRenamed("b", "label").hint("merge"), "node", "left")
-    plain = materialize(plain.select("node", "fp", "area", "size", F.coalesce("label", "node").alias("label"), F.coalesce("round", F.lit(ROUNDS)).alias("round")), "labels")
-    x, y = (plain.select(*[F.col(c).alias(f"{c}_{side}") for c in plain.columns]) for side in ("x", "y"))
-    near = (F.bit_count(F.col("fp_x").bitwiseXOR(F.col("fp_y"))) <= radius) & (F.least("size_x", "size_y") >= F.lit(least) * F.greatest("size_x", "size_y"))
-    once = (F.col("round_y") == 0) | (F.col("node_x") < F.col("node_y"))
-    pairs = x.filter("round_x > 0").join(y.hint("merge"), F.col("area_x") == F.col("area_y")).filter(near & once & (F.col("label_x") != F.col("label_y")))
-    pairs = materialize(pairs.select("node_x", "node_y"), "pairs")
-    ends = [full.select(F.col("node").alias(f"node_{s}"), F.col("shingles").alias(f"shingles_{s}")) for s in ("x", "y")]
-    pairs = pairs.join(ends[0].hint("merge"), "node_x").join(ends[1].hint("merge"), "node_y").filter(_jaccard("shingles_x", "shingles_y") >= least)
-    edges = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-    for found in linked:
-        edges = edges.unionByName(found.select(F.col("node").alias("a"), "b"))
+    head = full.join(_central(full).hint("merge"), ["node", "area"]).select("area", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("shingles").alias("shingles_b"))
+    like = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= radius) & (_jaccard("shingles", "shingles_b") >= least)
+    found = materialize(full.join(head.hint("merge"), "area").filter((F.col("node") == F.col("b")) | like).select("node", "b"), "like_central")
+    rest = full.select("node").join(found.hint("merge"), "node", "left_anti")
+    edges = found.filter("node <> b").select(F.col("node").alias("a"), "b").unionByName(_compared(full, rest, radius, least))
     stars = components(edges)
     ids = texts.join(stars.hint("merge"), "node", "left").select("sha", F.coalesce("root", "node").alias("component_id"))
     return each.join(ids.hint("merge"), "sha").select(F.col("key").alias(key), "component_id")
 
 
+def _central(rows: DataFrame) -> DataFrame:
+    """area and node: of each area the one whose fingerprint is nearest to the area's bitwise majority, the smallest of several."""
+    bits = rows.groupBy("area").agg(F.count("*").alias("n"), *[F.sum(F.expr(f"getbit(fp, {k})").cast("long")).alias(f"b{k}") for k in range(64)])
+    most = F.lit(0).cast("long")
+    for k in range(64):
+        most = most.bitwiseOR(F.when(F.col(f"b{k}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(0))
+    far = rows.select("area", "node", "fp").join(bits.select("area", most.alias("most")).hint("merge"), "area")
+    return far.groupBy("area").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("most"))), "node")).alias("x")).select("area", F.col("x.node").alias("node"))
+
+
+def _compared(full: DataFrame, rest: DataFrame, radius: int, least: float) -> DataFrame:
+    """Edges (a, b) that join each of the nodes in `rest` to all of its area that are like it: a spanning set for each pair of blocks."""
+    size = lambda df: df.groupBy("area").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    asks = materialize(full.join(rest.hint("merge"), "node"), "asking")
+    n_asks, n_all = size(asks).withColumnRenamed("blocks", "ask_blocks"), size(full).withColumnRenamed("blocks", "all_blocks")
+    blocks = materialize(n_asks.join(n_all.hint("merge"), "area"), "blocks")
+    deal = lambda of: F.pmod(F.xxhash64("node"), F.col(of).cast("long")).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    cols = ["area", "node", "fp", "shingles"]
+    x = asks.join(blocks.hint("merge"), "area").select(*cols, deal("ask_blocks").alias("i"), every("all_blocks").alias("j"))
+    y = full.join(blocks.hint("merge"), "area").select(*cols, deal("all_blocks").alias("j"), every("ask_blocks").alias("i"))
+
+    def link(asking: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        node = np.concatenate([asking["node"].to_numpy(np.int64), others["node"].to_numpy(np.int64)])
+        names, place = np.unique(node, return_inverse=True)
+        groups = Groups(len(names))
+        if len(asking) and len(others):
+            sets = [np.asarray(s, np.int64) for s in others["shingles"]]
+            sizes, fp = np.array([len(s) for s in sets]), others["fp"].to_numpy(np.int64)
+            value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(value, kind="stable")
+            value, owner = value[order], owner[order]
+            for k, (own, mine) in enumerate(zip(asking["fp"].to_numpy(np.int64), asking["shingles"], strict=True)):
+                mine = np.asarray(mine, np.int64)
+                first, last = np.searchsorted(value, mine), np.searchsorted(value, mine, side="right")
+                n = last - first
+                at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+                both = np.bincount(owner[at], minlength=len(sets))
+                of = sizes + len(mine) - both
+                alike = np.where(of == 0, 1.0, both / np.maximum(of, 1)) >= least
+                alike &= np.bitwise_count((fp ^ own).view(np.uint64)) <= radius
+                hit = place[len(asking) + np.flatnonzero(alike)]
+                groups.union(np.full(len(hit), place[k]), hit)
+        root = groups.roots(np.arange(len(names)))
+        linked = root != np.arange(len(names))
+        return pd.DataFrame({"a": names[linked], "b": names[root[linked]]})
+
+    return x.groupBy("area", "i", "j").cogroup(y.groupBy("area", "i", "j")).applyInPandas(link, "a long, b long")
+
+
 def _jaccard(a: str, b: str) -> Column:
     """Of two arrays of distinct longs; two empty ones are alike."""
     both = F.size(F.array_intersect(a, b))
