@@ -15,7 +15,20 @@ from .common import documents
 #: Phrases that are looked for word by word, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label and template. Markup: <<beginOptional>> ... <<endOptional>> for words that may be absent,
+#: Parts of the templates below (license wording, fixed values).
+_EITHER, _LATER = "<<beginOptional>>either<<endOptional>>", "<<beginOptional>>of the license<<endOptional>> <<beginOptional>>or at your option any later version<<endOptional>>"
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice "
+    "this list of conditions and the following disclaimer <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation "
+    "and or other materials provided with the distribution"
+)
+_BSD_END = (
+    'this software is provided by <<var;name="holder";words="1-8">> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed '
+    'in no event shall <<var;name="holder";words="1-8">> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits '
+    "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+
+#: Label and template. Labels of whole texts and notices end in -text or -notice or name a version; the others are short mentions. Markup: <<beginOptional>> ... <<endOptional>> for words that may be absent,
 #: <<var;name="...";words="a-b">> for a to b words of any kind. All other wording is mandatory, word for word.
 TEMPLATES = (
     ("mit", 'released under the MIT license'),
@@ -38,7 +51,43 @@ TEMPLATES = (
         "bsd",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     ),
-    ("copyright-notice", '<<beginOptional>>copyright<<endOptional>> <<beginOptional>>c<<endOptional>> <<var;name="holder";words="1-6">> all rights reserved'),
+    ("copyright-notice", 'copyright <<beginOptional>>c<<endOptional>> <<var;name="holder";words="1-8">> all rights reserved'),
+    ("copyright-notice", 'c <<var;name="holder";words="1-8">> all rights reserved'),
+    # notices that name a license and its version
+    ("gpl-3.0", f"under the terms of the GNU general public license as published by the free software foundation {_EITHER} version 3 {_LATER}"),
+    ("gpl-2.0", f"under the terms of the GNU general public license as published by the free software foundation {_EITHER} version 2 {_LATER}"),
+    ("lgpl-3.0", f"under the terms of the GNU lesser general public license as published by the free software foundation {_EITHER} version 3 {_LATER}"),
+    ("lgpl-2.1", f"under the terms of the GNU lesser general public license as published by the free software foundation {_EITHER} version 2.1 {_LATER}"),
+    ("agpl-3.0", f"under the terms of the GNU affero general public license as published by the free software foundation {_EITHER} version 3 {_LATER}"),
+    ("mpl-2.0", "subject to the terms of the mozilla public license <<beginOptional>>version<<endOptional>> <<beginOptional>>v<<endOptional>> 2.0"),
+    (
+        "apache-2.0-notice",
+        "licensed under the apache license version 2.0 <<beginOptional>>the license<<endOptional>> you may not use this <<var;name=\"work\";words=\"1-3\">> except in compliance with the license "
+        "you may obtain a copy of the license at <<var;name=\"place\";words=\"1-10\">> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    # whole texts: conditions and disclaimer are mandatory, names and numbering are not
+    (
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of <<var;name=\"object\";words=\"1-8\">> <<beginOptional>>and associated documentation files<<endOptional>> <<beginOptional>>the software<<endOptional>> "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
+        "furnished to do so subject to the following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the "
+        "<<var;name=\"holder\";words=\"1-8\">> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    ("bsd-2-text", f"{_BSD} {_BSD_END}"),
+    (
+        "bsd-3-text",
+        f"{_BSD} <<beginOptional>>3<<endOptional>> neither the name of <<var;name=\"holder\";words=\"1-8\">> nor the names of its contributors may be used to endorse or promote products derived from this software "
+        f"without specific prior written permission {_BSD_END}",
+    ),
+    (
+        "isc-text",
+        "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and <<var;name=\"holder\";words=\"1-8\">> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var;name=\"holder\";words=\"1-8\">> "
+        "be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in "
+        "connection with the use or performance of this software",
+    ),
 )
 
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -160,9 +209,9 @@ def scan(text: str | None, base: Sequence[tuple[bytes, str]], automata: Sequence
     line = b" " + b" ".join(ws) + b" "
     starts, labels, spans = [], set(), []
     for phrase, label in base:
-        at = line.find(phrase)
+        at, before, k = line.find(phrase), 0, 0
         while at >= 0:
-            k = line.count(b" ", 0, at)
+            k, before = k + line.count(b" ", before, at), at  # blanks before a hit number its word
             starts.append(k)
             spans.append((label, k, k + phrase.count(b" ") - 2))
             labels.add(label)
@@ -204,4 +253,5 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", base:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """license_scan() of all documents: a row each, repeated rows and copies too; null and empty texts as it says. Only doc_id and text are read."""
     return license_scan(documents(spark, sf_dir)).drop("spans")
