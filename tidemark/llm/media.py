@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -70,10 +71,14 @@ def feature(payload: bytes) -> str:
 
 
 class _Parts(HTMLParser):
-    """Text and media in the order of the page; a figure's caption goes to the media in it."""
+    """Text and media in the order of the page; a figure's caption goes to the media in it.
+
+    Broken pages have a defined result: a caption left open ends with its figure or at the next block, silent elements left open end with the
+    page, an unclosed title is read as text, unknown markup declarations are left out.
+    """
 
     SILENT = {"script", "style", "template", "noscript", "title"}
-    BREAKS = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "article", "section", "pre", "blockquote"}
+    BREAKS = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "article", "section", "pre", "blockquote", "table", "ul", "ol"}
     MEDIA = {"img", "audio", "video", "source", "embed"}
 
     def __init__(self) -> None:
@@ -84,16 +89,29 @@ class _Parts(HTMLParser):
         self.figure: list[int] | None = None
         self.caption: list[str] | None = None
 
+    def parse_marked_section(self, i, report=1):
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
     def flush(self) -> None:
         text = "".join(self.buffer)
         self.buffer = []
         if text.strip():
             self.parts.append({"kind": "text", "text": text, "digest": None, "caption": None, "n_bytes": None})
 
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            for k in self.figure or []:
+                self.parts[k]["caption"] = "".join(self.caption)
+            self.caption = None
+
     def handle_starttag(self, tag, attrs):
         if tag in self.SILENT:
             self.quiet += 1
+        elif self.quiet:
+            return
         elif tag == "figure":
+            self.end_caption()
             self.flush()
             self.figure = []
         elif tag == "figcaption":
@@ -106,21 +124,23 @@ class _Parts(HTMLParser):
                 self.flush()
                 size = named.get("data-bytes") or ""
                 digest = src[len(SCHEME) :] if src.startswith(SCHEME) else None
-                self.parts.append({"kind": "media", "text": src, "digest": digest, "caption": named.get("alt"), "n_bytes": int(size) if size.isdigit() else None})
+                known = re.fullmatch("[0-9]{1,18}", size)  # what a long column holds
+                self.parts.append({"kind": "media", "text": src, "digest": digest, "caption": named.get("alt"), "n_bytes": int(size) if known else None})
                 if self.figure is not None:
                     self.figure.append(len(self.parts) - 1)
         elif tag in self.BREAKS:
+            self.end_caption()
             self.flush()
 
     def handle_endtag(self, tag):
         if tag in self.SILENT:
             self.quiet = max(0, self.quiet - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = "".join(self.caption)
-            for k in self.figure or []:
-                self.parts[k]["caption"] = text
-            self.caption = None
+        elif self.quiet:
+            return
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag == "figure":
+            self.end_caption()
             self.figure = None
         elif tag in self.BREAKS:
             self.flush()
@@ -130,11 +150,18 @@ class _Parts(HTMLParser):
             (self.buffer if self.caption is None else self.caption).append(data)
 
 
+_TITLE = re.compile(r"<title\b[^>]*>", re.I)
+
+
 def parse_html(html: str | None) -> list[dict]:
     """Parts of a page in order, positions from 0. Null and empty pages have none."""
     p = _Parts()
-    p.feed(html or "")
+    page = html or ""
+    if "</title" not in page.lower():
+        page = _TITLE.sub(" ", page)
+    p.feed(page)
     p.close()
+    p.end_caption()
     p.flush()
     return [{"position": k, **x} for k, x in enumerate(p.parts)]
 
@@ -222,8 +249,10 @@ def as_page(text: Column) -> Column:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a page whose figure refers to its own payload: stored, read back and resolved by digest, with the reference's position and
+    caption (the text's first line). A row per document, repeated rows too; null and empty texts are one row of 64 bytes 0."""
     docs = documents(spark, sf_dir)
     resolved = materialize(features(store(docs)), "media_features")
     parts = interleave(docs.select("doc_id", as_page(F.col("text")).alias("html")), "doc_id", "html")
     out = resolve(parts, resolved, "doc_id")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
