@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
@@ -247,6 +248,61 @@ def test_licenses(spark, edge, empty):
     assert (null["n_words"], null["first_word"], null["labels"], null["score"]) == (0, None, "", 0.0)
 
 
+def test_whole_licenses_and_notices():
+    labels = lambda t: licenses.scan(t, [(b" " + p.encode() + b" ", x) for p, x in licenses.BASE], [licenses.compile_template(x, m) for x, m in licenses.TEMPLATES])[5].split(",")
+    text = {x: re.sub(r"<<var;[^>]*>>", "some holder", re.sub(r"<<(begin|end)Optional>>", " ", m)) for x, m in licenses.TEMPLATES}
+    for label, word in (("mit-text", "merge"), ("bsd-2-text", "disclaimer"), ("bsd-3-text", "disclaimer"), ("isc-text", "fitness"), ("apache-2.0-notice", "governing")):
+        words = text[label].split()
+        assert label in labels(" ".join(words).title()), label
+        for cut in (words.index(word), len(words) - 3):  # a condition or the disclaimer changed
+            assert label not in labels(" ".join(words[:cut] + ["never"] + words[cut:])), label
+    notice = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    assert "gpl-3.0" in labels(notice) and "gpl-2.0" in labels(notice.replace("version 3", "version 2")) and "agpl-3.0" in labels(notice.replace("GNU", "GNU Affero"))
+    assert labels("the cats ran and all rights reserved") == ["reserved"]
+    assert labels("Copyright (c) 2020 A. Holder. All rights reserved.") == ["copyright-notice", "reserved"]
+
+
+def brute_base(text):
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
+    hits = [(k, label) for phrase, label in licenses.BASE for k in range(len(ws)) if ws[k : k + len(phrase.split())] == phrase.split()]
+    starts = [k for k, _ in hits]
+    return len(ws), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in hits}))
+
+
+def brute_labels(text):
+    """Templates as regular expressions over the words."""
+    line = b" " + b" ".join(licenses.text_words(text)) + b" "
+    found = set()
+    for label, markup in licenses.TEMPLATES:
+        expr, opened = b"", 0
+        for k, part in enumerate(re.split(r"<<(.*?)>>", markup)):
+            if k % 2 == 0:
+                expr += b"".join(re.escape(w) + b" " for w in licenses.text_words(part))
+            elif part == "beginOptional":
+                expr += b"(?:"
+            elif part == "endOptional":
+                expr += b")?"
+            else:
+                low, high = re.search(r'words="(\d+)-(\d+)"', part).groups()
+                expr += b"(?:[^ ]+ ){%s,%s}" % (low.encode(), high.encode())
+        if re.search(b" " + expr, line):
+            found.add(label)
+    return found
+
+
+def test_license_scan_against_brute_force(spark):
+    rng = random.Random(8)
+    bits = ["CC BY", "cc-by", "4.0", "NC", "licensed under", "a", "the", "terms of", "GNU", "general public license", "General Public", "version", "2", "3", "MIT license", "released under", "all rights", "reserved", "Copyright", "c", "é", "\u2003",
+            "apache license", "2.0", "as published by the free software foundation", "either", "mozilla public license", "subject to", ","]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["cc by " * 16_000, None]
+    got = {r["doc_id"]: r for r in licenses.license_scan(docs(spark, [(k, t, None, None) for k, t in enumerate(texts)])).collect()}
+    for k, t in enumerate(texts):
+        r = got[k]
+        n, base, first, last, labels = brute_base(t or "")
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (n, base, first, last, labels)
+        assert set(filter(None, r["labels"].split(","))) == brute_labels(t) | set(filter(None, labels.split(",")))
+
+
 def test_template_markup():
     a = licenses.compile_template("x", 'one <<beginOptional>>two <<beginOptional>>deep<<endOptional>><<endOptional>> three <<var;name="n";words="1-2">> four')
     ok = lambda s: [x for x in a.spans(licenses.text_words(s))]
@@ -311,6 +367,51 @@ def test_html_sequences():
     assert media.parse_html(None) == []
 
 
+def test_broken_html():
+    text = lambda html: [(p["kind"], p["text"].strip(), p["caption"], p["n_bytes"]) for p in media.parse_html(html)]
+    for size, want in (("\u00b2", None), ("9" * 5000, None), ("9" * 30, None), ("12", 12), ("-1", None), ("", None)):
+        assert text(f'<img src="x" data-bytes="{size}">') == [("media", "x", None, want)]
+    assert text("a<![foo[bar]]>b<p>c") == [("text", "ab", None, None), ("text", "c", None, None)] and text("a<![") in ([("text", "a", None, None)], [("text", "a<![", None, None)])
+    assert text('<figure><img src="x"><figcaption>cap<p>tail') == [("media", "x", "cap", None), ("text", "tail", None, None)]
+    assert text('<figure><img src="x"><figcaption>cap</figure>tail') == [("media", "x", "cap", None), ("text", "tail", None, None)]
+    assert text('<figure><img src="x"><figcaption>cap') == [("media", "x", "cap", None)]
+    assert ("text", "body", None, None) in text("<title>t<body><p>body") and text("<noscript><img src=x>no</noscript>yes") == [("text", "yes", None, None)]
+    assert [x[1] for x in text("<td>a</td><td>b</td>")] == ["a", "b"]
+    assert [x[:3] for x in text('<figure><img src="a"><img src="b"><figcaption>two</figcaption></figure><img src="c" alt="d">')] == [("media", "a", "two"), ("media", "b", "two"), ("media", "c", "d")]
+
+
+def plain_png(data):
+    """Samples of an 8-bit grey PNG with any of the five row filters, by the format's definition."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, body, shape = 8, b"", None
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4]), data[at + 4 : at + 8]
+        chunk = data[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + chunk) == int.from_bytes(data[at + 8 + n : at + 12 + n])
+        shape = (int.from_bytes(chunk[:4]), int.from_bytes(chunk[4:8]), *chunk[8:13]) if kind == b"IHDR" else shape
+        body += chunk if kind == b"IDAT" else b""
+        at += 12 + n
+    assert kind == b"IEND" and shape[2:] == (8, 0, 0, 0, 0)
+    raw, out, before = zlib.decompress(body), b"", bytes(shape[0])
+    for y in range(shape[1]):
+        kind, row, line = raw[y * (shape[0] + 1)], raw[y * (shape[0] + 1) + 1 : (y + 1) * (shape[0] + 1)], bytearray()
+        for x, v in enumerate(row):
+            a, b, c = (line[x - 1] if x else 0), before[x], (before[x - 1] if x else 0)
+            p = [abs(b - c), abs(a - c), abs(a + b - 2 * c)]
+            guess = [0, a, b, (a + b) // 2, (a, b, c)[p.index(min(p))]][kind]
+            line.append((v + guess) % 256)
+        before, out = bytes(line), out + bytes(line)
+    assert len(raw) == shape[1] * (shape[0] + 1)
+    return out
+
+
+def test_png_by_its_definition():
+    rng = random.Random(6)
+    for n in (1, 64, 65, 1000, 5000):
+        payload = media.padded(rng.randbytes(n))
+        assert plain_png(media.to_png(payload)) == payload
+
+
 # --- op7 ---
 
 

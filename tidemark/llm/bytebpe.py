@@ -51,6 +51,10 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
         import os
 
+        import public_tokenizers
+
+        if pattern != public_tokenizers.PATTERN:
+            raise ValueError("texts are cut by what holds for public_tokenizers.PATTERN; another pattern needs rules of its own")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
