@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def upsert_events(stored: DataFrame, new: DataFrame, key: list[str], keep: list[str], renew: list[str]) -> DataFrame:
@@ -22,6 +24,16 @@ def new_rows(existing: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.dropDuplicates(key).join(had, same, "left_anti")
 
 
+def written(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+    """The Parquet table at path, None if there is none yet. Any other error of the read is raised."""
+    try:
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def append_ledger(rows: DataFrame, path: str, key: list[str], by: str | None = None) -> int:
     """Append new_rows() to a Parquet ledger; running it again adds nothing. Returns how many were added (append_counted() tells the rest)."""
     return append_counted(rows, path, key, by)[0]
@@ -33,26 +45,22 @@ def append_counted(rows: DataFrame, path: str, key: list[str], by: str | None =
     by: a column, one of the key, that the ledger is partitioned by. Only the partitions of the rows' values are read then: the join on
     them prunes partitions at run time. Without it every call reads the keys of the whole ledger. One writer at a time is assumed.
     """
-    spark = rows.sparkSession
-    from pyspark.errors import AnalysisException
-    from pyspark.sql import Observation
-
-    offered, added = Observation(), Observation()
-    rows = rows.observe(offered, F.count(F.lit(1)).alias("n"))
-    try:
-        old = spark.read.schema(rows.schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    rows = rows.persist()
+    offered = rows.count()
+    old = written(rows.sparkSession, path, rows.schema)
+    if old is None:
         fresh = rows.dropDuplicates(key)
     else:
         if by is not None:
             old = old.join(F.broadcast(rows.select(by).distinct()), by, "left_semi")  # the dates of one batch
         fresh = new_rows(old, rows, key)
-    out = fresh.observe(added, F.count(F.lit(1)).alias("n")).write.mode("append")
-    (out if by is None else out.partitionBy(by)).parquet(path)
-    inserted = added.get["n"]
-    return inserted, max(offered.get["n"], inserted) - inserted
+    fresh = fresh.persist()  # counted and written as one set
+    inserted = fresh.count()
+    if inserted:
+        (fresh.write.mode("append") if by is None else fresh.write.mode("append").partitionBy(by)).parquet(path)
+    fresh.unpersist()
+    rows.unpersist()
+    return inserted, offered - inserted
 
 
 def coverage_now(arrivals: DataFrame, key: list[str]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.bars import minute_bars
-from ..operators.ledger import append_ledger
+from ..operators.ledger import append_ledger, new_rows, written
 
 
 def stream_minute_bars(ticks: DataFrame, path: str, checkpoint: str, delay: str = "1 minute", bucket: str = "1 minute") -> StreamingQuery:
@@ -18,6 +19,25 @@ def stream_minute_bars(ticks: DataFrame, path: str, checkpoint: str, delay: str
     return bars.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def flush_minute_bars(ticks: DataFrame, path: str, rest: str, bucket: str = "1 minute") -> int:
+    """After a stream_minute_bars() run into path has ended: append to `rest` the bars that its watermark left open, those later than each bar in path. Run
+    again it adds nothing. Returns how many were added.
+
+    They go to a folder of their own, as a stream's folder is read by its own log, which knows no other files. ticks: the source's rows as a batch, of which
+    only those from the newest streamed bar on are used."""
+    streamed = written(ticks.sparkSession, path)
+    last = None if streamed is None else streamed.agg(F.max("bar_ts")).first()[0]
+    late = ticks if last is None else ticks.filter(F.col("event_timestamp") > F.lit(last))
+    bars = minute_bars(late, bucket, "event_timestamp")
+    return append_ledger(bars if last is None else bars.filter(F.col("bar_ts") > F.lit(last)), rest, ["symbol", "bar_ts"])
+
+
+def all_minute_bars(spark: SparkSession, path: str, rest: str) -> DataFrame:
+    """Streamed bars, and flushed ones that the stream has not written since."""
+    streamed = spark.read.parquet(path)
+    return streamed.unionByName(new_rows(streamed, spark.read.schema(streamed.schema).parquet(rest), ["symbol", "bar_ts"]))
+
+
 def stream_quotes(ticks: DataFrame, path: str, checkpoint: str, key: list[str]) -> StreamingQuery:
     """Idempotent ingestion: each micro-batch appends only rows whose key the ledger lacks, so a replayed batch adds nothing."""
     return ticks.writeStream.foreachBatch(lambda df, _: append_ledger(df, path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

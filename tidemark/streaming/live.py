@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.columns import pct_change, row_digest
 from ..operators.bars import coverage_summary
-from ..operators.ledger import append_ledger
+from ..operators.ledger import append_ledger, written
 from ..operators.reaction import THRESHOLD_PCT
 from ..sources.landed import session_bars
 
@@ -29,26 +28,57 @@ def in_window(ticks: DataFrame, days: DataFrame, local: str = "event_timestamp")
     return t.join(F.broadcast(sessions), F.to_date(local) == F.col("_day")).drop("_day")
 
 
-def stream_cycles(ticks: DataFrame, quotes: str, cycles: str, checkpoint: str, key: list[str]) -> StreamingQuery:
+def stream_cycles(ticks: DataFrame, quotes: str, cycles: str, checkpoint: str, key: list[str], days: DataFrame | None = None) -> StreamingQuery:
     """Quotes into a ledger, and a row per micro-batch: batch, status, candidates, fetched, inserted, conflicted, error_kind, error_message.
 
-    A batch that holds an `error` tick is `degraded`, an empty one `no_candidates`. The batch number is the cycle's key, so a
-    replayed batch adds neither quotes nor a second row.
+    With days (the calendar) only quotes of the capture window are stored, and a batch without any is `inactive`. A batch that holds an `error` tick is
+    `degraded`, an empty one `no_candidates`. A batch as idle as the one before it (`inactive`, `no_candidates`) adds no row. The batch number is the
+    cycle's key, so a replayed batch adds neither quotes nor a second row. CycleListener adds the row of a query that failed.
     """
 
     def each(df: DataFrame, batch: int) -> None:
-        added = append_ledger(df, quotes, key)
-        c = df.agg(F.count("*").alias("fetched"), F.countDistinct("symbol").alias("candidates"), F.coalesce(F.bool_or(F.col("event_type") == "error"), F.lit(False)).alias("bad"))
-        status = F.when(F.col("fetched") == 0, "no_candidates").when(F.col("bad"), "degraded").otherwise("success")
+        inside = df if days is None else in_window(df, days)
+        added = append_ledger(inside, quotes, key)
+        c = inside.agg(F.count("*").alias("fetched"), F.countDistinct("symbol").alias("candidates"), F.coalesce(F.bool_or(F.col("event_type") == "error"), F.lit(False)).alias("bad"))
+        idle = "no_candidates" if days is None or df.isEmpty() else "inactive"
+        status = F.when(F.col("fetched") == 0, idle).when(F.col("bad"), "degraded").otherwise("success")
         row = c.select(
             F.lit(batch).cast("long").alias("batch"), status.alias("status"), "candidates", "fetched", F.lit(added).cast("long").alias("inserted"), (F.col("fetched") - added).alias("conflicted"),
             F.when(F.col("bad"), "feed_error").alias("error_kind"), F.when(F.col("bad"), "request failed").alias("error_message"),
         )
+        before = written(df.sparkSession, cycles, row.schema)
+        if before is not None:
+            last = before.filter(F.col("batch") < batch).agg(F.max_by("status", "batch").alias("was"))
+            row = row.crossJoin(F.broadcast(last)).filter(~(F.col("status").isin("inactive", "no_candidates") & F.col("status").eqNullSafe(F.col("was")))).drop("was")  # one row
         append_ledger(row, cycles, ["batch"])
 
     return _start(ticks, each, checkpoint)
 
 
+class CycleListener(StreamingQueryListener):
+    """Appends a `degraded` cycle, with the error's kind and first line, when a query ends with an error. spark.streams.addListener(CycleListener(spark, path))."""
+
+    def __init__(self, spark: SparkSession, cycles: str):
+        self.spark, self.cycles, self.batches = spark, cycles, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.batches[str(event.id)] = -1
+
+    def onQueryProgress(self, event) -> None:
+        self.batches[str(event.progress.id)] = event.progress.batchId
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            row = (self.batches.get(str(event.id), -1) + 1, "degraded", 0, 0, 0, 0, event.errorClassOnException or "stream_failed", event.exception.strip().splitlines()[0][:500])
+            self.spark.createDataFrame([row], CYCLE).write.mode("append").parquet(self.cycles)
+
+
+CYCLE = "batch long, status string, candidates long, fetched long, inserted long, conflicted long, error_kind string, error_message string"
+
+
 def snapshots(ticks: DataFrame, pre_close: DataFrame, threshold: float = THRESHOLD_PCT) -> DataFrame:
     """Latest quote, move from the reference and first crossing per symbol and day; for batches, and streams in update mode.
 
@@ -73,9 +103,8 @@ def stream_changed(frame: DataFrame, path: str, checkpoint: str, key: list[str])
 
     def each(df: DataFrame, batch: int) -> None:
         new = df.withColumn("digest", row_digest("snapshot", *cols)).withColumn("batch", F.lit(batch).cast("long"))
-        try:
-            old = df.sparkSession.read.schema(new.schema).parquet(path)
-        except AnalysisException:  # nothing written yet
+        old = written(df.sparkSession, path, new.schema)
+        if old is None:
             new.write.mode("append").parquet(path)
             return
         last = old.filter(F.col("batch") < batch).groupBy(*key).agg(F.max_by("digest", "batch").alias("was"))
