@@ -46,9 +46,11 @@ def asof_latest(left: DataFrame, right: DataFrame, by: str, ts: str, tie: str, v
     place = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c <= F.col(ts).cast("double"))) if cuts else F.lit(0)
     r = right.filter(F.col(by).isNotNull() & F.col(ts).isNotNull()).select(F.col(by).alias("__by"), place.alias("__span"), F.col(ts).alias("__ts"), F.col(tie).alias("__tie"), value.alias("__value"))
     last = r.groupBy("__by", "__span").agg(F.max_by("__value", F.struct("__ts", "__tie")).alias("__value"))
-    # what a span leaves is carried into all later spans up to the next that leaves something
-    following = F.lead("__span", 1, len(set(cuts)) + 1).over(Window.partitionBy("__by").orderBy("__span"))
-    carried = last.withColumn("__next", following).select("__by", F.explode(F.sequence(F.col("__span") + 1, F.greatest("__next", F.col("__span") + 1))).alias("__span"), "__value")
+    # what the spans before it leave is carried into a span only if something asks there; a key has two rows a span here at most
+    asked = left.filter(F.col(by).isNotNull() & F.col(ts).isNotNull()).select(F.col(by).alias("__by"), place.alias("__span")).distinct()
+    steps = last.select("__by", "__span", F.lit(1).alias("__kind"), "__value").unionByName(asked.select("__by", "__span", F.lit(0).alias("__kind"), F.lit(None).cast(r.schema["__value"].dataType).alias("__value")))
+    before = F.last("__value", ignorenulls=True).over(Window.partitionBy("__by").orderBy("__span", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    carried = steps.withColumn("__value", before).filter((F.col("__kind") == 0) & F.col("__value").isNotNull()).select("__by", "__span", "__value")
     start = carried.select("__by", "__span", F.lit(None).cast(left.schema[ts].dataType).alias("__ts"), F.lit(0).alias("__kind"), F.lit(None).cast(r.schema["__tie"].dataType).alias("__tie"), "__value", F.lit(None).alias("__row"))
     cells = r.select("__by", "__span", "__ts", F.lit(2).alias("__kind"), "__tie", "__value", F.lit(None).alias("__row"))
     asks = left.select(
