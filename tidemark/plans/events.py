@@ -85,8 +85,9 @@ def evidence_header(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phase_bars(spark: SparkSession, d: str) -> DataFrame:
-    """Of four retrievals of some minutes the one that coverage names, first of each time."""
-    return rounded(ev.first_of_each(inputs(spark, d).bars).select(*KEY, "phase", "ts", "close", "volume", "stale"))
+    """Of four retrievals of some minutes the one that coverage names, first of each time: what each event and phase has of it."""
+    b = ev.first_of_each(inputs(spark, d).bars).groupBy(*KEY, "phase")
+    return rounded(b.agg(F.count("*").alias("bars"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum("volume").alias("volume"), F.sum("close").alias("close_sum"), F.bool_or("stale").alias("stale")), 4)
 
 
 def feature_gates(spark: SparkSession, d: str) -> DataFrame:
@@ -171,13 +172,16 @@ def monthly_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Of all paths the bars that horizons stand on."""
     x = inputs(spark, d)
-    return flat(reports.event_paths(ev.first_of_each(x.bars), x.rows).select(*KEY, "place", "phase", "ts", "close", "change", "checkpoints"))
+    return flat(reports.event_paths(ev.first_of_each(x.bars), x.rows).filter(F.size("checkpoints") > 0).select(*KEY, "place", "phase", "ts", "close", "change", "checkpoints"))
 
 
 def following_path(spark: SparkSession, d: str) -> DataFrame:
     x = inputs(spark, d)
-    return rounded(reports.following_path(ev.first_of_each(x.bars), x.rows))
+    p = reports.following_path(ev.first_of_each(x.bars), x.rows)
+    mark = lambda m, c: F.max(F.when(F.col("mark") == m, F.col(c))).alias(f"{m}_{c}")
+    return rounded(p.groupBy(*KEY, "phase").agg(F.count("*").alias("bars"), mark("open", "ts"), mark("open", "close"), mark("close", "ts"), mark("close", "close"), F.max("reference_price").alias("reference_price")))
 
 
 def path_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -562,7 +566,7 @@ _ISO = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S')"
 
 ORACLE_SQL = {
     "evidence_header": f"{_HD} SELECT * EXCLUDE (flags), array_to_string(flags, ',') AS data_quality_flags FROM hd",
-    "phase_bars": f"{_PB} SELECT symbol, earnings_date, phase, ts, round(close, 6) AS close, volume, stale FROM fb",
+    "phase_bars": f"{_PB} SELECT symbol, earnings_date, phase, count(*) AS bars, min(ts) AS first, max(ts) AS last, CAST(sum(volume) AS BIGINT) AS volume, round(sum(close), 4) AS close_sum, bool_or(stale) AS stale FROM fb GROUP BY ALL",
     "feature_gates": f"{_F} SELECT symbol, earnings_date, reaction_class, reason, observed_minutes, source_bar_count, {_J(['data_quality_flags'])} FROM feat",
     "feature_rows": f"{_ROW} SELECT * REPLACE ({_R(_DOUBLES)}, {_J(['data_quality_flags', 'missing_fields'])}) FROM frow",
     "feature_row_violations": f"{_ROW}, x AS ({_CHANGED}) SELECT symbol, earnings_date, unnest({_LIST(*[(c, n) for c, n in _RULES])}) AS rule FROM x",
@@ -581,10 +585,12 @@ greatest(least(included_count - 10, 50), 0) AS page_count, greatest(least(includ
     "monthly_series": f"{_U} SELECT strftime(earnings_date, '%Y-%m') AS month, count(*) FILTER (analysis_status = 'complete') AS complete, count(*) FILTER (analysis_status IS DISTINCT FROM 'complete') AS not_complete FROM u GROUP BY ALL",
     "event_paths": f"""{_ROW}, m AS (SELECT *, CAST(date_diff('minute', CASE WHEN phase = 'earnings_regular' THEN expected_end ELSE expected_start END, ts) AS INT) AS minute FROM fb), l AS (SELECT *, {_ORDERED} FROM m)
 SELECT l.symbol, l.earnings_date, CAST(row_number() OVER (PARTITION BY l.symbol, l.earnings_date ORDER BY ts, phase) AS INT) AS place, phase, ts, round(close, 6) AS close, round((close - reference_price) / nullif(reference_price, 0) * 100, 6) AS change,
-array_to_string({_LIST(*[(f"phase = 'earnings_postmarket' AND minute = l_{h} AND minute >= {h - 11}", f"{h}m") for h in HORIZONS])}, ',') AS checkpoints FROM l LEFT JOIN frow f ON {_ON('l', 'f')}""",
+array_to_string({_LIST(*[(f"phase = 'earnings_postmarket' AND minute = l_{h} AND minute >= {h - 11}", f"{h}m") for h in HORIZONS])}, ',') AS checkpoints FROM l LEFT JOIN frow f ON {_ON('l', 'f')} QUALIFY checkpoints <> ''""",
     "following_path": f"""{_ROW}, w AS (SELECT *, min(ts) FILTER (phase = 'following_regular') OVER (PARTITION BY symbol, earnings_date) AS a, max(ts) FILTER (phase = 'following_regular') OVER (PARTITION BY symbol, earnings_date) AS z
   FROM fb WHERE phase LIKE 'following%')
-SELECT w.symbol, w.earnings_date, phase, ts, round(close, 6) AS close, round(reference_price, 6) AS reference_price, CASE WHEN phase = 'following_regular' THEN CASE WHEN ts = a THEN 'open' WHEN ts = z THEN 'close' END END AS mark FROM w LEFT JOIN frow f ON {_ON('w', 'f')}""",
+SELECT w.symbol, w.earnings_date, phase, count(*) AS bars, max(ts) FILTER (phase = 'following_regular' AND ts = a) AS open_ts, round(max(close) FILTER (phase = 'following_regular' AND ts = a), 6) AS open_close,
+max(ts) FILTER (phase = 'following_regular' AND ts = z AND a <> z) AS close_ts, round(max(close) FILTER (phase = 'following_regular' AND ts = z AND a <> z), 6) AS close_close, round(max(reference_price), 6) AS reference_price
+FROM w LEFT JOIN frow f ON {_ON('w', 'f')} GROUP BY ALL""",
     "path_levels": f"""{_ROW}, x AS (SELECT *, CASE WHEN reaction_direction = 'up' THEN 1 ELSE -1 END AS way FROM frow WHERE reference_price IS NOT NULL)
 SELECT symbol, earnings_date, round(reference_price, 6) AS reference, round(reference_price * 102e-2, 6) AS upper, round(reference_price * 98e-2, 6) AS lower, round(reference_price * (1 + way * max_favorable_excursion / 100), 6) AS mfe_level,
 round(reference_price * (1 + way * max_adverse_excursion / 100), 6) AS mae_level, round(reaction_vwap_proxy, 6) AS vwap, reaction_timestamp, feature_cutoff_ts FROM x""",
