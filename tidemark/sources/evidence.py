@@ -25,7 +25,7 @@ def coverage(evs: DataFrame, days: DataFrame) -> DataFrame:
     """A row per event and covered phase: which retrieval is authoritative. Some bounds are absent, odd or short, some retrievals early, some flagged.
 
     days: the calendar, one row a day."""
-    cal = days.select(F.col("day").alias("earnings_date"), F.col("next").alias("following"))
+    cal = days.filter("is_session").select(F.col("day").alias("earnings_date"), F.col("next").alias("following"))  # so that no two events share a next session
     shut = days.select(F.col("day").alias("following"), F.col("early_close").alias("short"))
     e = evs.join(F.broadcast(cal), "earnings_date").join(F.broadcast(shut), "following")
     rows = F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(s).alias("session"), F.lit(a).cast("int").alias("a"), F.lit(z).cast("int").alias("z"), F.lit(f).alias("after")) for p, (s, a, z, f) in PHASES.items()])
@@ -54,7 +54,7 @@ DUCK_COVERAGE = """
 cph(phase, session, a, z, after) AS (VALUES ('earnings_regular', 'regular', 570, NULL, FALSE), ('earnings_postmarket', 'extended', NULL, 1200, FALSE), ('following_premarket', 'extended', 420, 570, TRUE), ('following_regular', 'regular', 570, NULL, TRUE)),
 c0 AS (SELECT ev.symbol, ev.earnings_date, k, post_covered, backfilled, cph.*, CASE WHEN after THEN c.next ELSE ev.earnings_date END AS market_date,
     CASE WHEN (after AND n.early_close) OR (NOT after AND ev.early_close) THEN 780 ELSE 960 END AS shut
-  FROM ev JOIN cal c ON c.day = ev.earnings_date JOIN cal n ON n.day = c.next CROSS JOIN cph),
+  FROM ev JOIN cal c ON c.day = ev.earnings_date AND c.is_session JOIN cal n ON n.day = c.next CROSS JOIN cph),
 c1 AS (SELECT *, coalesce(a, shut) AS s, CASE WHEN phase = 'earnings_regular' AND k % 67 = 1 THEN NULL WHEN phase = 'earnings_regular' AND k % 67 = 2 THEN 900
     WHEN phase = 'earnings_postmarket' AND k % 71 = 3 THEN 1020 ELSE coalesce(z, shut) END AS e FROM c0
   WHERE CASE phase WHEN 'earnings_regular' THEN k % 37 <> 0 WHEN 'earnings_postmarket' THEN post_covered WHEN 'following_premarket' THEN k % 59 <> 0 ELSE k % 61 <> 0 END),
