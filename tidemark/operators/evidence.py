@@ -233,6 +233,15 @@ def feature_violations(rows: DataFrame) -> DataFrame:
     return rows.select(*KEY, F.explode(reasons(*rules)).alias("rule"))
 
 
+#: How bars and coverage come about (fixed values).
+MODES = ("scheduled_capture", "historical_backfill")
+
+
+def mode_violations(rows: DataFrame, key: Sequence[str], mode: str = "collection_mode") -> DataFrame:
+    """key and rule of each row of bars or coverage whose mode is absent or none of MODES."""
+    return rows.select(*key, F.explode(reasons((F.col(mode).isNull(), "no_collection_mode"), (~F.col(mode).isin(*MODES), "unknown_collection_mode"))).alias("rule"))
+
+
 def run_summary(computed: DataFrame, stored: DataFrame, key: Sequence[str] = LIVE_KEY) -> DataFrame:
     """One row: how many rows a run computed by status, and how many are new to the ledger or already there."""
     known = stored.select(*key).distinct().withColumn("_known", F.lit(True))

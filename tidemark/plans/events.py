@@ -114,6 +114,12 @@ def feature_row_violations(spark: SparkSession, d: str) -> DataFrame:
     return ev.feature_violations(_broken(inputs(spark, d).rows))
 
 
+def mode_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage rows, some of them with a mode of no such kind."""
+    c = inputs(spark, d).coverage.withColumn("collection_mode", F.expr("CASE day(earnings_date) WHEN 8 THEN NULL WHEN 9 THEN 'guessed' ELSE collection_mode END"))
+    return ev.mode_violations(c, [*KEY, "phase"])
+
+
 def feature_run_summary(spark: SparkSession, d: str) -> DataFrame:
     """A run over all events against a ledger that has two thirds of them."""
     rows = inputs(spark, d).rows
@@ -357,7 +363,7 @@ def monitor_candidates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        evidence_header, phase_bars, feature_gates, feature_rows, feature_row_violations, feature_run_summary, universe, universe_of_period, all_quality_issues, newest_quality_issues, issues_by_kind,
+        evidence_header, phase_bars, feature_gates, feature_rows, feature_row_violations, mode_violations, feature_run_summary, universe, universe_of_period, all_quality_issues, newest_quality_issues, issues_by_kind,
         cohort_disclosure, trailing_universe, value_counts, scatter_points, monthly_series, event_paths, following_path, path_levels, event_detail, export_universe, export_coverage, phase_starts_eastern,
         normalized_symbols, record_ages, asof_daily, session_outcomes, stored_outcomes, outcome_run_summary, all_study_members, study_results, cohort_digests, study_detail, study_violations,
         reconcile_window, unlisted_events, live_after_reconcile, liquidity_decisions, first_listed, stale_watchlists, monitor_candidates,
@@ -570,6 +576,7 @@ ORACLE_SQL = {
     "feature_gates": f"{_F} SELECT symbol, earnings_date, reaction_class, reason, observed_minutes, source_bar_count, {_J(['data_quality_flags'])} FROM feat",
     "feature_rows": f"{_ROW} SELECT * REPLACE ({_R(_DOUBLES)}, {_J(['data_quality_flags', 'missing_fields'])}) FROM frow",
     "feature_row_violations": f"{_ROW}, x AS ({_CHANGED}) SELECT symbol, earnings_date, unnest({_LIST(*[(c, n) for c, n in _RULES])}) AS rule FROM x",
+    "mode_violations": f"{_BASE} SELECT symbol, earnings_date, phase, CASE day(earnings_date) WHEN 8 THEN 'no_collection_mode' ELSE 'unknown_collection_mode' END AS rule FROM cov WHERE day(earnings_date) IN (8, 9)",
     "feature_run_summary": f"{_ROW} SELECT {_SUMMARY('day(earnings_date) % 3 <> 0')} FROM frow",
     "universe": f"{_U} SELECT * REPLACE ({_R([*_DOUBLES, 'eps_estimate', 'eps_actual', 'revenue_estimate', 'revenue_actual', 'eps_surprise_pct', 'revenue_surprise_pct', 'retention'])}, {_J(['data_quality_flags', 'missing_fields', 'covered_phases', 'missing_phases'])}) FROM u",
     "universe_of_period": f"{_U} SELECT symbol, earnings_date, analysis_status, note_count, study_ready, {_J(['missing_phases'])} FROM u WHERE earnings_date {_IN_WINDOW} AND symbol IN (SELECT 'C' || x FROM range(1, 60) t(x))",
