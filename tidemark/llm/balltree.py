@@ -18,8 +18,8 @@ from .common import materialize
 #: Components are scaled by this and rounded down to whole numbers.
 SCALE = 1024
 
-#: Bytes of vectors of a shard at most, vectors of a leaf, bytes of queries of a block at most.
-SHARD_BYTES, LEAF, BLOCK_BYTES = 4 << 20, 128, 4 << 20
+#: Bytes of vectors of a shard and of queries of a block, about, and vectors of a leaf at most.
+SHARD_BYTES, BLOCK_BYTES, LEAF = 4 << 20, 4 << 20, 128
 
 #: Vectors that place the others in shards are about this many, drawn by a hash; every vector is placed and searched.
 SAMPLE = 4_096
@@ -27,6 +27,9 @@ SAMPLE = 4_096
 #: One shard in so many is searched first; its kth scores then hold for the others.
 FIRST = 16
 
+#: Scores of more digits than this rank as if they were it.
+MOST_SCORE = 10**38 - 1
+
 #: Partial sums of products under this are exact in doubles.
 EXACT = 1 << 52
 
@@ -230,7 +233,7 @@ def nearest(table: DataFrame, asks: Column, key: str = "vec_id", vector: str = "
     Components become floor(1024 * x), x as double. Queries: rows for which `asks` (a condition on id) holds; ties go to the smaller id, null ids
     last. Rows count by themselves: a repeated id is a candidate of its fellow, and each row that asks is answered. Vectors that are null
     or hold a null or non-finite component take no part; vectors of another length are no candidates. A score beyond 64 bits is
-    ranked exactly and given as the nearest long. Empty tables give no rows; other columns are not read.
+    ranked exactly up to 38 digits (more rank as 38 nines) and given as the nearest long. Empty tables give no rows; other columns are not read.
     """
     spark = table.sparkSession
     rows = materialize(vectors(table, key, vector), "vectors")
@@ -283,7 +286,7 @@ def _block(trees: DataFrame, asked: pa.Table, k: int) -> DataFrame:
                         search_tree(BallTree.unpack(shard["tree"]), m, ids, numbers, *shared.value[dim], best[dim])
             for dim, b in best.items():
                 own = shared.value[dim][1].tolist()
-                out = [(own[i], str(-score), vec, row) for i, held in enumerate(b.held) for score, vec, row in held]
+                out = [(own[i], str(max(-MOST_SCORE, min(MOST_SCORE, -score))), vec, row) for i, held in enumerate(b.held) for score, vec, row in held]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["ask", "score", "id", "row"])
 
