@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, keyed, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -186,8 +186,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", place: Call
             for a, b in slices(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(bpe.encode(texts[a:b]), pa.list_(pa.int32()))], ["key", "ids"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    schema = keyed(docs.schema[key].dataType, "ids array<int>")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", place: Callable[[], str] | None = None) -> DataFrame:
@@ -202,16 +202,20 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", place: Cal
             out = [None if x is None else bpe.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["key", "text"])
 
-    kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
+    schema = keyed(encoded.schema[key].dataType, "text string")
+    return encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def digests(docs: DataFrame, place: Callable[[], str] | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text (null: empty)."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text (null: empty), a row each, repeats and null ids included.
+
+    Texts of any length are cut into pieces of bounded size. Other columns, whatever their names, are left out; an empty table gives no rows.
+    """
     run = round_trip(place or vocabulary(RANKS))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = keyed(docs.schema["doc_id"].dataType, "n_tokens long, ids_sha256 string, decoded_sha256 string", "doc_id")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digests() of all documents: a row each, repeats and null ids included; null and empty texts have no tokens; no documents, no rows."""
     return digests(documents(spark, sf_dir))

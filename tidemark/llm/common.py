@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: A word: a run of characters other than space and \t \n \v \f \r.
 WORD_GAP = r"[ \t-\r]+"
@@ -39,6 +40,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(key: DataType, rest: str, name: str = "key") -> StructType:
+    """Schema of a key of any type (structs with any field names too) and the columns of a DDL text."""
+    return StructType([StructField(name, key), *StructType.fromDDL(rest).fields])
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """name, or with as many underscores as no column, whatever its case, has."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, even where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

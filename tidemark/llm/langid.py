@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, keyed, slices
 
 #: Longest context in bytes. A window is a context and the byte that follows it.
 ORDER = 3
@@ -198,12 +198,14 @@ def predict(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text"
                     ["key", "lang_pred", "score", "bits_per_byte"],
                 )
 
-    kind = docs.schema[key].dataType.simpleString()
+    schema = keyed(docs.schema[key].dataType, "lang_pred string, score double, bits_per_byte double")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predict() for all documents: a row each, repeats included. Null texts and texts without a letter are `und`; a null id is never held out; rows
+    with a null lang teach nothing; copies are judged alike; if nothing teaches, all are `und`. Other columns are not read."""
     docs = documents(spark, sf_dir)
     train = docs.filter(~held_out(F.col("doc_id"), 4, 2)).select(F.col("doc_id").alias("key"), "text", "lang")
     out = predict(docs, learn(train))

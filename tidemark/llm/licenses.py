@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, keyed
 
 #: Phrases that are looked for word by word, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -248,8 +248,8 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", base:
             cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["key", *names])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, {', '.join(FIELDS)}").withColumnRenamed("key", key)
+    schema = keyed(docs.schema[key].dataType, ", ".join(FIELDS))
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

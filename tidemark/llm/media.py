@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, slices
+from .common import documents, keyed, materialize, slices
 
 #: Samples in a raster row; payloads are padded to whole rows.
 WIDTH = 64
@@ -176,8 +176,8 @@ def interleave(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
             for a, b in slices(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([parse_html(x) for x in texts[a:b]], kind)], ["key", "parts"])
 
-    of = pages.schema[key].dataType.simpleString()
-    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(run, f"key {of}, parts array<{PART}>").withColumnRenamed("key", key)
+    schema = keyed(pages.schema[key].dataType, f"parts array<{PART}>")
+    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def payload(text: Column) -> Column:

@@ -128,4 +128,5 @@ def repeat_taken(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix() of all documents: a row each, repeats included; nulls, empties and ties as it says."""
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, keyed, materialize
 from .components import components
 
 #: op1's shingles are of 3 words; the tree serves any width.
@@ -60,8 +60,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x.as_py(), width) for x in batch.column(1)], pa.int64())], ["key", "fp"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
+    schema = keyed(docs.schema[key].dataType, "fp long")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,15 +175,30 @@ def link_within(own: np.ndarray, guests: np.ndarray, fp: np.ndarray, radius: int
 def links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS, guest_rows: int = GUEST_ROWS) -> DataFrame:
     """Edges (a, b) that join all fingerprints (column fp, distinct) within radius, a spanning set for each shard and block.
 
-    The tree is fitted on the sample, but every fingerprint is routed and compared: the result is exact. What reaches a shard is dealt
-    to blocks by a hash, each with all that the shard owns, so that a group holds about shard_rows + guest_rows fingerprints at any size.
+    The tree is fitted on the sample, but every fingerprint is routed and compared: the result is exact. What reaches a shard is counted first and
+    then dealt to as many blocks as it fills, by a hash, each with all that the shard owns: a group holds about shard_rows + guest_rows fingerprints
+    at any size, and what a shard owns is repeated only for guests that its balls let in. The counts are 8 bytes a shard (n / shard_rows shards).
     """
     n = fps.count()
     draw = F.pmod(F.xxhash64("fp", F.lit("vp")), F.lit(1 << 40)) / float(1 << 40)
     rows = fps.filter(draw < min(1.0, sample / max(1, n))).select("fp").toArrow()["fp"]
     depth = max(LEAST_DEPTH, int(np.ceil(np.log2(max(1.0, n / shard_rows)))))
     tree = VpTree.fit(rows.to_numpy().view(np.uint64), depth)
-    blocks = max(1, -(-n // guest_rows))
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guests = np.zeros(1 << tree.depth, np.int64)
+        for batch in batches:
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            for a in range(0, len(fp), 50_000):
+                guests += np.bincount(tree.route(fp[a : a + 50_000], radius)[1], minlength=len(guests))
+        at = np.flatnonzero(guests)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(guests[at])], ["shard", "n"])
+
+    filled = np.ones(1 << depth, np.int64)
+    if n > guest_rows:  # else no shard can have more than one block
+        counts = fps.select("fp").mapInArrow(reached, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).toArrow()
+        filled[counts["shard"].to_numpy()] = -(-counts["n"].to_numpy() // guest_rows)
+    blocks = fps.sparkSession.sparkContext.broadcast(filled)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,12 +206,14 @@ def links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard_rows
             for a in range(0, len(fp), 50_000):
                 part = fp[a : a + 50_000]
                 at, shard, own = tree.route(part, radius)
-                block = (part[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(blocks)
+                block = (part[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % blocks.value[shard].astype(np.uint64)
                 mine = np.flatnonzero(own)
-                shard = np.concatenate([shard, np.repeat(shard[mine], blocks)])
-                block = np.concatenate([block.astype(np.int32), np.tile(np.arange(blocks, dtype=np.int32), len(mine))])
-                value = np.concatenate([part[at], np.repeat(part[at[mine]], blocks)])
-                own = np.concatenate([np.zeros(len(at), bool), np.ones(len(mine) * blocks, bool)])
+                times = blocks.value[shard[mine]]
+                each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)  # 0 to times - 1 for each of mine
+                shard = np.concatenate([shard, np.repeat(shard[mine], times)])
+                block = np.concatenate([block, each]).astype(np.int32)
+                value = np.concatenate([part[at], np.repeat(part[at[mine]], times)])
+                own = np.concatenate([np.zeros(len(at), bool), np.ones(len(each), bool)])
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(block), pa.array(value.view(np.int64)), pa.array(own)], ["shard", "block", "fp", "own"])
 
     def search(shard: pd.DataFrame) -> pd.DataFrame:
@@ -326,5 +343,6 @@ def hex16(fp: Column) -> Column:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents: a row each, repeats included; wordless texts are linked, null ids are never a component's name."""
     out = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import ByteBpe, vocabulary
-from .common import documents, slices
+from .common import documents, keyed, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -139,11 +139,12 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", limit
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counter.count(texts[a:b]), pa.int64())], ["key", "n_tokens"])
 
     # the bytes are counted beside, by a second column of the same rows
-    kind = docs.schema[key].dataType.simpleString()
+    pair = keyed(docs.schema[key].dataType, "n_bytes long")
     rows = docs.select(F.struct(F.col(key).alias("key"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes")).alias("key"), F.col(text).alias("text"))
-    out = rows.mapInArrow(run, f"key struct<key:{kind},n_bytes:bigint>, n_tokens long")
+    out = rows.mapInArrow(run, keyed(pair, "n_tokens long"))
     return out.select(F.col("key.key").alias(key), "key.n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_counts() of all documents: a row each, repeats and null ids included; null and empty texts have 0 bytes. Other columns are not read."""
     return token_counts(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_tokens", "over_limit")

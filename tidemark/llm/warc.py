@@ -124,6 +124,7 @@ def captures(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """resolve_revisits() of captures() of all pages: a row for each revisit; nulls, ties and repeats as they say."""
     responses, revisits = captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     out = resolve_revisits(responses, revisits)
     return out.select("record_id", "canon", "ts", "response_id", "digest", "status", header_text(F.col("headers")).alias("headers"))
