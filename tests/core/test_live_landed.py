@@ -39,19 +39,6 @@ def test_cycles_count_each_batch_once(spark, source, tmp_path):
     assert registry.cycle_violations(got, ["batch"]).count() == 0
 
 
-def test_last_snapshot_equals_batch(spark, source, tmp_path):
-    t, stream = source
-    pre = t.groupBy("symbol", "earnings_date").agg(F.avg("last").alias("pre_close"))
-    out = f"{tmp_path}/s"
-    live.stream_changed(live.snapshots(stream, pre), out, f"{tmp_path}/k", ["symbol", "earnings_date"]).awaitTermination()
-    got = spark.read.parquet(out)
-    last = got.groupBy("symbol", "earnings_date").agg(F.max_by(F.struct("*"), "batch").alias("x")).select("x.*").drop("digest", "batch")
-    want = live.snapshots(t, pre).select(*last.columns)
-    assert rows(last) == rows(want)
-    changed = got.groupBy("symbol", "earnings_date").agg(F.count("*").alias("n"), F.countDistinct("digest").alias("d"))
-    assert changed.filter("n <> d").count() == 0
-
-
 def test_streamed_bars_and_coverage(spark, tmp_path):
     texts = operations._session_texts(spark, SF).select("value")
     src, bars, cover = (f"{tmp_path}/{x}" for x in ("src", "bars", "cover"))

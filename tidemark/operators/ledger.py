@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -24,43 +26,106 @@ def new_rows(existing: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.dropDuplicates(key).join(had, same, "left_anti")
 
 
-def written(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
-    """The Parquet table at path, None if there is none yet. Any other error of the read is raised."""
+def written(spark: SparkSession, path: str, schema: StructType | None = None, base: str | None = None) -> DataFrame | None:
+    """The Parquet table at path (a folder of the table at `base`, if given), None if there is none yet. Any other error of the read is raised."""
+    read = spark.read if schema is None else spark.read.schema(schema)
     try:
-        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+        return (read if base is None else read.option("basePath", base)).parquet(path)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 
 
+#: Values of the partition column up to which a ledger's folders are read one by one, unlisted beside them.
+MOST_FOLDERS = 64
+
+
+def stored_rows(rows: DataFrame, path: str, schema: StructType, by: str | None = None) -> DataFrame | None:
+    """What a ledger holds in the partitions (column `by`, a date or whole number) that `rows` have values of; None if nothing.
+
+    Only the folders of those values are listed and read, however many the ledger has; beyond MOST_FOLDERS values the filter on the
+    partition column leaves the other files unread. Without `by`: all of it.
+    """
+    spark = rows.sparkSession
+    if by is None:
+        return written(spark, path, schema)
+    values = [r[0] for r in rows.select(by).distinct().limit(MOST_FOLDERS + 1).collect()]
+    if len(values) > MOST_FOLDERS:
+        old = written(spark, path, schema)
+        return None if old is None else old.join(F.broadcast(rows.select(F.col(by).alias("__by")).distinct()), F.col(by).eqNullSafe(F.col("__by")), "left_semi")
+    found = None
+    for v in values:
+        part = written(spark, f"{path}/{by}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}", schema, path)
+        found = part if found is None or part is None else found.unionByName(part)
+        found = part if found is None else found
+    return found
+
+
 def append_ledger(rows: DataFrame, path: str, key: list[str], by: str | None = None) -> int:
     """Append new_rows() to a Parquet ledger; running it again adds nothing. Returns how many were added (append_counted() tells the rest)."""
     return append_counted(rows, path, key, by)[0]
 
 
-def append_counted(rows: DataFrame, path: str, key: list[str], by: str | None = None) -> tuple[int, int]:
+def append_counted(rows: DataFrame, path: str, key: list[str], by: str | None = None, batch: int | None = None) -> tuple[int, int]:
     """append_ledger() with the numbers inserted and conflicted (offered, but there already or repeated).
 
-    by: a column, one of the key, that the ledger is partitioned by. Only the partitions of the rows' values are read then: the join on
-    them prunes partitions at run time. Without it every call reads the keys of the whole ledger. One writer at a time is assumed.
+    by: a column that the ledger is partitioned by, the same for all rows of a key; only the folders of the rows' values are read then.
+    batch: a number that stored rows carry (column `batch`). A batch that is offered again, after it was stored, gives the numbers of the
+    first time: what is stored under its number counts as inserted. One writer at a time is assumed.
     """
-    rows = rows.persist()
+    rows = (rows if batch is None else rows.withColumn("batch", F.lit(batch).cast("long"))).persist()
     offered = rows.count()
-    old = written(rows.sparkSession, path, rows.schema)
-    if old is None:
-        fresh = rows.dropDuplicates(key)
-    else:
-        if by is not None:
-            old = old.join(F.broadcast(rows.select(by).distinct()), by, "left_semi")  # the dates of one batch
-        fresh = new_rows(old, rows, key)
-    fresh = fresh.persist()  # counted and written as one set
+    old = stored_rows(rows, path, rows.schema, by) if offered else None
+    fresh = (rows.dropDuplicates(key) if old is None else new_rows(old, rows, key)).persist()  # counted and written as one set
     inserted = fresh.count()
+    before = 0
+    if old is not None and batch is not None:
+        mine = old.filter(F.col("batch") == batch).select(*[F.col(c).alias(f"__{c}") for c in key])
+        before = rows.dropDuplicates(key).join(mine, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key], "left_semi").count()
     if inserted:
         (fresh.write.mode("append") if by is None else fresh.write.mode("append").partitionBy(by)).parquet(path)
     fresh.unpersist()
     rows.unpersist()
-    return inserted, offered - inserted
+    return inserted + before, offered - inserted - before
+
+
+def append_observed(rows: DataFrame, path: str, key: list[str], by: str | None = None, status: str = "analysis_status", skip: str = "not_yet_available") -> dict[str, int]:
+    """Append what the ledger lacks, in one pass: scanned, rows of each status, inserted and conflicted are observed while the rows are written.
+
+    Rows of status `skip` are counted, not stored; of several with one key one is stored. The same numbers as evidence.run_summary().
+    """
+    old = stored_rows(rows, path, rows.schema, by)
+    first = Window.partitionBy(*key).orderBy(F.col(status) == skip)
+    x = rows.withColumn("__n", F.row_number().over(first))
+    if old is None:
+        x = x.withColumn("__known", F.lit(None).cast("boolean"))
+    else:
+        had = old.select(*[F.col(c).alias(f"__k_{c}") for c in key], F.lit(True).alias("__known")).dropDuplicates([f"__k_{c}" for c in key])
+        x = x.join(had, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in key], "left").drop(*[f"__k_{c}" for c in key])
+    kept = ~F.col(status).eqNullSafe(skip)
+    new = kept & F.col("__known").isNull() & (F.col("__n") == 1)
+    seen = Observation(f"append_{uuid.uuid4().hex}")
+    by_status = [F.count_if(F.col(status) == s).alias(s) for s in ("complete", "no_trigger_in_window", "insufficient_data", "not_yet_available")]
+    x = x.observe(seen, F.count(F.lit(1)).alias("scanned"), *by_status, F.count_if(new).alias("inserted"), F.count_if(kept & ~F.coalesce(new, F.lit(False))).alias("conflicted"))
+    fresh = x.filter(new).drop("__n", "__known")
+    (fresh.write.mode("append") if by is None else fresh.write.mode("append").partitionBy(by)).parquet(path)
+    return {k: int(v) for k, v in seen.get.items()}
+
+
+def upsert_ledger(new: DataFrame, path: str, key: list[str], keep: list[str], renew: list[str], by: str) -> int:
+    """upsert_events() into a Parquet table partitioned by `by`, a column of the key: only partitions that `new` has values of are read and
+    overwritten, files of all others stay as they are. Of repeated keys in `new` one counts. Returns how many keys are new.
+    """
+    new = new.dropDuplicates(key).select(*key, *keep, *renew)
+    old = stored_rows(new, path, new.schema, by)
+    merged = upsert_events(new.limit(0) if old is None else old, new, key, keep, renew).persist()
+    added = merged.filter("is_new").count()
+    out = merged.select(*new.columns)
+    # written from what was read before anything is replaced
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    merged.unpersist()
+    return added
 
 
 def coverage_now(arrivals: DataFrame, key: list[str]) -> DataFrame:
@@ -74,8 +139,6 @@ def coverage_now(arrivals: DataFrame, key: list[str]) -> DataFrame:
 
 def liquidity(daily: DataFrame, lookback: int = 10) -> DataFrame:
     """Mean of close * volume over each symbol's last sessions; Spark keeps `lookback` rows per symbol and task before it shuffles."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("symbol").orderBy(F.col("session_date").desc())
     d = daily.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= lookback)
     return d.groupBy("symbol").agg(F.avg(F.col("close") * F.col("volume")).alias("dollar_volume"), F.count("*").alias("sessions"))
