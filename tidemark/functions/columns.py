@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -72,7 +72,18 @@ def eastern(ts: Column) -> Column:
     return F.from_utc_timestamp(ts, "America/New_York")
 
 
+def canonical_text(*cols: str) -> Column:
+    """The named columns as JSON, sorted by name, nulls kept."""
+    return F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"})
+
+
+def only_finite(df: DataFrame, text: Column) -> Column:
+    """text, or an error in rows in which a floating-point column of df is NaN or infinite: such rows have no canonical text."""
+    odd = [F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c, t in df.dtypes if t in ("double", "float")]
+    bad = reduce(lambda a, b: a | b, odd, F.lit(False))
+    return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("a value that is not finite has no canonical text")).cast("string")).otherwise(text)
+
+
 def row_digest(schema: str, *cols: str) -> Column:
-    """SHA-256 of a schema tag and the named columns as JSON, sorted by name, nulls kept."""
-    body = F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"})
-    return F.sha2(F.concat(F.lit(schema), F.lit("\n"), body), 256)
+    """SHA-256 of a schema tag and canonical_text()."""
+    return F.sha2(F.concat(F.lit(schema), F.lit("\n"), canonical_text(*cols)), 256)

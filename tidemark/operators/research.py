@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, reasons, retention, surprise_pct
 from . import study
+from .ranks import quantiles
 from .reaction import KEY
 
 
@@ -115,48 +116,13 @@ def cohort_counts(u: DataFrame, cohort: Cohort) -> DataFrame:
 
 
 def liquidity_quartiles(u: DataFrame, value: str = "volume_105m", of: str = "retention") -> DataFrame:
-    """Count and median by quartile of value; edges are interpolated, right-closed, and equal edges merge."""
-    x = u.filter(F.col(value).isNotNull()).select(value, of).persist()  # read by some twenty small jobs
-    edges = [quantile(x, value, p) for p in (0.25, 0.5, 0.75)]
-    q = F.lit(1) + sum((F.when(F.col(value) > e, 1).otherwise(0) for e in edges if e is not None), F.lit(0))
-    b = x.select(q.alias("bucket"), F.col(of).alias("of"))
-    n = b.groupBy("bucket").agg(F.count("*").alias("n")).collect()
-    rows = [(r["bucket"], r["n"], quantile(b.filter(F.col("bucket") == r["bucket"]), "of", 0.5)) for r in n]  # four buckets at most
-    x.unpersist()
-    return u.sparkSession.createDataFrame(rows, "bucket int, n long, median_retention double")
-
-
-#: Bins of a histogram in quantile(), and rows that it sorts out at the end.
-BINS, FEW = 1024, 4096
-
-
-def quantile(df: DataFrame, value: str, p: float) -> float | None:
-    """The interpolated quantile of a numeric column, exact, with nulls left out; null for no values.
-
-    Ranks are found by histograms of BINS bins over ever smaller spans, each one aggregation without a wide sort, until the span holds
-    FEW values or one value alone: no task ever holds all distinct values."""
-    x = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    s = x.agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).first()
-    if not s["n"]:
-        return None
-    rank = p * (s["n"] - 1)
-    low, high = int(rank), min(int(rank) + 1, s["n"] - 1)
-    found = [_ranked(x, k, s["n"], s["a"], s["b"]) for k in sorted({low, high})]
-    return found[0] + (found[-1] - found[0]) * (rank - low)
-
-
-def _ranked(x: DataFrame, rank: int, n: int, a: float, b: float) -> float:
-    while a < b and n > FEW:
-        width = (b - a) / BINS
-        place = F.least(F.floor((F.col("v") - F.lit(a)) / F.lit(width)), F.lit(BINS - 1)).alias("bin")
-        for r in x.filter(F.col("v").between(a, b)).groupBy(place).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("bin").collect():
-            if rank < r["n"]:
-                break
-            rank -= r["n"]
-        a, b, n = r["a"], r["b"], r["n"]
-    if a == b:
-        return a
-    return x.filter(F.col("v").between(a, b)).orderBy("v").offset(rank).limit(1).first()["v"]
+    """Count and median by quartile of value; edges are interpolated, right-closed, and equal edges merge. One plan: nothing runs until it is asked for."""
+    x = u.filter(F.col(value).isNotNull()).select(value, of)
+    edges = quantiles(x, [], value, (0.25, 0.5, 0.75)).select(F.array_distinct("q").alias("edges"))  # one row
+    b = x.crossJoin(F.broadcast(edges)).select((F.size(F.filter("edges", lambda e: e < F.col(value))) + 1).alias("bucket"), F.col(of).alias("of"))
+    half = quantiles(b, ["bucket"], "of", (0.5,)).select(F.col("bucket").alias("_bucket"), F.col("q")[0].alias("median_retention"))
+    n = b.groupBy("bucket").agg(F.count("*").alias("n"))
+    return n.join(half, F.col("bucket") == F.col("_bucket"), "left").select("bucket", "n", "median_retention")
 
 
 #: Minutes after the evening's end (20:00) at which a missing phase is overdue (fixed value).
