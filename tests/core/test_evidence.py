@@ -7,14 +7,12 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, ledger, research, selection, study
+from tidemark.operators import asof, integrity, ledger, ranks, research, selection, study
 from tidemark.operators import evidence as ev
 from tidemark.operators import outcome as oc
-from tidemark.operators.bars import minute_bars
 from tidemark.sources import calendar as cal
 from tidemark.sources import fixtures as fx
 from tidemark.streaming import live
-from tidemark.streaming.bars import all_minute_bars, flush_minute_bars, stream_minute_bars
 
 SF = "/root/testdata/sf0.001"
 DAY = dt.date(2024, 3, 4)
@@ -159,25 +157,51 @@ def test_asof_join(spark):
     assert sorted(r["v"] for r in near.collect() if r["v"]) == [51, 51]
 
 
-def test_quantiles_are_exact(spark, monkeypatch):
+@pytest.mark.parametrize("piece_rows", [10, 1_000_000])
+def test_quantiles_are_exact(spark, piece_rows):
     rng = np.random.default_rng(1)
-    monkeypatch.setattr(research, "FEW", 5)
-    monkeypatch.setattr(research, "BINS", 7)
-    for v in (rng.normal(size=301), rng.integers(0, 4, 100).astype(float), np.array([2.0]), np.exp(rng.normal(size=77) * 9)):
-        df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
-        for p in (0.25, 0.5, 0.9):
-            assert np.isclose(research.quantile(df, "v", p), np.quantile(v, p), rtol=1e-12)
-    assert research.quantile(spark.createDataFrame([], "v double"), "v", 0.5) is None
+    values = {"a": rng.normal(size=301), "b": rng.integers(0, 4, 100).astype(float), "c": np.array([2.0]), None: np.exp(rng.normal(size=77) * 9), "d": np.array([])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("d", None)], "k string, v double")
+    probs = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {r["k"]: (r["n"], r["q"]) for r in ranks.quantiles(df, ["k"], "v", probs, piece_rows).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for k, (n, q) in got.items():
+        assert n == len(values[k]) and np.allclose(q, np.quantile(values[k], probs), rtol=1e-12)
+    every = np.concatenate(list(values.values()))
+    assert np.allclose(ranks.quantiles(df, [], "v", probs, piece_rows).first()["q"], np.quantile(every, probs), rtol=1e-12)
+    assert ranks.quantiles(df.limit(0), [], "v", probs).count() == 0
+
+
+def test_a_large_key_is_cut(spark):
+    rng = np.random.default_rng(3)
+    left = [("hot" if x < 0.5 else f"k{int(x * 20)}", int(t)) for x, t in zip(rng.random(600), rng.integers(0, 500, 600), strict=True)] + [("hot", None), (None, 100), ("hot", 10_000), ("hot", -1)]
+    right = [("hot" if x < 0.6 else f"k{int(x * 20)}", int(t), i) for i, (x, t) in enumerate(zip(rng.random(300), rng.integers(100, 400, 300), strict=True))] + [("hot", None, 999), (None, 50, 998)]
+    a, b = spark.createDataFrame(left, "k string, t int"), spark.createDataFrame(right, "k string, at int, v int")
+    rows = lambda n: sorted(map(tuple, asof.asof_join(a, b, ["k"], "t", "at", tie=["v"], piece_rows=n).collect()), key=str)
+    brute = []
+    for k, t in left:
+        m = max(((at, v) for kk, at, v in right if kk == k and at is not None and t is not None and at <= t), default=(None, None))
+        brute.append((k, t, *m))
+    assert rows(20) == rows(1_000_000) == sorted(brute, key=str)
+    x = b.filter("at IS NOT NULL")
+    pieces = ranks.in_pieces(x, ranks.cut_points(x, ["k"], "at", 20), ["k"], "at").groupBy("k", "__piece").count().collect()
+    assert max(r["count"] for r in pieces) <= 60 and len([r for r in pieces if r["k"] == "hot"]) >= 5
+
+
+def test_changed_rows_open_what_differs(spark):
+    old = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (2, "b", 1), (3, "c", 2), (4, None, None), (5, "e", 3)], "id int, v string, part int")
+    new = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (9, "n", 1), (3, "C", 2), (4, None, None), (5, "e", 3), (6, "f", 4)], old.schema)
+    want = sorted(map(tuple, integrity.changed_rows(old, new).collect()), key=str)
+    assert want == [(1, "a", 1), (3, "c", 2)] and sorted(map(tuple, integrity.changed_rows(old, new, ["part"]).collect()), key=str) == want
+    assert integrity.changed_rows(old, old.unionByName(new), ["part"]).count() == 0
+    assert integrity.changed_rows(old, new.filter("part <> 3 OR part IS NULL"), ["part"]).filter("id = 5").count() == 1
 
 
 def test_ledger_null_keys_conflicts_and_partitions(spark, tmp_path):
     rows = spark.createDataFrame([(None, DAY, "a"), (1, DAY, "b"), (1, DAY, "b"), (1, None, "c")], "k int, day date, v string")
     for path, by in ((f"{tmp_path}/plain", None), (f"{tmp_path}/parts", "day")):
         assert ledger.append_counted(rows, path, ["k", "day"], by) == (3, 1)
-        if by is None:  # a null partition is read as null too, but a semi join does not find it
-            assert ledger.append_counted(rows, path, ["k", "day"], by) == (0, 4)
-        else:
-            assert ledger.append_counted(rows.filter("day IS NOT NULL"), path, ["k", "day"], by) == (0, 3)
+        assert ledger.append_counted(rows, path, ["k", "day"], by) == (0, 4)
     (tmp_path / "broken").mkdir()
     (tmp_path / "broken" / "x.parquet").write_text("no parquet")
     with pytest.raises(Exception) as e:
@@ -185,16 +209,6 @@ def test_ledger_null_keys_conflicts_and_partitions(spark, tmp_path):
     assert not (isinstance(e.value, AnalysisException) and e.value.getCondition() == "PATH_NOT_FOUND")
 
 
-def test_the_open_bar_is_flushed_once(spark, tmp_path):
-    t = fx.ticks(spark, SF).withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp"))
-    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
-    t.coalesce(1).write.parquet(src)
-    stream_minute_bars(spark.readStream.schema(t.schema).parquet(src), out, f"{tmp_path}/c", "1 minute", "1 hour").awaitTermination()
-    rest = f"{tmp_path}/rest"
-    assert flush_minute_bars(t, out, rest, "1 hour") > 0 and flush_minute_bars(t, out, rest, "1 hour") == 0
-    assert {tuple(r) for r in all_minute_bars(spark, out, rest).collect()} == {tuple(r) for r in minute_bars(t, "1 hour").collect()}
-
-
 def test_idle_cycles_are_told_once_and_failures_are_kept(spark, tmp_path):
     day = dt.datetime(2024, 3, 4)
     tick = lambda k, h: (k, f"S{k}", day + dt.timedelta(hours=h), "view")
@@ -210,3 +224,86 @@ def test_idle_cycles_are_told_once_and_failures_are_kept(spark, tmp_path):
     event = type("E", (), {"id": "x", "exception": "ValueError: no feed\nat x", "errorClassOnException": None})()
     listener.onQueryTerminated(event)
     assert [r["error_message"] for r in spark.read.parquet(c).filter("status = 'degraded'").collect()] == ["ValueError: no feed"]
+
+
+def test_the_outcome_digest_sees_every_bar_time_and_flag(spark):
+    earnings, following = dt.date(2024, 3, 4), dt.date(2024, 3, 5)
+    covers = [cover("A", "earnings_regular", 570, 960, earnings, earnings=earnings), cover("A", "following_premarket", 420, 570, following, earnings=earnings), cover("A", "following_regular", 570, 960, following, earnings=earnings)]
+    bars = [bar("A", "regular", 700, 99.0, earnings), bar("A", "regular", 959, 100.0, earnings), bar("A", "extended", 430, 101.0, following), bar("A", "regular", 599, 103.0, following), bar("A", "regular", 777, 104.0, following)]
+    e = spark.createDataFrame([("A", earnings, "amc")], "symbol string, earnings_date date, hour string")
+    days = cal.calendar(spark, 2024, 2024)
+
+    def digest(covers, bars):
+        c = spark.createDataFrame(covers, COVER)
+        b = ev.phase_bars(c, spark.createDataFrame(bars, BARS))
+        return oc.with_outcome_digest(oc.session_outcomes(e, c, b, days, now="2024-03-06 10:00:00"), c, b).first()["source_evidence_sha256"]
+
+    base = digest(covers, bars)
+    assert base == digest(covers[::-1], bars[::-1])
+    names = [f.split(" ")[0] for f in BARS.split(", ")]
+    seen = {base}
+    for k in range(len(bars)):  # any bar of any phase: its close, its volume, its time, and its loss
+        for field, change in (("close", lambda v: v + 0.01), ("volume", lambda v: (v or 0) + 1), ("ts", lambda v: v + dt.timedelta(minutes=1) if v.minute % 10 != 9 else v - dt.timedelta(minutes=1))):
+            row = list(bars[k])
+            row[names.index(field)] = change(row[names.index(field)])
+            seen.add(digest(covers, bars[:k] + [tuple(row)] + bars[k + 1 :]))
+        seen.add(digest(covers, bars[:k] + bars[k + 1 :]))
+    fields = [f.split(" ")[0] for f in COVER.split(", ")]
+    for k in range(3):
+        row = list(covers[k])
+        row[fields.index("data_quality_flags")] = ["late_start"]
+        seen.add(digest(covers[:k] + [tuple(row)] + covers[k + 1 :], bars))
+    assert len(seen) == 1 + 4 * len(bars) + 3
+
+
+def test_outcome_rows_and_long_runs(spark):
+    o = spark.createDataFrame([("A", dt.date(2024, 3, 4), "complete", "1"), ("B", dt.date(2024, 3, 5), "not_yet_available", "2"), ("C", dt.date(2025, 3, 9), "complete", "3")], "symbol string, earnings_date date, analysis_status string, source_evidence_sha256 string")
+    assert [r["symbol"] for r in oc.outcomes_to_store(o, "2024-03-04", "2025-03-09").collect()] == ["A", "C"]
+    assert '"least_regular_coverage":0.95' in oc.outcomes_to_store(o).first()["parameters"]
+    for bad in (("2024-03-04", "2025-03-10"), ("2024-03-04", "2024-03-03")):
+        with pytest.raises(ValueError):
+            oc.outcomes_to_store(o, *bad)
+
+
+def test_each_limit_of_a_plan_decides_and_nulls_never_pass(spark):
+    limits = {
+        "statuses": ["complete"], "classes": ["whipsaw"], "directions": ["up"], "modes": ["scheduled_capture"], "least_abs_return": 2.0, "most_abs_return": 4.0, "least_retention": 0.5, "most_retention": 1.5, "least_delay": 5.0, "most_delay": 20.0,
+        "least_volume": 100.0, "least_coverage": 0.9, "least_surprise": 0.0, "most_surprise": 10.0,
+    }
+    good = {"analysis_status": "complete", "reaction_class": "whipsaw", "reaction_direction": "up", "earnings_postmarket_collection_mode": "scheduled_capture", "initial_return": 3.0, "return_105m": 3.0, "detection_delay_minutes": 10, "volume_105m": 200, "study_coverage_ratio": 1.0}
+    spoilt = {
+        "analysis_status": ["insufficient_data"], "reaction_class": ["spike_and_fade", None], "reaction_direction": ["down", None], "earnings_postmarket_collection_mode": ["historical_backfill", None], "initial_return": [-1.0, 5.0, None],
+        "return_105m": [1.0, 9.0], "detection_delay_minutes": [4, 21, None], "volume_105m": [99, None], "study_coverage_ratio": [0.89, None],
+    }
+    rows = [good] + [good | {c: v} for c, vs in spoilt.items() for v in vs]
+    kinds = {"initial_return": "double", "return_105m": "double", "detection_delay_minutes": "int", "volume_105m": "long", "study_coverage_ratio": "double"}
+    cols = list(good)
+    schema = "symbol string, earnings_date date, feature_version string, detector_version string, classifier_version string, source_evidence_sha256 string, data_quality_flags array<string>, " + ", ".join(f"{c} {kinds.get(c, 'string')}" for c in cols)
+    f = spark.createDataFrame([(f"S{i}", DAY, *ev.VERSIONS, "x", [], *[r[c] for c in cols]) for i, r in enumerate(rows)] + [("S0", DAY, "features-0", *ev.VERSIONS[1:], "y", [], *[good[c] for c in cols])], schema)
+    scope = spark.createDataFrame([(f"S{i}", DAY, 5.0) for i in range(len(rows))] + [("E1", DAY, -1.0), ("E2", DAY, 11.0), ("E3", DAY, None)], "symbol string, earnings_date date, eps_surprise_pct double")
+    more = spark.createDataFrame([(s, DAY, *ev.VERSIONS, "x", [], *[good[c] for c in cols]) for s in ("E1", "E2", "E3")], schema)
+    o = spark.createDataFrame([(f"S{i}", DAY, "outcome-1", "complete", 1.0, str(k), []) for i in range(len(rows)) for k in range(2)] + [(s, DAY, "outcome-1", "complete", 1.0, "9", []) for s in ("E1", "E2", "E3")], "symbol string, earnings_date date, outcome_version string, analysis_status string, regular_close_return double, source_evidence_sha256 string, data_quality_flags array<string>")
+    one = "study_key string, version int, development_from date, development_to date, oos_from date, oos_to date, least_development int, least_oos int, expected_direction string"
+    base = ("s", 1, DAY, DAY, dt.date(2025, 1, 1), dt.date(2025, 2, 1), 1, 1, "higher")
+    plan = lambda extra: spark.createDataFrame([base], one).withColumns({n: F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v) for n, v in extra.items()})
+    every = study.members(plan(limits), scope, f.unionByName(more), o).filter("stage = 'development'").collect()
+    assert len(every) == len(rows) + 3 and [r["symbol"] for r in every if r["included"]] == ["S0"]
+    codes = {x for r in every for x in r["reasons"] if x.endswith("_excluded")}
+    assert codes == {f"{c}_excluded" for *_, c in (*study.LISTS, *study.BOUNDS)}
+    free = study.members(plan({}), scope, f.unionByName(more), o).filter("stage = 'development'")
+    assert not any(x.endswith("_excluded") for r in free.collect() for x in r["reasons"]) and free.filter("symbol = 'S0'").first()["outcome_sha"] == "0"
+    old = study.members(plan({"feature_version": "features-0"}), scope, f, o).filter("stage = 'development'").collect()
+    assert {r["symbol"]: r["feature_sha"] for r in old if r["feature_sha"]} == {"S0": "y"}
+    few = study.members(plan({"symbols": ["S1", "S2"], "outcome_version": "outcome-9"}), scope, f, o).filter("stage = 'development'").collect()
+    assert sorted(r["symbol"] for r in few) == ["S1", "S2"] and all("outcome_missing" in r["reasons"] for r in few)
+
+
+def test_only_finite_rows_have_a_text(spark):
+    from tidemark.functions.columns import canonical_text, only_finite
+
+    ok = spark.createDataFrame([(1, 2.5), (2, None)], "a int, b double")
+    assert [r[0] for r in ok.select(only_finite(ok, canonical_text("b", "a"))).collect()] == ['{"a":1,"b":2.5}', '{"a":2,"b":null}']
+    for x in (float("nan"), float("-inf")):
+        bad = spark.createDataFrame([(1, x)], ok.schema)
+        with pytest.raises(Exception, match="not finite"):
+            bad.select(only_finite(bad, canonical_text("a", "b"))).collect()

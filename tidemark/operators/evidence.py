@@ -130,12 +130,21 @@ def feature_rows(features: DataFrame, versions: Sequence[str] = VERSIONS) -> Dat
     )
 
 
+def bar_text() -> Column:
+    """A bar as text: phase, time, prices in millionths, volume; a price that is no number by its name."""
+
+    def micro(c: str) -> Column:
+        x = F.col(c).cast("double")
+        odd = x.isNull() | F.isnan(x) | (F.abs(x) > 9e12)
+        return F.when(odd, F.coalesce(x.cast("string"), F.lit("-"))).otherwise(F.round(F.when(odd, 0.0).otherwise(x) * 1_000_000).cast("long").cast("string"))
+
+    return F.concat_ws(":", "phase", F.date_format("ts", "yyyyMMddHHmm"), *[micro(c) for c in ("open", "high", "low", "close")], F.coalesce(F.col("volume").cast("string"), F.lit("-")))
+
+
 def evidence_digests(header: DataFrame, bars: DataFrame) -> DataFrame:
     """SHA-256 of each event's authoritative evidence: response identities, bounds and every bar, in an order of their own. An event's bars are
     bounded by its minutes, so the list of one event stays small."""
-    micro = [F.round(F.col(c) * 1_000_000).cast("long").cast("string") for c in ("open", "high", "low", "close")]
-    row = F.concat_ws(":", "phase", F.date_format("ts", "yyyyMMddHHmm"), *micro, F.coalesce(F.col("volume").cast("string"), F.lit("-")))
-    b = bars.filter(F.col("phase").isin(*STUDY_PHASES)).groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
+    b = bars.filter(F.col("phase").isin(*STUDY_PHASES)).groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_list(bar_text())), "\n").alias("rows"))
     known = lambda c: F.coalesce(c, F.lit("-"))
     ids = [known(F.col(f"{p}_response_sha256")) for p in ("regular", "post")] + [known(F.date_format(f"{p}_expected_{e}", "yyyyMMddHHmm")) for p in ("regular", "post") for e in ("start", "end")]
     h = header.join(b, list(KEY), "left")
@@ -151,6 +160,12 @@ def covered_phases(coverage: DataFrame) -> DataFrame:
     return coverage.groupBy(*KEY).agg(F.sort_array(F.collect_set("phase")).alias("covered_phases"))
 
 
+def live_scope(events: DataFrame) -> DataFrame:
+    """Live after-close events with their EPS surprise: what studies choose their members from."""
+    e = events.filter((F.col("hour") == "amc") & ~F.col("illiquid") & ~F.col("superseded"))
+    return e.select(*KEY, surprise_pct(F.col("eps_actual"), F.col("eps_estimate")).alias("eps_surprise_pct"))
+
+
 def universe(events: DataFrame, features: DataFrame, coverage: DataFrame, notes: DataFrame, start=None, end=None, symbols: Sequence[str] = (), versions: Sequence[str] = VERSIONS) -> DataFrame:
     """Live after-close events of a period (dates as text, either end open) and of symbols (none: all), with the live feature row of the version triple,
     surprises, retention, the phases covered and not, and the number of notes. features: without retracted rows (live_features())."""
@@ -233,13 +248,14 @@ def feature_violations(rows: DataFrame) -> DataFrame:
     return rows.select(*KEY, F.explode(reasons(*rules)).alias("rule"))
 
 
-#: How bars and coverage come about (fixed values).
-MODES = ("scheduled_capture", "historical_backfill")
+#: How coverage comes about, and how bars do (fixed values).
+COVERAGE_MODES = ("scheduled_capture", "historical_backfill")
+BAR_MODES = ("legacy_unspecified", "manual_collection", "scheduled_capture", "historical_backfill")
 
 
-def mode_violations(rows: DataFrame, key: Sequence[str], mode: str = "collection_mode") -> DataFrame:
-    """key and rule of each row of bars or coverage whose mode is absent or none of MODES."""
-    return rows.select(*key, F.explode(reasons((F.col(mode).isNull(), "no_collection_mode"), (~F.col(mode).isin(*MODES), "unknown_collection_mode"))).alias("rule"))
+def mode_violations(rows: DataFrame, key: Sequence[str], mode: str = "collection_mode", modes: Sequence[str] = COVERAGE_MODES) -> DataFrame:
+    """key and rule of each row of coverage (of bars: modes=BAR_MODES) whose mode is absent or none of modes."""
+    return rows.select(*key, F.explode(reasons((F.col(mode).isNull(), "no_collection_mode"), (~F.col(mode).isin(*modes), "unknown_collection_mode"))).alias("rule"))
 
 
 def run_summary(computed: DataFrame, stored: DataFrame, key: Sequence[str] = LIVE_KEY) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import pct_change, reasons, surprise_pct
+from ..functions.columns import merge_flags, pct_change, reasons, surprise_pct
 from .reaction import KEY, THRESHOLD_PCT
 
 #: Seconds beyond which a quote counts as old (fixed value).
@@ -46,18 +46,24 @@ def provisional_path(bars: DataFrame, threshold: float = THRESHOLD_PCT) -> DataF
     )
 
 
+def told_flags(flags: Column, stale: Column) -> Column:
+    """A quote's quality flags without `stale` where the quote is said to be stale anyway."""
+    return F.filter(flags, lambda f: ~((f == "stale") & F.coalesce(stale, F.lit(False))))
+
+
 def today_snapshot(events: DataFrame, features: DataFrame, quotes: DataFrame, bars: DataFrame, threshold: float = THRESHOLD_PCT) -> DataFrame:
     """Live after-close events with their latest quote, provisional path, finished class and why the numbers may mislead.
 
-    quotes: symbol, earnings_date, received_at, bid, ask, last, stale, age_seconds. Only finished rows (final) may be compared with history.
+    quotes: symbol, earnings_date, received_at, bid, ask, last, stale, age_seconds, quality_flags (array). The quote's flags stand among the reasons, `stale` but once.
+    Only finished rows (final) may be compared with history.
     """
-    q = quotes.groupBy(*KEY).agg(F.max_by(F.struct("received_at", "bid", "ask", "last", "stale", "age_seconds"), "received_at").alias("q"))
+    q = quotes.groupBy(*KEY).agg(F.max_by(F.struct("received_at", "bid", "ask", "last", "stale", "age_seconds", "quality_flags"), "received_at").alias("q"))
     live = events.filter((F.col("hour") == "amc") & ~F.col("illiquid") & ~F.col("superseded")).select(*KEY, "eps_estimate", "eps_actual")
     j = live.join(provisional_path(bars, threshold), list(KEY), "left").join(q, list(KEY), "left").join(features.select(*KEY, "reaction_class"), list(KEY), "left")
     mid, spread, age = (F.col("q.bid") + F.col("q.ask")) / 2, F.col("q.ask") - F.col("q.bid"), F.col("q.age_seconds")
-    why = reasons(
-        (F.col("q.received_at").isNull(), "no_quote"), (F.col("q.stale"), "stale_quote"), (age > OLD_QUOTE, "old_quote"), (F.col("pre_close").isNull(), "no_pre_close"),
-        (F.col("reaction_class").isNull(), "not_final"),
+    why = merge_flags(
+        reasons((F.col("q.received_at").isNull(), "no_quote"), (F.col("q.stale"), "stale_quote"), (age > OLD_QUOTE, "old_quote"), (F.col("pre_close").isNull(), "no_pre_close")),
+        told_flags(F.col("q.quality_flags"), F.col("q.stale")), reasons((F.col("reaction_class").isNull(), "not_final")),
     )
     return j.select(
         *KEY, surprise_pct(F.col("eps_actual"), F.col("eps_estimate")).alias("eps_surprise"), "pre_close", "q.bid", "q.ask", "q.last", "q.received_at", spread.alias("spread"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bar_problem, pct_change, reasons
+from .evidence import bar_text
 from .reaction import KEY, repeat_marks
 
 #: Minutes after the open that are priced exactly, the least share of regular minutes, and the session's length (fixed values).
@@ -61,6 +64,7 @@ def outcomes(header: DataFrame, bars: DataFrame, *, now: str) -> DataFrame:
 CAPTURE_GRACE = 10
 OUTCOME_VERSION = "outcome-1"
 
+#: Prices that a complete outcome has, and the phases that it reads with their usual minutes (fixed values).
 _NEEDED = ("reference_close", "reference_close_ts", "premarket_first", "premarket_high", "premarket_low", "premarket_last", "regular_open", "regular_high", "regular_low", "regular_close", *[f"regular_return_{n}m" for n in OPEN_MINUTES])
 _PHASES = {"regular": ("earnings_regular", 390), "premarket": ("following_premarket", 150), "following_regular": ("following_regular", 390)}
 
@@ -122,18 +126,64 @@ def session_outcomes(events: DataFrame, coverage: DataFrame, bars: DataFrame, da
     )
 
 
-def with_outcome_digest(outcomes: DataFrame) -> DataFrame:
-    """session_outcomes() with source_evidence_sha256: of the identities of the three phases and the prices read from them."""
-    text = lambda n: F.coalesce(F.col(n), F.lit("-"))
-    micro = lambda n: F.coalesce(F.round(F.col(n) * 1_000_000).cast("long").cast("string"), F.lit("-"))
-    prices = ("reference_close", "premarket_first", "premarket_high", "premarket_low", "premarket_last", "regular_open", "regular_high", "regular_low", "regular_close")
-    parts = ["symbol", F.date_format("earnings_date", "yyyy-MM-dd"), *[text(f"{s}_response_sha256") for s in _PHASES], *[micro(n) for n in prices]]
-    return outcomes.withColumn("source_evidence_sha256", F.sha2(F.concat_ws("|", *parts), 256))
+def with_outcome_digest(outcomes: DataFrame, coverage: DataFrame, bars: DataFrame) -> DataFrame:
+    """session_outcomes() with source_evidence_sha256: of everything that the three phases' coverage says of itself, and every bar of them, in order.
+
+    A changed price, volume, time, bound, flag or identity of any phase changes it; the order of rows does not. An event's bars are bounded by its
+    minutes, so the list of one event stays small.
+    """
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    minute = lambda c: F.coalesce(F.date_format(c, "yyyyMMddHHmm"), F.lit("-"))
+    flags = F.array_join(F.array_sort(F.array_distinct(F.coalesce("data_quality_flags", F.array().cast("array<string>")))), ",")
+    head = F.concat_ws("|", "phase", F.date_format("market_date", "yyyy-MM-dd"), "session", minute("expected_start"), minute("expected_end"), known("observed_minutes"), known("expected_minutes"), known("source"), minute("received_at"), known("response_sha256"), known("collection_mode"), flags)
+    three = F.col("phase").isin(*[p for p, _ in _PHASES.values()])
+    listed = lambda df, row: df.filter(three).groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("_text"))
+    heads, rows = listed(coverage, head), listed(bars, bar_text())
+    o = outcomes.join(heads.withColumnRenamed("_text", "_heads"), list(KEY), "left").join(rows.withColumnRenamed("_text", "_rows"), list(KEY), "left")
+    text = F.concat_ws("\n", "symbol", F.date_format("earnings_date", "yyyy-MM-dd"), F.coalesce("_heads", F.lit("")), F.coalesce("_rows", F.lit("")))
+    return o.withColumn("source_evidence_sha256", F.sha2(text, 256)).drop("_heads", "_rows")
+
+
+def parameters() -> Column:
+    """The definition that an outcome was made under, as JSON with sorted keys (fixed values)."""
+    p = {"calendar": "XNYS", "capture_grace_minutes": CAPTURE_GRACE, "execution_assumptions": "none", "least_regular_coverage": LEAST_COVERAGE, "open_minutes": list(OPEN_MINUTES)}
+    lit = lambda v: F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
+    return F.to_json(F.struct(*[lit(v).alias(k) for k, v in sorted(p.items())]))
+
 
+#: Days that one run may span (fixed value).
+MOST_DAYS = 370
 
-def outcomes_to_store(outcomes: DataFrame) -> DataFrame:
-    """with_outcome_digest() without what is not available yet; the ledger's key is event, version and digest."""
-    return outcomes.filter("analysis_status <> 'not_yet_available'")
+
+def outcomes_to_store(outcomes: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """with_outcome_digest() without what is not available yet, with its parameters; the ledger's key is event, version and digest.
+
+    start, end: the events' first and last date, MOST_DAYS apart at most; a longer run is refused."""
+    if start is not None and end is not None:
+        if not 0 <= (dt.date.fromisoformat(end) - dt.date.fromisoformat(start)).days <= MOST_DAYS:
+            raise ValueError(f"a run spans {MOST_DAYS} days at most")
+        outcomes = outcomes.filter(F.col("earnings_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return outcomes.filter("analysis_status <> 'not_yet_available'").withColumn("parameters", parameters())
+
+
+def outcome_violations(rows: DataFrame) -> DataFrame:
+    """event and rule of each stored outcome that breaks a rule of its table: what a status must have or lack, pairs of identity and mode, minutes seen
+    against minutes expected, digests and modes. A rule that asks a null is broken only where it says so."""
+    c = F.col
+    filled = sum((c(n).isNotNull().cast("int") for n in _NEEDED), F.lit(0))
+    lists = F.coalesce(F.size("missing_fields"), F.lit(0))
+    status, why = c("analysis_status"), c("analysis_status_reason")
+    sha = lambda n: c(n).isNotNull() & ~c(n).rlike("^[0-9a-f]{64}$")
+    each = [rule for s in _PHASES for rule in (
+        (c(f"{s}_response_sha256").isNull() != c(f"{s}_collection_mode").isNull(), f"{s}_identity_unpaired"), (c(f"{s}_observed_minutes") > c(f"{s}_expected_minutes"), f"{s}_minutes_exceed"),
+        (sha(f"{s}_response_sha256"), f"{s}_bad_response_digest"), (~c(f"{s}_collection_mode").isin("scheduled_capture", "historical_backfill"), f"{s}_unknown_mode"),
+    )]
+    rules = [
+        ((status == "complete") & ~(why.isNull() & (lists == 0) & (filled == len(_NEEDED))), "complete_row_incomplete"),
+        ((status == "insufficient_data") & ~(why.isNotNull() & (lists > 0)), "insufficient_data_row_incomplete"), (~F.coalesce(status.isin("complete", "insufficient_data"), F.lit(False)), "unknown_status"),
+        (F.coalesce(sha("source_evidence_sha256"), F.lit(True)) | c("source_evidence_sha256").isNull(), "bad_evidence_digest"), *each,
+    ]
+    return rows.select(*KEY, F.explode(reasons(*rules)).alias("rule"))
 
 
 def read_outcomes(stored: DataFrame, version: str = OUTCOME_VERSION) -> DataFrame:

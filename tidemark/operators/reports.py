@@ -6,13 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import pct_change
-from .evidence import minutes_of
+from .evidence import PHASES, minutes_of
 from .reaction import HORIZONS, KEY, MOST_CARRY, THRESHOLD_PCT
 
 #: Caps of reads (fixed values): quality issues, rows of a chart, rows of an export; days of a bare page.
 MOST_ISSUES, MOST_CHART_ROWS, MOST_EXPORT_ROWS, DEFAULT_DAYS = 500, 2_000, 5_000, 180
 
 
+def coverage_audit(events: DataFrame, coverage: DataFrame) -> DataFrame:
+    """A row for each after-close event and phase, covered or not: state PRESENT or MISSING, and what the coverage row says (minutes, retrieval, mode, flags)."""
+    each = events.filter("hour = 'amc'").select(*KEY, F.explode(F.array(*[F.lit(p) for p in PHASES])).alias("phase"))
+    c = coverage.select(*KEY, "phase", "market_date", "session", "expected_start", "expected_end", "observed_minutes", "expected_minutes", "received_at", "response_sha256", "collection_mode", "data_quality_flags", F.lit(True).alias("_there"))
+    return each.join(c, [*KEY, "phase"], "left").withColumn("state", F.when(F.col("_there"), "PRESENT").otherwise("MISSING")).drop("_there")
+
+
+def newest(rows: DataFrame, most: int) -> DataFrame:
+    """The newest events' rows, `most` at most: what a chart (MOST_CHART_ROWS) or an export (MOST_EXPORT_ROWS) reads."""
+    return rows.orderBy(F.desc("earnings_date"), "symbol").limit(most)
+
+
 def event_paths(bars: DataFrame, rows: DataFrame) -> DataFrame:
     """Bars of all phases of each event, by time and phase, each with its change from the reference price and the horizons that it stands for.
 
@@ -95,7 +107,7 @@ def issues_by_kind(issues: DataFrame) -> DataFrame:
 
 def first_issues(issues: DataFrame, most: int = MOST_ISSUES) -> DataFrame:
     """The newest issues, a page's worth: sorted and cut in one step, so no task sorts them all."""
-    return issues.orderBy(F.desc("earnings_date"), "symbol").limit(most)
+    return newest(issues, most)
 
 
 def event_detail(keys: DataFrame, u: DataFrame, coverage: DataFrame, bars: DataFrame, notes: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:

@@ -7,8 +7,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import eastern, norm_symbol
-from ..operators import asof, ledger, reports, selection, study
+from ..functions.columns import eastern, norm_symbol, only_finite, row_digest
+from ..functions.tables import stored
+from ..operators import asof, ledger, ranks, reports, selection, study
 from ..operators import evidence as ev
 from ..operators import outcome as oc
 from ..operators.reaction import HORIZONS, KEY
@@ -25,38 +26,60 @@ WINDOW = ("1995-01-01", "1996-12-31")
 
 
 class Inputs:
-    """The derived tables of one folder. Events, coverage, bars, stored feature rows and outcomes would be tables of their own elsewhere; here they are
-    derived once a session and kept (in memory, else on disk; lost parts are derived again)."""
+    """The derived tables of one folder. Events, coverage, bars, stored feature rows and outcomes would be tables of their own elsewhere; here each is
+    derived when a query first asks for it and written to the shared folder, so that executors keep nothing and queries read the columns they need."""
 
     def __init__(self, spark: SparkSession, d: str):
-        self.events, self.days = fx.events(spark, d).persist(), core._calendar(spark, d).persist()
-        self.coverage = evx.coverage(self.events, self.days).persist()
-        self.bars = ev.phase_bars(self.coverage, evx.retrieved(self.events, self.coverage)).persist()
-        self.notes = evx.notes(self.events)
+        self.spark, self.d = spark, d
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return stored(fx.events(self.spark, self.d), "events")
+
+    @cached_property
+    def days(self) -> DataFrame:
+        return core._calendar(self.spark, self.d)
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return stored(evx.coverage(self.events, self.days), "coverage")
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        return stored(ev.phase_bars(self.coverage, evx.retrieved(self.events, self.coverage)), "bars")
+
+    @cached_property
+    def notes(self) -> DataFrame:
+        return evx.notes(self.events)
 
     @cached_property
     def features(self) -> DataFrame:
         header = ev.evidence_header(self.events, self.coverage)
-        return ev.evidence_features(ev.evidence_digests(header, self.bars), self.bars).persist()
+        return ev.evidence_features(ev.evidence_digests(header, self.bars), self.bars)
 
     @cached_property
     def rows(self) -> DataFrame:
-        return ev.feature_rows(self.features)
+        return stored(ev.feature_rows(self.features), "feature_rows")
 
     @cached_property
-    def stored(self) -> DataFrame:
+    def ledger(self) -> DataFrame:
         """Rows as a ledger has them: some events twice, of two versions, some retracted, some not analyzed."""
         rows = self.rows.filter("day(earnings_date) <> 3").withColumn("computed_at", F.col("earnings_date").cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(1)))
         old = rows.filter("day(earnings_date) < 10").withColumns({"feature_version": F.lit("features-0"), "reference_price": F.lit(0.0)})
         return rows.unionByName(old)
 
     def universe(self, **how) -> DataFrame:
-        gone = self.stored.filter("day(earnings_date) = 5 AND feature_version = 'features-1'").select(*ev.LIVE_KEY, "source_evidence_sha256")
-        return ev.universe(self.events, ev.live_features(self.stored, gone), self.coverage, self.notes, **how)
+        return ev.universe(self.events, self.live, self.coverage, self.notes, **how)
+
+    @cached_property
+    def live(self) -> DataFrame:
+        gone = self.ledger.filter("day(earnings_date) = 5 AND feature_version = 'features-1'").select(*ev.LIVE_KEY, "source_evidence_sha256")
+        return ev.live_features(self.ledger, gone)
 
     @cached_property
     def outcomes(self) -> DataFrame:
-        return oc.with_outcome_digest(oc.session_outcomes(self.events, self.coverage, self.bars, self.days, now=NOW)).persist()
+        o = oc.session_outcomes(self.events, self.coverage, self.bars, self.days, now=NOW)
+        return stored(oc.with_outcome_digest(o, self.coverage, self.bars), "outcomes")
 
 
 _KEPT: dict[tuple[str, str], Inputs] = {}
@@ -85,9 +108,9 @@ def evidence_header(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phase_bars(spark: SparkSession, d: str) -> DataFrame:
-    """Of four retrievals of some minutes the one that coverage names, first of each time: what each event and phase has of it."""
-    b = ev.first_of_each(inputs(spark, d).bars).groupBy(*KEY, "phase")
-    return rounded(b.agg(F.count("*").alias("bars"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum("volume").alias("volume"), F.sum("close").alias("close_sum"), F.bool_or("stale").alias("stale")), 4)
+    """Every bar of the retrieval that coverage names, of four retrievals of some minutes, the first of each time."""
+    b = ev.first_of_each(inputs(spark, d).bars)
+    return rounded(b.select(*KEY, "phase", "ts", "open", "high", "low", "close", "volume", "stale"), 4)
 
 
 def feature_gates(spark: SparkSession, d: str) -> DataFrame:
@@ -178,16 +201,59 @@ def monthly_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Of all paths the bars that horizons stand on."""
+    """Every bar of all paths in order, with the horizons that stand on it."""
     x = inputs(spark, d)
-    return flat(reports.event_paths(ev.first_of_each(x.bars), x.rows).filter(F.size("checkpoints") > 0).select(*KEY, "place", "phase", "ts", "close", "change", "checkpoints"))
+    return flat(reports.event_paths(ev.first_of_each(x.bars), x.rows).select(*KEY, "place", "phase", "ts", "close", "change", "checkpoints"))
 
 
 def following_path(spark: SparkSession, d: str) -> DataFrame:
+    """Every bar of the sessions after, with the marks of open and close and the reference price."""
     x = inputs(spark, d)
-    p = reports.following_path(ev.first_of_each(x.bars), x.rows)
-    mark = lambda m, c: F.max(F.when(F.col("mark") == m, F.col(c))).alias(f"{m}_{c}")
-    return rounded(p.groupBy(*KEY, "phase").agg(F.count("*").alias("bars"), mark("open", "ts"), mark("open", "close"), mark("close", "ts"), mark("close", "close"), F.max("reference_price").alias("reference_price")))
+    return rounded(reports.following_path(ev.first_of_each(x.bars), x.rows).select(*KEY, "phase", "ts", "close", "mark", "reference_price"))
+
+
+def evidence_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Every event and phase with what its coverage row says, or that there is none."""
+    x = inputs(spark, d)
+    return flat(reports.coverage_audit(x.events, x.coverage))
+
+
+def operations_page(spark: SparkSession, d: str) -> DataFrame:
+    """Newest and counted rows of the stored tables: one row each, side by side."""
+    x = inputs(spark, d)
+    e = x.events.agg(F.max("earnings_date").alias("last_event"), F.count("*").alias("events_total"), F.count_if(F.col("hour") == "amc").alias("events_amc"))
+    mode = lambda m: F.count_if(F.col("collection_mode") == m)
+    c = x.coverage.agg(F.max("received_at").alias("last_coverage"), F.count("*").alias("coverage_rows"), mode("scheduled_capture").alias("scheduled_rows"), mode("historical_backfill").alias("backfill_rows"))
+    b = x.bars.agg(F.max("received_at").alias("last_bar"), F.count("*").alias("bar_rows"))
+    q = fx.ticks(spark, d).agg(F.max("received_at").alias("last_quote"))
+    f = x.ledger.agg(F.max("computed_at").alias("last_feature"), F.count("*").alias("feature_rows"))
+    return e.crossJoin(c).crossJoin(b).crossJoin(q).crossJoin(f)  # one row each
+
+
+def chart_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The newest events of the universe with their main numbers, as many as a chart draws."""
+    u = inputs(spark, d).universe()
+    return rounded(reports.newest(u.select(*KEY, "reaction_class", "initial_return", "return_105m", "retention"), reports.MOST_CHART_ROWS))
+
+
+def export_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The newest events of the universe as an export writes them, as many as one file takes."""
+    u = inputs(spark, d).universe()
+    return exports.flat(rounded(reports.newest(u.select(*KEY, "analysis_status", "eps_surprise_pct", "covered_phases"), reports.MOST_EXPORT_ROWS)))
+
+
+def row_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of event rows by their canonical text; a row with a number that is not finite would be refused."""
+    e = inputs(spark, d).events.select(*KEY, "hour", "k", "eps_actual", F.when(F.col("k") % 5 != 0, F.col("superseded")).alias("superseded"))
+    digest = row_digest("event-1", "symbol", "earnings_date", "hour", "k", "superseded")
+    return e.select(*KEY, only_finite(e, digest).alias("sha256"))
+
+
+def bar_mode_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of one minute of each event under the four modes that bars may have, some under none or another."""
+    modes = "CASE day(earnings_date) WHEN 8 THEN NULL WHEN 9 THEN 'guessed' ELSE element_at(array('legacy_unspecified', 'manual_collection', 'scheduled_capture', 'historical_backfill'), 1 + day(earnings_date) % 4) END"
+    b = fx.bars(fx.events(spark, d)).withColumn("collection_mode", F.expr(modes))
+    return ev.mode_violations(b, [*KEY, "phase", "minute", "id"], modes=ev.BAR_MODES)
 
 
 def path_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -240,6 +306,26 @@ def asof_daily(spark: SparkSession, d: str) -> DataFrame:
     return asof.asof_join(e, b, ["symbol"], "earnings_date", "session_date", tolerance=F.datediff("earnings_date", "session_date") <= 30)
 
 
+def asof_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """Each failed tick with the symbol's last priced one at or before it; the time line of a symbol with many ticks is cut into pieces."""
+    t = fx.ticks(spark, d).select("symbol", "event_timestamp", "event_id", "event_type", "last")
+    left = t.filter("event_type = 'error'").select("symbol", "event_timestamp", "event_id")
+    right = t.filter("event_type <> 'error' AND last IS NOT NULL").select("symbol", F.col("event_timestamp").alias("quoted_at"), F.col("event_id").alias("quote_id"), "last")
+    return rounded(asof.asof_join(left, right, ["symbol"], "event_timestamp", "quoted_at", tie=["quote_id"], piece_rows=TICK_ROWS))
+
+
+#: Ticks of a piece of a symbol's time line in asof_ticks: few, so that the larger symbols of a small table are cut too.
+TICK_ROWS = 50
+
+
+def class_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact quartiles of initial return and volume of each class, events without one among them."""
+    u = stored(inputs(spark, d).universe().select("reaction_class", "initial_return", F.col("volume_105m").cast("double").alias("volume_105m")), "measures")
+    each = [ranks.quantiles(u, ["reaction_class"], c, (0.25, 0.5, 0.75)).select(F.lit(c).alias("measure"), "*") for c in ("initial_return", "volume_105m")]
+    x = each[0].unionByName(each[1])
+    return rounded(x.select("measure", "reaction_class", "n", *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)]))
+
+
 # --- outcomes ---
 
 
@@ -261,24 +347,58 @@ def outcome_run_summary(spark: SparkSession, d: str) -> DataFrame:
     return ev.run_summary(o, oc.outcomes_to_store(o).filter("day(earnings_date) % 2 = 1"), key)
 
 
+def _spoilt_outcomes(rows: DataFrame) -> DataFrame:
+    """Stored outcomes, some of them spoilt by the day of the month."""
+    day = lambda n, v, c: F.when(F.dayofmonth("earnings_date") == n, v).otherwise(F.col(c)).alias(c)
+    return rows.withColumns({
+        "analysis_status_reason": day(1, F.lit("x"), "analysis_status_reason"), "missing_fields": day(2, F.array().cast("array<string>"), "missing_fields"), "regular_collection_mode": day(3, F.lit(None), "regular_collection_mode"),
+        "following_regular_observed_minutes": day(4, F.lit(1000), "following_regular_observed_minutes"), "source_evidence_sha256": day(5, F.lit("x"), "source_evidence_sha256"), "analysis_status": day(6, F.lit("done"), "analysis_status"),
+        "premarket_response_sha256": day(7, F.lit("bad"), "premarket_response_sha256"), "following_regular_collection_mode": day(8, F.lit("guessed"), "following_regular_collection_mode"), "reference_close": day(9, F.lit(None), "reference_close"),
+    })
+
+
+def outcome_row_violations(spark: SparkSession, d: str) -> DataFrame:
+    return oc.outcome_violations(_spoilt_outcomes(oc.outcomes_to_store(inputs(spark, d).outcomes)))
+
+
+def outcome_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """What a run of a year stores: each outcome's identity and the definition that it was made under."""
+    o = oc.outcomes_to_store(inputs(spark, d).outcomes, "1996-01-01", "1996-12-31")
+    return o.select(*KEY, "outcome_version", "source_evidence_sha256", "parameters")
+
+
 # --- studies ---
 
 
+#: Limits and pins of the plans by their number n: in Spark's and in DuckDB's words.
+_LIMITS = {
+    "directions": ("CASE n % 3 WHEN 0 THEN array('up') WHEN 1 THEN array('down') END", "CASE n % 3 WHEN 0 THEN ['up'] WHEN 1 THEN ['down'] END"),
+    "statuses": ("IF(n = 1, array('complete'), NULL)", "CASE WHEN n = 1 THEN ['complete'] END"),
+    "classes": ("IF(n = 2, array('whipsaw', 'spike_and_fade'), IF(n = 11, array(), NULL))", "CASE WHEN n = 2 THEN ['whipsaw', 'spike_and_fade'] END"),
+    "modes": ("IF(n = 3, array('scheduled_capture'), NULL)", "CASE WHEN n = 3 THEN ['scheduled_capture'] END"),
+    "symbols": ("IF(n = 4, transform(sequence(1, 60), k -> concat('C', k)), NULL)", "CASE WHEN n = 4 THEN list_transform(range(1, 61), lambda k: 'C' || k) END"),
+    **{f: (f"CASE WHEN {when} THEN {v}e0 END",) * 2 for f, when, v in (
+        ("least_abs_return", "n % 2 = 0", "1"), ("most_delay", "n % 4 = 0", "60"), ("most_abs_return", "n = 5", "3"), ("least_retention", "n = 7", "5"), ("most_retention", "n = 9", "5"), ("least_delay", "n = 11", "10"),
+        ("least_volume", "n = 13", "1200"), ("least_coverage", "n = 15", "1"), ("least_surprise", "n = 17", "0"), ("most_surprise", "n = 19", "5"))},
+    "feature_version": ("IF(n = 21, 'features-0', 'features-1')", "CASE WHEN n = 21 THEN 'features-0' ELSE 'features-1' END"),
+    "outcome_version": ("IF(n = 22, 'outcome-0', NULL)", "CASE WHEN n = 22 THEN 'outcome-0' ELSE 'outcome-1' END"),
+}
+
+
 def _plans(spark: SparkSession, d: str) -> DataFrame:
     n = fx.read(spark, d, "nation").select(F.col("n_nationkey").alias("n"))
     day = lambda s: F.lit(s).cast("date")
     return n.select(
         F.concat(F.lit("S"), F.col("n").cast("string")).alias("study_key"), F.lit(1).alias("version"), F.expr("date_add(DATE'1992-01-01', 30 * (n % 3))").alias("development_from"), day("1996-12-31").alias("development_to"),
         F.expr("IF(n = 24, DATE'1996-01-01', DATE'1997-01-01')").alias("oos_from"), F.expr("IF(n % 7 = 3, DATE'1998-03-31', DATE'1997-12-15')").alias("oos_to"), F.lit(5).alias("least_development"), F.lit(3).alias("least_oos"),
-        F.expr("IF(n % 2 = 0, 'higher', 'lower')").alias("expected_direction"), F.expr("CASE n % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' END").alias("direction"), F.expr("CASE WHEN n % 2 = 0 THEN 1e0 END").alias("least_abs_return"),
-        F.expr("CASE WHEN n % 4 = 0 THEN 60 END").alias("most_delay"),
+        F.expr("IF(n % 2 = 0, 'higher', 'lower')").alias("expected_direction"), *[F.expr(ours).alias(name) for name, (ours, _) in _LIMITS.items()],
     )
 
 
 def _members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     x = inputs(spark, d)
     plans = _plans(spark, d)
-    return plans, study.members(plans, x.universe(), x.outcomes.filter("day(earnings_date) <> 20"))
+    return plans, study.members(plans, ev.live_scope(x.events), x.live, x.outcomes.filter("day(earnings_date) <> 20"))
 
 
 def all_study_members(spark: SparkSession, d: str) -> DataFrame:
@@ -304,7 +424,9 @@ def study_violations(spark: SparkSession, d: str) -> DataFrame:
     """Members and results, some of them spoilt."""
     plans, m = _members(spark, d)
     bad = m.withColumn("included", F.when(F.dayofmonth("earnings_date") == 9, True).otherwise(F.col("included"))).withColumn("earnings_date", F.when(F.dayofmonth("earnings_date") == 11, F.date_add("earnings_date", 4000)).otherwise(F.col("earnings_date")))
-    r = study.results(m).withColumns({"excluded_count": F.col("excluded_count") + F.expr("IF(study_key LIKE '%3', 1, 0)"), "decision": F.expr("IF(study_key LIKE '%4', 'paper_trade_candidate', decision)"), "threshold": F.expr("IF(study_key LIKE '%5', -1, threshold)")})
+    bad = bad.withColumn("outcome_version", F.when(F.dayofmonth("earnings_date") == 13, "outcome-x").otherwise(F.col("outcome_version")))
+    told = {n: F.expr(f"IF(study_key LIKE '%{k}', array(), array('known'))") for k, n in ((6, "assumptions"), (7, "limitations"), (8, "failure_modes"))}
+    r = study.results(m).withColumns(told).withColumns({"excluded_count": F.col("excluded_count") + F.expr("IF(study_key LIKE '%3', 1, 0)"), "decision": F.expr("IF(study_key LIKE '%4', 'paper_trade_candidate', decision)"), "threshold": F.expr("IF(study_key LIKE '%5', -1, threshold)")})
     return study.study_violations(r, bad, plans)
 
 
@@ -364,8 +486,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         evidence_header, phase_bars, feature_gates, feature_rows, feature_row_violations, mode_violations, feature_run_summary, universe, universe_of_period, all_quality_issues, newest_quality_issues, issues_by_kind,
-        cohort_disclosure, trailing_universe, value_counts, scatter_points, monthly_series, event_paths, following_path, path_levels, event_detail, export_universe, export_coverage, phase_starts_eastern,
-        normalized_symbols, record_ages, asof_daily, session_outcomes, stored_outcomes, outcome_run_summary, all_study_members, study_results, cohort_digests, study_detail, study_violations,
+        cohort_disclosure, trailing_universe, value_counts, scatter_points, monthly_series, event_paths, following_path, path_levels, evidence_audit, operations_page, chart_rows, export_rows, row_digests, bar_mode_violations, event_detail, export_universe, export_coverage, phase_starts_eastern,
+        normalized_symbols, record_ages, asof_daily, asof_ticks, class_quantiles, session_outcomes, stored_outcomes, outcome_run_summary, outcome_row_violations, outcome_parameters, all_study_members, study_results, cohort_digests, study_detail, study_violations,
         reconcile_window, unlisted_events, live_after_reconcile, liquidity_decisions, first_listed, stale_watchlists, monitor_candidates,
     )
 }
@@ -475,7 +597,15 @@ _RATIO = lambda s: f"CASE WHEN {_THERE(s)} THEN least(1, {s}_o / {s}_x) ELSE 0 E
 _BROKEN = [(f"b_{s}", f"{p}_invalid_bar") for s, (p, _) in _P.items()] + [(f"t_{s} > d_{s}", f"{p}_duplicate_timestamp") for s, (p, _) in _P.items()]
 _LACK = [(f"{n} IS NULL", n) for n in ["reference_close", "reference_close_ts", *_OPRICES, *[f"regular_return_{n}m" for n in (5, 30, 60)]]]
 _COVERED = [(f"{_THERE(s)} AND {_RATIO(s)} < 0.95", f"{_P[s][0]}_coverage") for s in ("regular", "following_regular")]
-_O = f"""oa0 AS (SELECT symbol, earnings_date, max(close) FILTER (phase = 'earnings_regular' AND ts = expected_end - INTERVAL 1 MINUTE) AS reference_close, max(ts) FILTER (phase = 'earnings_regular' AND ts = expected_end - INTERVAL 1 MINUTE) AS reference_close_ts,
+_THREE = "('earnings_regular', 'following_premarket', 'following_regular')"
+_HEADS = " || '|' || ".join([
+    "phase", "strftime(market_date, '%Y-%m-%d')", "session", _TIME("expected_start"), _TIME("expected_end"), _OR("CAST(observed_minutes AS VARCHAR)"), _OR("CAST(expected_minutes AS VARCHAR)"), _OR("source"), _TIME("received_at"),
+    _OR("response_sha256"), _OR("collection_mode"), "array_to_string(list_sort(list_distinct(coalesce(data_quality_flags, []))), ',')",
+])
+_O = f"""od1 AS (SELECT symbol, earnings_date, string_agg(t, chr(10) ORDER BY t) AS heads FROM (SELECT symbol, earnings_date, {_HEADS} AS t FROM cov WHERE phase IN {_THREE}) GROUP BY ALL),
+od2 AS (SELECT symbol, earnings_date, string_agg(t, chr(10) ORDER BY t) AS lines FROM (SELECT symbol, earnings_date, phase || ':' || strftime(ts, '%Y%m%d%H%M') || ':' || {_MICRO} || ':' || coalesce(CAST(volume AS VARCHAR), '-') AS t
+  FROM pb WHERE phase IN {_THREE}) GROUP BY ALL),
+oa0 AS (SELECT symbol, earnings_date, max(close) FILTER (phase = 'earnings_regular' AND ts = expected_end - INTERVAL 1 MINUTE) AS reference_close, max(ts) FILTER (phase = 'earnings_regular' AND ts = expected_end - INTERVAL 1 MINUTE) AS reference_close_ts,
   arg_min(open, ts) FILTER (phase = 'following_premarket') AS premarket_first, max(high) FILTER (phase = 'following_premarket') AS premarket_high, min(low) FILTER (phase = 'following_premarket') AS premarket_low,
   arg_max(close, ts) FILTER (phase = 'following_premarket') AS premarket_last, min(ts) FILTER (phase = 'following_premarket') AS premarket_first_ts, max(ts) FILTER (phase = 'following_premarket') AS premarket_last_ts,
   max(open) FILTER (phase = 'following_regular' AND ts = expected_start) AS regular_open, max(high) FILTER (phase = 'following_regular') AS regular_high, min(low) FILTER (phase = 'following_regular') AS regular_low,
@@ -490,32 +620,39 @@ ok AS (SELECT *, {', '.join(f'(c_{n} - reference_close) / reference_close * 100
 ol AS (SELECT *, {_LIST(*_LACK, *_COVERED, *_BROKEN)} AS miss, {_LIST(*[(f'NOT ({_THERE(s)})', p) for s, (p, _) in _P.items()])} AS absent, {_LIST(*_BROKEN)} AS broken FROM ok),
 om AS (SELECT *, CASE WHEN TIMESTAMP '{NOW}' < available_after AND (following_regular_o IS NULL OR TIMESTAMP '{NOW}' < following_regular_e OR following_regular_o < following_regular_x) THEN 'not_yet_available'
   WHEN len(miss) > 0 THEN 'insufficient_data' ELSE 'complete' END AS analysis_status FROM ol),
-so AS (SELECT symbol, earnings_date, 'outcome-1' AS outcome_version, analysis_status, CASE analysis_status WHEN 'not_yet_available' THEN 'session_not_complete' WHEN 'insufficient_data' THEN 'evidence_missing' END AS analysis_status_reason,
+so AS (SELECT om.symbol, om.earnings_date, 'outcome-1' AS outcome_version, analysis_status, CASE analysis_status WHEN 'not_yet_available' THEN 'session_not_complete' WHEN 'insufficient_data' THEN 'evidence_missing' END AS analysis_status_reason,
   reference_close, reference_close_ts, premarket_first, premarket_first_ts, premarket_high, premarket_low, premarket_last, premarket_last_ts, regular_open, regular_high, regular_low, regular_close,
   {', '.join(f'(({n} - reference_close) / reference_close * 100) AS {n}_return' for n in _OPRICES)}, regular_return_5m, regular_return_30m, regular_return_60m, (regular_open - reference_close) / reference_close * 100 AS overnight_gap_return,
   {', '.join(f'CAST(coalesce({s}_o, 0) AS INT) AS {s}_observed_minutes, CAST(coalesce({s}_x, {m}) AS INT) AS {s}_expected_minutes, {_RATIO(s)} AS {s}_coverage_ratio, {s}_response_sha256, {s}_collection_mode' for s, (_, m) in _P.items())},
   list_sort(list_distinct(list_concat(absent, miss))) AS missing_fields, list_sort(list_distinct(list_concat(coalesce(regular_f, []), coalesce(premarket_f, []), coalesce(following_regular_f, []), broken))) AS data_quality_flags, available_after,
-  sha256(symbol || '|' || strftime(earnings_date, '%Y-%m-%d') || '|' || {" || '|' || ".join([_OR(f'{s}_response_sha256') for s in _P] + [_OR(f'CAST(CAST(round({n} * 1000000) AS BIGINT) AS VARCHAR)') for n in ['reference_close', *_OPRICES]])}) AS source_evidence_sha256
-  FROM om)"""
+  sha256(om.symbol || chr(10) || strftime(om.earnings_date, '%Y-%m-%d') || chr(10) || coalesce(heads, '') || chr(10) || coalesce(lines, '')) AS source_evidence_sha256
+  FROM om LEFT JOIN od1 ON om.symbol = od1.symbol AND om.earnings_date = od1.earnings_date LEFT JOIN od2 ON om.symbol = od2.symbol AND om.earnings_date = od2.earnings_date)"""
 _SO = f"{_PB}, {_O}"
 _ORETURNS = ["reference_close", *_OPRICES, *[f"{n}_return" for n in _OPRICES], *[f"regular_return_{n}m" for n in (5, 30, 60)], "overnight_gap_return", *[f"{s}_coverage_ratio" for s in _P]]
-_M_WHY = [
-    ("direction IS NOT NULL AND NOT coalesce(reaction_direction = direction, FALSE)", "reaction_direction_excluded"), ("least_abs_return IS NOT NULL AND NOT coalesce(abs(initial_return) >= least_abs_return, FALSE)", "min_abs_initial_return_excluded"),
-    ("most_delay IS NOT NULL AND NOT coalesce(detection_delay_minutes <= most_delay, FALSE)", "max_detection_delay_excluded"),
+_M_LISTS = [(n, c, code) for n, c, code in (("statuses", "analysis_status", "analysis_status"), ("classes", "reaction_class", "reaction_class"), ("directions", "reaction_direction", "reaction_direction"), ("modes", "earnings_postmarket_collection_mode", "postmarket_collection_mode"))]
+_M_BOUNDS = [
+    ("least_abs_return", "abs(initial_return) >=", "min_abs_initial_return"), ("most_abs_return", "abs(initial_return) <=", "max_abs_initial_return"), ("least_retention", "retention >=", "min_retention"), ("most_retention", "retention <=", "max_retention"),
+    ("least_delay", "detection_delay_minutes >=", "min_detection_delay"), ("most_delay", "detection_delay_minutes <=", "max_detection_delay"), ("least_volume", "volume_105m >=", "min_volume_105m"), ("least_coverage", "study_coverage_ratio >=", "min_coverage_ratio"),
+    ("least_surprise", "eps_surprise_pct >=", "min_eps_surprise_pct"), ("most_surprise", "eps_surprise_pct <=", "max_eps_surprise_pct"),
 ]
+_M_WHY = [(f"len({n}) > 0 AND NOT coalesce(list_contains({n}, {c}), FALSE)", f"{code}_excluded") for n, c, code in _M_LISTS] + [(f"{n} IS NOT NULL AND NOT coalesce({ask} {n}, FALSE)", f"{code}_excluded") for n, ask, code in _M_BOUNDS]
 _DONE = "coalesce(analysis_status = 'complete', FALSE)"
 _M_OUT = [(f"NOT ({_DONE} AND detection_delay_minutes IS NOT NULL)", "feature_not_complete"), ("o_status IS NULL", "outcome_missing"), ("o_status IS NOT NULL AND (o_status <> 'complete' OR o_metric IS NULL)", "outcome_not_complete")]
 _PLAN = """plan AS (SELECT 'S' || n_nationkey AS study_key, 1 AS version, DATE '1992-01-01' + CAST(30 * (n_nationkey % 3) AS INT) AS development_from, DATE '1996-12-31' AS development_to,
   CASE WHEN n_nationkey = 24 THEN DATE '1996-01-01' ELSE DATE '1997-01-01' END AS oos_from, CASE WHEN n_nationkey % 7 = 3 THEN DATE '1998-03-31' ELSE DATE '1997-12-15' END AS oos_to, 5 AS least_development, 3 AS least_oos,
-  CASE WHEN n_nationkey % 2 = 0 THEN 'higher' ELSE 'lower' END AS way, CASE n_nationkey % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' END AS direction, CASE WHEN n_nationkey % 2 = 0 THEN 1e0 END AS least_abs_return, CASE WHEN n_nationkey % 4 = 0 THEN 60 END AS most_delay FROM nation)"""
+  CASE WHEN n_nationkey % 2 = 0 THEN 'higher' ELSE 'lower' END AS way, """ + ", ".join(f"{theirs} AS {name}" for name, (_, theirs) in _LIMITS.items()) + " FROM (SELECT *, n_nationkey AS n FROM nation))"
 _T = lambda c: f"coalesce(CAST({c} AS VARCHAR), '-')"
 _MEM = f"""{_U}, {_O}, {_PLAN}, st(stage) AS (VALUES ('development'), ('oos')),
 pl AS (SELECT plan.*, stage, CASE stage WHEN 'oos' THEN oos_from ELSE development_from END AS s, CASE stage WHEN 'oos' THEN oos_to ELSE development_to END AS z, CASE stage WHEN 'oos' THEN least_oos ELSE least_development END AS least FROM plan, st),
-uo AS (SELECT u.*, so.analysis_status AS o_status, so.regular_close_return AS o_metric, so.source_evidence_sha256 AS o_sha, coalesce(so.data_quality_flags, []) AS o_flags FROM u LEFT JOIN so ON so.symbol = u.symbol AND so.earnings_date = u.earnings_date AND day(so.earnings_date) <> 20),
-me0 AS (SELECT study_key, version, stage, least, way, uo.*, list_sort({_LIST(*_M_WHY, *_M_OUT)}) AS reasons, len({_LIST(*_M_WHY)}) = 0 AND {_DONE} AS eligible, list_sort(list_distinct(list_concat(data_quality_flags, o_flags))) AS flags
-  FROM pl JOIN uo ON earnings_date BETWEEN s AND z),
+sc AS (SELECT symbol, earnings_date, CASE WHEN eps_estimate <> 0 THEN (eps_actual - eps_estimate) / abs(eps_estimate) * 100 END AS eps_surprise_pct FROM ev WHERE hour = 'amc' AND NOT illiquid AND NOT superseded),
+fv AS (SELECT * FROM frow WHERE day(earnings_date) NOT IN (3, 5) UNION ALL SELECT * REPLACE ('features-0' AS feature_version) FROM frow WHERE day(earnings_date) < 10 AND day(earnings_date) <> 3),
+uo AS (SELECT pl.* EXCLUDE (feature_version), pl.feature_version AS pinned, sc.*, f.* EXCLUDE (symbol, earnings_date, feature_version, data_quality_flags), coalesce(f.data_quality_flags, []) AS data_quality_flags, CASE WHEN initial_return <> 0 THEN return_105m / initial_return END AS retention,
+    so.analysis_status AS o_status, so.regular_close_return AS o_metric, so.source_evidence_sha256 AS o_sha, coalesce(so.data_quality_flags, []) AS o_flags
+  FROM pl JOIN sc ON sc.earnings_date BETWEEN s AND z AND (symbols IS NULL OR list_contains(symbols, sc.symbol)) LEFT JOIN fv f ON f.symbol = sc.symbol AND f.earnings_date = sc.earnings_date AND f.feature_version = pl.feature_version
+  LEFT JOIN so ON so.symbol = sc.symbol AND so.earnings_date = sc.earnings_date AND day(so.earnings_date) <> 20 AND so.outcome_version = pl.outcome_version),
+me0 AS (SELECT *, list_sort({_LIST(*_M_WHY, *_M_OUT)}) AS reasons, len({_LIST(*_M_WHY)}) = 0 AND {_DONE} AS eligible, list_sort(list_distinct(list_concat(data_quality_flags, o_flags))) AS flags FROM uo),
 me AS (SELECT study_key, version, stage, least, way, symbol, earnings_date, detection_delay_minutes AS delay_minutes, CASE WHEN o_status = 'complete' THEN o_metric END AS metric, reasons, len(reasons) = 0 AS included, eligible,
-  analysis_status AS feature_status, o_status AS outcome_status, flags, sha256(symbol || '|' || strftime(earnings_date, '%Y-%m-%d') || '|' || (len(reasons) = 0) || '|' || array_to_string(reasons, ',') || '|' || {_T('analysis_status')} || '|' || {_T('source_evidence_sha256')} || '|' || {_T('o_status')} || '|' || {_T('o_sha')} || '|' || array_to_string(flags, ',')) AS member_sha256 FROM me0)"""
+  analysis_status AS feature_status, o_status AS outcome_status, flags, sha256(symbol || '|' || strftime(earnings_date, '%Y-%m-%d') || '|' || pinned || '|detector-1|classifier-1|' || outcome_version || '|' || (len(reasons) = 0) || '|' || array_to_string(reasons, ',') || '|' || {_T('analysis_status')} || '|' || {_T('source_evidence_sha256')} || '|' || {_T('o_status')} || '|' || {_T('o_sha')} || '|' || array_to_string(flags, ',')) AS member_sha256 FROM me0)"""
 
 
 def _results(stage: str, threshold: str) -> str:
@@ -530,7 +667,9 @@ _DEV = f"{_MEM}, {_results('development', "SELECT study_key, version, median(del
 _OOS = f"{_DEV}, {_results('oos', 'SELECT study_key, version, threshold FROM r_development')}"
 _SEALED = "CASE WHEN sample_gate AND coverage_gate AND coalesce(CASE WHEN way = 'higher' THEN difference > 0 ELSE difference < 0 END, FALSE) THEN 'paper_trade_candidate' ELSE 'reject' END"
 _RESULT = "study_key, version, universe_count, n, eligible, n_early, n_late, complete_outcomes, insufficient_outcomes, excluded_count, sample_gate, coverage_gate, " + _R(["threshold", "early_mean", "late_mean", "difference"])
-_SLICES = " || ':' || ".join(f"CAST(sum(CAST('0x' || member_sha256[{1 + 15 * k}:{15 + 15 * k}] AS BIGINT)) AS VARCHAR)" for k in range(4))
+_ROOT = """d1 AS (SELECT study_key, version, stage, earnings_date, count(*) AS c, sha256(string_agg(symbol || ':' || member_sha256, chr(10) ORDER BY symbol)) AS s FROM me GROUP BY ALL),
+d2 AS (SELECT study_key, version, stage, strftime(earnings_date, '%Y-%m') AS month, sum(c) AS c, sha256(string_agg(strftime(earnings_date, '%Y-%m-%d') || ':' || s, chr(10) ORDER BY earnings_date)) AS s FROM d1 GROUP BY ALL),
+d3 AS (SELECT study_key, version, stage, CAST(sum(c) AS BIGINT) AS members, sha256(string_agg(month || ':' || s, chr(10) ORDER BY month)) AS s FROM d2 GROUP BY ALL)"""
 _IN_WINDOW = f"BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}'"
 _RECON = f"""WITH {fx.DUCK_EVENTS}, {evx.DUCK_LISTINGS}, fe AS (SELECT * FROM lis WHERE date {_IN_WINDOW}),
 un AS (SELECT symbol, earnings_date FROM ev WHERE hour = 'amc' AND NOT superseded AND earnings_date {_IN_WINDOW} AND NOT EXISTS (SELECT 1 FROM fe WHERE fe.symbol = ev.symbol AND fe.date = ev.earnings_date)),
@@ -560,6 +699,21 @@ _RULES = [
     (f"analysis_status = 'insufficient_data' AND NOT coalesce(reaction_class IS NULL AND reaction_direction IS NULL AND {_NOSIG} AND analysis_status_reason IS NOT NULL AND len(missing_fields) > 0, FALSE)", "insufficient_data_row_incomplete"),
     ("analysis_status NOT IN ('complete', 'no_trigger_in_window', 'insufficient_data')", "unknown_status"),
 ]
+_SPOILT = """SELECT * REPLACE (CASE day(earnings_date) WHEN 1 THEN 'x' ELSE analysis_status_reason END AS analysis_status_reason, CASE day(earnings_date) WHEN 2 THEN [] ELSE missing_fields END AS missing_fields,
+  CASE WHEN day(earnings_date) <> 3 THEN regular_collection_mode END AS regular_collection_mode, CASE day(earnings_date) WHEN 4 THEN 1000 ELSE following_regular_observed_minutes END AS following_regular_observed_minutes,
+  CASE day(earnings_date) WHEN 5 THEN 'x' ELSE source_evidence_sha256 END AS source_evidence_sha256, CASE day(earnings_date) WHEN 6 THEN 'done' ELSE analysis_status END AS analysis_status,
+  CASE day(earnings_date) WHEN 7 THEN 'bad' ELSE premarket_response_sha256 END AS premarket_response_sha256, CASE day(earnings_date) WHEN 8 THEN 'guessed' ELSE following_regular_collection_mode END AS following_regular_collection_mode,
+  CASE WHEN day(earnings_date) <> 9 THEN reference_close END AS reference_close) FROM s0"""
+_O_FULL = " AND ".join(f"{n} IS NOT NULL" for n in ["reference_close", "reference_close_ts", *_OPRICES, *[f"regular_return_{n}m" for n in (5, 30, 60)]])
+_O_RULES = [
+    (f"analysis_status = 'complete' AND NOT (analysis_status_reason IS NULL AND len(missing_fields) = 0 AND {_O_FULL})", "complete_row_incomplete"),
+    ("analysis_status = 'insufficient_data' AND NOT (analysis_status_reason IS NOT NULL AND len(missing_fields) > 0)", "insufficient_data_row_incomplete"), ("analysis_status NOT IN ('complete', 'insufficient_data')", "unknown_status"),
+    ("NOT regexp_full_match(source_evidence_sha256, '[0-9a-f]{64}')", "bad_evidence_digest"),
+    *[r for s in _P for r in (
+        (f"({s}_response_sha256 IS NULL) <> ({s}_collection_mode IS NULL)", f"{s}_identity_unpaired"), (f"{s}_observed_minutes > {s}_expected_minutes", f"{s}_minutes_exceed"),
+        (f"NOT regexp_full_match({s}_response_sha256, '[0-9a-f]{{64}}')", f"{s}_bad_response_digest"), (f"{s}_collection_mode NOT IN ('scheduled_capture', 'historical_backfill')", f"{s}_unknown_mode"),
+    )],
+]
 _SUMMARY = lambda known: f"""count(*) AS scanned, count(*) FILTER (analysis_status = 'complete') AS complete, count(*) FILTER (analysis_status = 'no_trigger_in_window') AS no_trigger_in_window,
 count(*) FILTER (analysis_status = 'insufficient_data') AS insufficient_data, count(*) FILTER (analysis_status = 'not_yet_available') AS not_yet_available, count(*) FILTER (analysis_status <> 'not_yet_available' AND NOT ({known})) AS inserted,
 count(*) FILTER (analysis_status <> 'not_yet_available' AND {known}) AS conflicted"""
@@ -572,7 +726,7 @@ _ISO = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S')"
 
 ORACLE_SQL = {
     "evidence_header": f"{_HD} SELECT * EXCLUDE (flags), array_to_string(flags, ',') AS data_quality_flags FROM hd",
-    "phase_bars": f"{_PB} SELECT symbol, earnings_date, phase, count(*) AS bars, min(ts) AS first, max(ts) AS last, CAST(sum(volume) AS BIGINT) AS volume, round(sum(close), 4) AS close_sum, bool_or(stale) AS stale FROM fb GROUP BY ALL",
+    "phase_bars": f"{_PB} SELECT symbol, earnings_date, phase, ts, {', '.join(f'round({c}, 4) AS {c}' for c in ('open', 'high', 'low', 'close'))}, volume, stale FROM fb",
     "feature_gates": f"{_F} SELECT symbol, earnings_date, reaction_class, reason, observed_minutes, source_bar_count, {_J(['data_quality_flags'])} FROM feat",
     "feature_rows": f"{_ROW} SELECT * REPLACE ({_R(_DOUBLES)}, {_J(['data_quality_flags', 'missing_fields'])}) FROM frow",
     "feature_row_violations": f"{_ROW}, x AS ({_CHANGED}) SELECT symbol, earnings_date, unnest({_LIST(*[(c, n) for c, n in _RULES])}) AS rule FROM x",
@@ -592,12 +746,24 @@ greatest(least(included_count - 10, 50), 0) AS page_count, greatest(least(includ
     "monthly_series": f"{_U} SELECT strftime(earnings_date, '%Y-%m') AS month, count(*) FILTER (analysis_status = 'complete') AS complete, count(*) FILTER (analysis_status IS DISTINCT FROM 'complete') AS not_complete FROM u GROUP BY ALL",
     "event_paths": f"""{_ROW}, m AS (SELECT *, CAST(date_diff('minute', CASE WHEN phase = 'earnings_regular' THEN expected_end ELSE expected_start END, ts) AS INT) AS minute FROM fb), l AS (SELECT *, {_ORDERED} FROM m)
 SELECT l.symbol, l.earnings_date, CAST(row_number() OVER (PARTITION BY l.symbol, l.earnings_date ORDER BY ts, phase) AS INT) AS place, phase, ts, round(close, 6) AS close, round((close - reference_price) / nullif(reference_price, 0) * 100, 6) AS change,
-array_to_string({_LIST(*[(f"phase = 'earnings_postmarket' AND minute = l_{h} AND minute >= {h - 11}", f"{h}m") for h in HORIZONS])}, ',') AS checkpoints FROM l LEFT JOIN frow f ON {_ON('l', 'f')} QUALIFY checkpoints <> ''""",
+array_to_string({_LIST(*[(f"phase = 'earnings_postmarket' AND minute = l_{h} AND minute >= {h - 11}", f"{h}m") for h in HORIZONS])}, ',') AS checkpoints FROM l LEFT JOIN frow f ON {_ON('l', 'f')}""",
     "following_path": f"""{_ROW}, w AS (SELECT *, min(ts) FILTER (phase = 'following_regular') OVER (PARTITION BY symbol, earnings_date) AS a, max(ts) FILTER (phase = 'following_regular') OVER (PARTITION BY symbol, earnings_date) AS z
   FROM fb WHERE phase LIKE 'following%')
-SELECT w.symbol, w.earnings_date, phase, count(*) AS bars, max(ts) FILTER (phase = 'following_regular' AND ts = a) AS open_ts, round(max(close) FILTER (phase = 'following_regular' AND ts = a), 6) AS open_close,
-max(ts) FILTER (phase = 'following_regular' AND ts = z AND a <> z) AS close_ts, round(max(close) FILTER (phase = 'following_regular' AND ts = z AND a <> z), 6) AS close_close, round(max(reference_price), 6) AS reference_price
-FROM w LEFT JOIN frow f ON {_ON('w', 'f')} GROUP BY ALL""",
+SELECT w.symbol, w.earnings_date, phase, ts, round(close, 6) AS close, CASE WHEN phase <> 'following_regular' THEN NULL WHEN ts = a THEN 'open' WHEN ts = z THEN 'close' END AS mark, round(reference_price, 6) AS reference_price
+FROM w LEFT JOIN frow f ON {_ON('w', 'f')}""",
+    "evidence_audit": f"""{_BASE}, ap AS (SELECT symbol, earnings_date, unnest({_ALLP}) AS phase FROM ev WHERE hour = 'amc')
+SELECT ap.symbol, ap.earnings_date, ap.phase, market_date, session, expected_start, expected_end, observed_minutes, expected_minutes, received_at, response_sha256, collection_mode, array_to_string(data_quality_flags, ',') AS data_quality_flags,
+CASE WHEN cov.symbol IS NULL THEN 'MISSING' ELSE 'PRESENT' END AS state FROM ap LEFT JOIN cov ON {_ON('ap', 'cov')} AND ap.phase = cov.phase""",
+    "operations_page": f"""{_ROW}, {fx.DUCK_TICKS}, lg AS (SELECT earnings_date FROM frow WHERE day(earnings_date) <> 3 UNION ALL SELECT earnings_date FROM frow WHERE day(earnings_date) <> 3 AND day(earnings_date) < 10)
+SELECT * FROM (SELECT max(earnings_date) AS last_event, count(*) AS events_total, count(*) FILTER (hour = 'amc') AS events_amc FROM ev),
+(SELECT max(received_at) AS last_coverage, count(*) AS coverage_rows, count(*) FILTER (collection_mode = 'scheduled_capture') AS scheduled_rows, count(*) FILTER (collection_mode = 'historical_backfill') AS backfill_rows FROM cov),
+(SELECT max(received_at) AS last_bar FROM pb JOIN cov ON {_ON('pb', 'cov')} AND pb.phase = cov.phase), (SELECT count(*) AS bar_rows FROM pb), (SELECT max(received_at) AS last_quote FROM tick),
+(SELECT CAST(max(earnings_date) AS TIMESTAMP) + INTERVAL 1 DAY AS last_feature, count(*) AS feature_rows FROM lg)""",
+    "chart_rows": f"{_U} SELECT symbol, earnings_date, reaction_class, round(initial_return, 6) AS initial_return, round(return_105m, 6) AS return_105m, round(retention, 6) AS retention FROM u ORDER BY u.earnings_date DESC, symbol LIMIT 2000",
+    "export_rows": f"{_U} SELECT symbol, strftime(earnings_date, '%Y-%m-%d') AS earnings_date, analysis_status, round(eps_surprise_pct, 6) AS eps_surprise_pct, array_to_string(covered_phases, ';') AS covered_phases FROM u ORDER BY u.earnings_date DESC, symbol LIMIT 5000",
+    "row_digests": f"""WITH {fx.DUCK_EVENTS} SELECT symbol, earnings_date, sha256('event-1' || chr(10) || '{{"earnings_date":"' || strftime(earnings_date, '%Y-%m-%d') || '","hour":"' || hour || '","k":' || k || ',"superseded":'
+|| CASE WHEN k % 5 <> 0 THEN CAST(superseded AS VARCHAR) ELSE 'null' END || ',"symbol":"' || symbol || '"}}') AS sha256 FROM ev""",
+    "bar_mode_violations": f"""WITH {fx.DUCK_EVENTS}, {fx.DUCK_BARS} SELECT symbol, earnings_date, phase, minute, id, CASE day(earnings_date) WHEN 8 THEN 'no_collection_mode' ELSE 'unknown_collection_mode' END AS rule FROM bar WHERE day(earnings_date) IN (8, 9)""",
     "path_levels": f"""{_ROW}, x AS (SELECT *, CASE WHEN reaction_direction = 'up' THEN 1 ELSE -1 END AS way FROM frow WHERE reference_price IS NOT NULL)
 SELECT symbol, earnings_date, round(reference_price, 6) AS reference, round(reference_price * 102e-2, 6) AS upper, round(reference_price * 98e-2, 6) AS lower, round(reference_price * (1 + way * max_favorable_excursion / 100), 6) AS mfe_level,
 round(reference_price * (1 + way * max_adverse_excursion / 100), 6) AS mae_level, round(reaction_vwap_proxy, 6) AS vwap, reaction_timestamp, feature_cutoff_ts FROM x""",
@@ -618,11 +784,20 @@ SELECT c_custkey, CASE WHEN regexp_full_match(upper(trim(raw)), '[A-Z][A-Z0-9.\\
     "asof_daily": f"""WITH {fx.DUCK_EVENTS}, {fx.DUCK_DAILY} SELECT ev.symbol, earnings_date, CASE WHEN earnings_date - session_date <= 30 THEN session_date END AS session_date, CASE WHEN earnings_date - session_date <= 30 THEN volume END AS volume
 FROM ev ASOF LEFT JOIN daily ON ev.symbol = daily.symbol AND ev.earnings_date >= daily.session_date""",
     "session_outcomes": f"{_SO} SELECT * REPLACE ({_R(_ORETURNS)}, {_J(['missing_fields', 'data_quality_flags'])}) FROM so",
+    "asof_ticks": f"""WITH {fx.DUCK_TICKS}, l AS (SELECT symbol, event_timestamp, event_id FROM tick WHERE event_type = 'error'),
+r AS (SELECT symbol, event_timestamp AS quoted_at, max(event_id) AS quote_id, arg_max(last, event_id) AS last FROM tick WHERE event_type <> 'error' AND last IS NOT NULL GROUP BY ALL)
+SELECT l.symbol, event_timestamp, event_id, quoted_at, quote_id, round(last, 6) AS last FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.event_timestamp >= r.quoted_at""",
+    "class_quantiles": _U + " " + " UNION ALL ".join(f"""SELECT '{c}' AS measure, reaction_class, count({c}) AS n, {', '.join(f'round(quantile_cont(CAST({c} AS DOUBLE), {p}), 6) AS q{i}' for i, p in ((1, 0.25), (2, 0.5), (3, 0.75)))}
+FROM u WHERE {c} IS NOT NULL GROUP BY ALL""" for c in ("initial_return", "volume_105m")),
+    "outcome_row_violations": f"""{_SO}, s0 AS (SELECT * FROM so WHERE analysis_status <> 'not_yet_available'), x AS ({_SPOILT}) SELECT symbol, earnings_date, unnest({_LIST(*_O_RULES)}) AS rule FROM x""",
+    "outcome_parameters": f"""{_SO} SELECT symbol, earnings_date, outcome_version, source_evidence_sha256,
+'{{"calendar":"XNYS","capture_grace_minutes":10,"execution_assumptions":"none","least_regular_coverage":0.95,"open_minutes":[5,30,60]}}' AS parameters FROM so
+WHERE analysis_status <> 'not_yet_available' AND earnings_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'""",
     "stored_outcomes": f"{_SO} SELECT symbol, earnings_date, outcome_version, source_evidence_sha256, analysis_status FROM so WHERE analysis_status <> 'not_yet_available' AND day(earnings_date) % 2 = 0",
     "outcome_run_summary": f"{_SO} SELECT {_SUMMARY('day(earnings_date) % 2 = 1')} FROM so",
     "all_study_members": f"{_MEM} SELECT study_key, version, stage, symbol, earnings_date, delay_minutes, round(metric, 6) AS metric, {_J(['reasons', 'flags'])}, included, eligible, feature_status, outcome_status, member_sha256 FROM me",
     "study_results": f"""{_OOS} SELECT 'development' AS stage, {_RESULT}, 'refine' AS decision FROM q_development UNION ALL SELECT 'oos', {_RESULT}, {_SEALED} FROM q_oos""",
-    "cohort_digests": f"{_MEM} SELECT study_key, version, stage, count(*) AS members, sha256(count(*) || ':' || {_SLICES}) AS cohort_sha256 FROM me GROUP BY ALL",
+    "cohort_digests": f"{_MEM}, {_ROOT} SELECT study_key, version, stage, members, sha256(members || ':' || s) AS cohort_sha256 FROM d3",
     "study_detail": f"""{_OOS} SELECT study_key, version, 0 AS part, NULL AS stage, NULL::INT AS generation, NULL::DATE AS earnings_date, NULL AS symbol, NULL::BOOLEAN AS included, NULL AS decision FROM plan
 UNION ALL SELECT study_key, version, 1, 'development', 1, NULL, NULL, NULL, 'refine' FROM q_development UNION ALL SELECT study_key, version, 1, 'oos', 2, NULL, NULL, NULL, {_SEALED} FROM q_oos
 UNION ALL SELECT study_key, version, 2, stage, CASE stage WHEN 'oos' THEN 2 ELSE 1 END, earnings_date, symbol, included, NULL FROM me""",
@@ -630,6 +805,8 @@ UNION ALL SELECT study_key, version, 2, stage, CASE stage WHEN 'oos' THEN 2 ELSE
 v AS (SELECT study_key, version, 'periods_overlap' AS rule FROM plan WHERE oos_from <= development_to AND development_from <= oos_to UNION ALL SELECT study_key, version, 'bad_threshold' FROM b WHERE t < 0
 UNION ALL SELECT study_key, version, 'counts_differ' FROM b WHERE universe_count <> n + x UNION ALL SELECT study_key, version, 'promoted_past_gate' FROM b WHERE study_key LIKE '%4' AND NOT (sample_gate AND coverage_gate)
 UNION ALL SELECT study_key, version, 'included_with_reasons' FROM me WHERE day(earnings_date) = 9 AND len(reasons) > 0
+UNION ALL SELECT study_key, version, 'member_of_other_versions' FROM me WHERE day(earnings_date) = 13
+UNION ALL SELECT study_key, version, 'no_assumptions' FROM b WHERE study_key LIKE '%6' UNION ALL SELECT study_key, version, 'no_limitations' FROM b WHERE study_key LIKE '%7' UNION ALL SELECT study_key, version, 'no_failure_modes' FROM b WHERE study_key LIKE '%8'
 UNION ALL SELECT study_key, version, 'member_outside_period' FROM me WHERE day(earnings_date) = 11) SELECT study_key, version, rule, count(*) AS rows FROM v GROUP BY ALL""",
     "reconcile_window": f"{_RECON} SELECT * FROM rp",
     "unlisted_events": f"{_RECON} SELECT * FROM un",

@@ -97,6 +97,7 @@ def _event_quotes(bars: DataFrame) -> DataFrame:
     return q.select(
         *KEY, F.col("minute").alias("received_at"), (F.col("close") - 0.05).alias("bid"), F.expr("CASE WHEN k % 31 <> 0 THEN close + 5e-2 END").alias("ask"), F.col("close").alias("last"),
         F.expr("k % 41 = 0").alias("stale"), F.expr("(k + minute) % 90").alias("age_seconds"),
+        F.expr("CASE WHEN k % 4 = 1 THEN array('wide_spread', 'stale') WHEN k % 7 = 2 THEN array('stale', 'late') END").alias("quality_flags"),
     )
 
 
@@ -284,18 +285,19 @@ round(CASE WHEN eps_estimate <> 0 THEN (eps_actual - eps_estimate) / eps_estimat
 FROM ev LEFT JOIN a ON ev.symbol = a.symbol AND ev.earnings_date = a.earnings_date WHERE k % 43 <> 0 AND k % 47 <> 0""",
     "today_snapshot": f"""{core._U}, q0 AS (SELECT symbol, earnings_date, k, minute, close FROM bar WHERE phase = 'earnings_postmarket' AND minute % 15 = 0 AND id = 0
   QUALIFY row_number() OVER (PARTITION BY symbol, earnings_date ORDER BY minute DESC) = 1),
-q AS (SELECT symbol, earnings_date, minute AS received_at, close - 5e-2 AS bid, CASE WHEN k % 31 <> 0 THEN close + 5e-2 END AS ask, close AS last, k % 41 = 0 AS quote_stale, (k + minute) % 90 AS age FROM q0),
+q AS (SELECT symbol, earnings_date, minute AS received_at, close - 5e-2 AS bid, CASE WHEN k % 31 <> 0 THEN close + 5e-2 END AS ask, close AS last, k % 41 = 0 AS quote_stale, (k + minute) % 90 AS age,
+  CASE WHEN k % 4 = 1 THEN ['wide_spread', 'stale'] WHEN k % 7 = 2 THEN ['stale', 'late'] END AS qf FROM q0),
 m AS (SELECT DISTINCT symbol, earnings_date, phase, minute, close FROM bar),
 p0 AS (SELECT *, arg_max(close, minute) FILTER (phase = 'earnings_regular') OVER (PARTITION BY symbol, earnings_date) AS pre FROM m),
 p1 AS (SELECT *, CASE WHEN phase <> 'earnings_regular' THEN (close - pre) / pre * 100 END AS cr FROM p0),
 p AS (SELECT symbol, earnings_date, max(pre) AS pc, arg_max(cr, minute) FILTER (cr IS NOT NULL) AS provisional_move, max(minute) FILTER (cr IS NOT NULL) AS last_minute, count(cr) AS minutes,
   min(minute) FILTER (abs(cr) >= 2) + 1 AS cross_minute, arg_min(cr, minute) FILTER (abs(cr) >= 2) AS cross_pct FROM p1 GROUP BY ALL),
-s AS (SELECT u.symbol, u.earnings_date, u.eps_surprise, pc AS pre_close, bid, ask, last, received_at, quote_stale, age, ask - bid AS spread, (ask - bid) / ((bid + ask) / 2) * 100 AS spread_pct, provisional_move,
+s AS (SELECT u.symbol, u.earnings_date, u.eps_surprise, pc AS pre_close, bid, ask, last, received_at, quote_stale, age, qf, ask - bid AS spread, (ask - bid) / ((bid + ask) / 2) * 100 AS spread_pct, provisional_move,
   last_minute, minutes, cross_minute, cross_pct, CASE WHEN year(u.earnings_date) < 1998 THEN u.reaction_class END AS reaction_class
   FROM u LEFT JOIN p ON u.symbol = p.symbol AND u.earnings_date = p.earnings_date LEFT JOIN q ON u.symbol = q.symbol AND u.earnings_date = q.earnings_date)
 SELECT symbol, earnings_date, {_R("eps_surprise", "pre_close", "bid", "ask", "last", "spread", "spread_pct", "provisional_move", "cross_pct")}, received_at, last_minute, minutes, cross_minute,
 reaction_class IS NOT NULL AS final, reaction_class, concat_ws(',', CASE WHEN received_at IS NULL THEN 'no_quote' END, CASE WHEN quote_stale THEN 'stale_quote' END,
-CASE WHEN age > 60 THEN 'old_quote' END, CASE WHEN pre_close IS NULL THEN 'no_pre_close' END, CASE WHEN reaction_class IS NULL THEN 'not_final' END) AS degraded FROM s""",
+CASE WHEN age > 60 THEN 'old_quote' END, CASE WHEN pre_close IS NULL THEN 'no_pre_close' END, nullif(array_to_string(list_filter(qf, lambda f: NOT (quote_stale AND f = 'stale')), ','), ''), CASE WHEN reaction_class IS NULL THEN 'not_final' END) AS degraded FROM s""",
     "captured_pending": f"WITH {fx.DUCK_EVENTS} SELECT symbol, earnings_date, CASE WHEN post_covered THEN 'captured' ELSE 'pending' END AS state FROM ev WHERE {_LIVE}",
     "capture_candidates": f"WITH {fx.DUCK_EVENTS} SELECT symbol, earnings_date FROM ev WHERE {_LIVE} AND NOT post_covered",
     "active_symbols": f"""WITH {fx.DUCK_EVENTS}, {core._CAL}, w AS (SELECT day, previous, next FROM cal WHERE day IN (SELECT earnings_date FROM ev))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from ..operators import bars as b
 from ..operators import integrity, ledger, reaction, research, selection
 from ..operators.outcome import outcomes as outcome_rows
@@ -67,7 +68,7 @@ def retention_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def liquidity_quartiles(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(research.liquidity_quartiles(_universe(spark, d)))
+    return rounded(research.liquidity_quartiles(stored(_universe(spark, d).select("volume_105m", "retention"), "measures")))
 
 
 def first_cross(spark: SparkSession, d: str) -> DataFrame:
@@ -251,7 +252,7 @@ def feature_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def daily_context(spark: SparkSession, d: str) -> DataFrame:
-    return selection.daily_context(fx.events(spark, d), fx.daily_bars(spark, d)).select(*KEY, "rel", "session_date", "volume")
+    return selection.daily_context(fx.events(spark, d), fx.daily_bars(spark, d)).select(*KEY, "rel", "session_date", F.round(F.col("close").cast("double") + 1e-7, 4).alias("close"), "volume")  # off the halves, which sums in another order may miss
 
 
 def export_flatten(spark: SparkSession, d: str) -> DataFrame:
@@ -285,9 +286,9 @@ def key_violations(spark: SparkSession, d: str) -> DataFrame:
 
 def append_only_changes(spark: SparkSession, d: str) -> DataFrame:
     """Earlier rows that a later snapshot (some rows edited, some added) no longer holds."""
-    e = fx.read(spark, d, "events").select("event_id", "event_type")
+    e = fx.read(spark, d, "events").select("event_id", "event_type", F.to_date("ts").alias("day"))
     later = e.withColumn("event_type", F.when(F.col("event_id") % 97 == 0, F.lit("edited")).otherwise(F.col("event_type")))
-    return integrity.changed_rows(e.filter("event_id % 5 <> 0"), later)
+    return integrity.changed_rows(e.filter("event_id % 5 <> 0"), later, ["day"]).select("event_id", "event_type")
 
 
 QUERIES = {
@@ -496,8 +497,9 @@ max(started) FILTER (status = 'degraded') AS last_degraded, CAST(sum(candidates)
 CASE WHEN reaction_class = 'insufficient_data' AND reason IS NULL THEN 'insufficient_without_reason' END, CASE WHEN mfe < 0 THEN 'negative_mfe' END, CASE WHEN mae > 0 THEN 'positive_mae' END,
 CASE WHEN observed_minutes < 95 THEN 'thin_window' END], lambda x: x IS NOT NULL)) AS rule FROM feat""",
     "daily_context": f"""WITH {fx.DUCK_EVENTS}, {fx.DUCK_DAILY}, d AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session_date) AS n FROM daily),
-a AS (SELECT ev.symbol, earnings_date, coalesce(min(n) FILTER (session_date >= earnings_date), max(n)) AS n0 FROM ev JOIN d ON ev.symbol = d.symbol GROUP BY ALL)
-SELECT a.symbol, earnings_date, CAST(n - n0 AS INT) AS rel, session_date, volume FROM a JOIN d ON a.symbol = d.symbol AND n BETWEEN n0 - 120 AND n0 + 30""",
+a AS (SELECT ev.symbol, earnings_date, coalesce(min(n) FILTER (session_date >= earnings_date), max(n)) AS n0 FROM ev JOIN d ON ev.symbol = d.symbol GROUP BY ALL),
+w AS (SELECT symbol, earnings_date, n0, unnest(range(n0 - 120, n0 + 31)) AS n FROM a)
+SELECT w.symbol, earnings_date, CAST(w.n - n0 AS INT) AS rel, session_date, round(CAST(close AS DOUBLE) + 1e-7, 4) AS close, volume FROM w JOIN d ON w.symbol = d.symbol AND w.n = d.n""",
     "export_flatten": f"""{_U} SELECT symbol, strftime(earnings_date, '%Y-%m-%d') AS earnings_date, array_to_string(list_filter([CASE WHEN stale THEN 'stale' END, CASE WHEN early_close THEN 'early_close' END,
 CASE WHEN backfilled THEN 'backfilled' END], lambda x: x IS NOT NULL), ';') AS flags, coalesce(reaction_class, '') AS reaction_class FROM u""",
 }
