@@ -107,10 +107,19 @@ def evidence_header(spark: SparkSession, d: str) -> DataFrame:
     return flat(h.select(*KEY, *keep, "data_quality_flags"))
 
 
+def packed(df: DataFrame, by: list[str], order: list[str], *parts: str) -> DataFrame:
+    """by, n and rows: all rows of a group in order, one line of text each (numbers in millionths), as a group of an event's bars has hundreds of them."""
+    kinds = dict(df.dtypes)
+    micro = lambda c: F.round(F.col(c) * 1_000_000).cast("long").cast("string")
+    text = {"double": micro, "timestamp_ntz": lambda c: F.date_format(c, "yyyyMMddHHmm"), "array<string>": lambda c: F.array_join(c, "+")}
+    line = F.concat_ws("|", *[F.coalesce(text.get(kinds[c], lambda c: F.col(c).cast("string"))(c), F.lit("-")) for c in parts])
+    each = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.array_join(F.transform(each, lambda x: x["line"]), ";").alias("rows"))
+
+
 def phase_bars(spark: SparkSession, d: str) -> DataFrame:
-    """Every bar of the retrieval that coverage names, of four retrievals of some minutes, the first of each time."""
-    b = ev.first_of_each(inputs(spark, d).bars)
-    return rounded(b.select(*KEY, "phase", "ts", "open", "high", "low", "close", "volume", "stale"), 4)
+    """Every bar of the retrieval that coverage names, of four retrievals of some minutes, the first of each time; a row an event and phase."""
+    return packed(ev.first_of_each(inputs(spark, d).bars), [*KEY, "phase"], ["ts"], "ts", "open", "high", "low", "close", "volume", "stale")
 
 
 def feature_gates(spark: SparkSession, d: str) -> DataFrame:
@@ -201,15 +210,15 @@ def monthly_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Every bar of all paths in order, with the horizons that stand on it."""
+    """Every bar of all paths in order, with the horizons that stand on it; a row an event."""
     x = inputs(spark, d)
-    return flat(reports.event_paths(ev.first_of_each(x.bars), x.rows).select(*KEY, "place", "phase", "ts", "close", "change", "checkpoints"))
+    return packed(reports.event_paths(ev.first_of_each(x.bars), x.rows), list(KEY), ["place"], "place", "phase", "ts", "close", "change", "checkpoints")
 
 
 def following_path(spark: SparkSession, d: str) -> DataFrame:
-    """Every bar of the sessions after, with the marks of open and close and the reference price."""
+    """Every bar of the sessions after, with the marks of open and close and the reference price; a row an event and phase."""
     x = inputs(spark, d)
-    return rounded(reports.following_path(ev.first_of_each(x.bars), x.rows).select(*KEY, "phase", "ts", "close", "mark", "reference_price"))
+    return packed(reports.following_path(ev.first_of_each(x.bars), x.rows), [*KEY, "phase"], ["ts"], "ts", "close", "mark", "reference_price")
 
 
 def evidence_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -724,9 +733,12 @@ _KEEPS = "coalesce(reaction_direction = 'up' AND abs(initial_return) >= 1, FALSE
 _ON = lambda a, b: f"{a}.symbol = {b}.symbol AND {a}.earnings_date = {b}.earnings_date"
 _ISO = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S')"
 
+_LINE = lambda *parts: " || '|' || ".join(parts)
+_M = lambda c: f"coalesce(CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR), '-')"
+
 ORACLE_SQL = {
     "evidence_header": f"{_HD} SELECT * EXCLUDE (flags), array_to_string(flags, ',') AS data_quality_flags FROM hd",
-    "phase_bars": f"{_PB} SELECT symbol, earnings_date, phase, ts, {', '.join(f'round({c}, 4) AS {c}' for c in ('open', 'high', 'low', 'close'))}, volume, stale FROM fb",
+    "phase_bars": f"{_PB} SELECT symbol, earnings_date, phase, count(*) AS n, string_agg({_LINE(_TIME('ts'), *map(_M, ('open', 'high', 'low', 'close')), _OR('CAST(volume AS VARCHAR)'), _OR('CAST(stale AS VARCHAR)'))}, ';' ORDER BY ts) AS rows FROM fb GROUP BY ALL",
     "feature_gates": f"{_F} SELECT symbol, earnings_date, reaction_class, reason, observed_minutes, source_bar_count, {_J(['data_quality_flags'])} FROM feat",
     "feature_rows": f"{_ROW} SELECT * REPLACE ({_R(_DOUBLES)}, {_J(['data_quality_flags', 'missing_fields'])}) FROM frow",
     "feature_row_violations": f"{_ROW}, x AS ({_CHANGED}) SELECT symbol, earnings_date, unnest({_LIST(*[(c, n) for c, n in _RULES])}) AS rule FROM x",
@@ -744,13 +756,14 @@ greatest(least(included_count - 10, 50), 0) AS page_count, greatest(least(includ
     "value_counts": f"{_U} {_COUNTS}",
     "scatter_points": f"{_U} {_POINTS}",
     "monthly_series": f"{_U} SELECT strftime(earnings_date, '%Y-%m') AS month, count(*) FILTER (analysis_status = 'complete') AS complete, count(*) FILTER (analysis_status IS DISTINCT FROM 'complete') AS not_complete FROM u GROUP BY ALL",
-    "event_paths": f"""{_ROW}, m AS (SELECT *, CAST(date_diff('minute', CASE WHEN phase = 'earnings_regular' THEN expected_end ELSE expected_start END, ts) AS INT) AS minute FROM fb), l AS (SELECT *, {_ORDERED} FROM m)
-SELECT l.symbol, l.earnings_date, CAST(row_number() OVER (PARTITION BY l.symbol, l.earnings_date ORDER BY ts, phase) AS INT) AS place, phase, ts, round(close, 6) AS close, round((close - reference_price) / nullif(reference_price, 0) * 100, 6) AS change,
-array_to_string({_LIST(*[(f"phase = 'earnings_postmarket' AND minute = l_{h} AND minute >= {h - 11}", f"{h}m") for h in HORIZONS])}, ',') AS checkpoints FROM l LEFT JOIN frow f ON {_ON('l', 'f')}""",
+    "event_paths": f"""{_ROW}, m AS (SELECT *, CAST(date_diff('minute', CASE WHEN phase = 'earnings_regular' THEN expected_end ELSE expected_start END, ts) AS INT) AS minute FROM fb), l AS (SELECT *, {_ORDERED} FROM m),
+j AS (SELECT l.symbol, l.earnings_date, row_number() OVER (PARTITION BY l.symbol, l.earnings_date ORDER BY ts, phase) AS place, phase, ts, close, (close - reference_price) / nullif(reference_price, 0) * 100 AS change,
+  array_to_string({_LIST(*[(f"phase = 'earnings_postmarket' AND minute = l_{h} AND minute >= {h - 11}", f"{h}m") for h in HORIZONS])}, '+') AS checkpoints FROM l LEFT JOIN frow f ON {_ON('l', 'f')})
+SELECT symbol, earnings_date, count(*) AS n, string_agg({_LINE('CAST(place AS VARCHAR)', 'phase', _TIME('ts'), _M('close'), _M('change'), 'checkpoints')}, ';' ORDER BY place) AS rows FROM j GROUP BY ALL""",
     "following_path": f"""{_ROW}, w AS (SELECT *, min(ts) FILTER (phase = 'following_regular') OVER (PARTITION BY symbol, earnings_date) AS a, max(ts) FILTER (phase = 'following_regular') OVER (PARTITION BY symbol, earnings_date) AS z
   FROM fb WHERE phase LIKE 'following%')
-SELECT w.symbol, w.earnings_date, phase, ts, round(close, 6) AS close, CASE WHEN phase <> 'following_regular' THEN NULL WHEN ts = a THEN 'open' WHEN ts = z THEN 'close' END AS mark, round(reference_price, 6) AS reference_price
-FROM w LEFT JOIN frow f ON {_ON('w', 'f')}""",
+SELECT w.symbol, w.earnings_date, phase, count(*) AS n, string_agg({_LINE(_TIME('ts'), _M('close'), _OR("CASE WHEN phase <> 'following_regular' THEN NULL WHEN ts = a THEN 'open' WHEN ts = z THEN 'close' END"), _M('reference_price'))}, ';' ORDER BY ts) AS rows
+FROM w LEFT JOIN frow f ON {_ON('w', 'f')} GROUP BY ALL""",
     "evidence_audit": f"""{_BASE}, ap AS (SELECT symbol, earnings_date, unnest({_ALLP}) AS phase FROM ev WHERE hour = 'amc')
 SELECT ap.symbol, ap.earnings_date, ap.phase, market_date, session, expected_start, expected_end, observed_minutes, expected_minutes, received_at, response_sha256, collection_mode, array_to_string(data_quality_flags, ',') AS data_quality_flags,
 CASE WHEN cov.symbol IS NULL THEN 'MISSING' ELSE 'PRESENT' END AS state FROM ap LEFT JOIN cov ON {_ON('ap', 'cov')} AND ap.phase = cov.phase""",
