@@ -7,11 +7,10 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, integrity, ledger, ranks, research, selection, study
+from tidemark.operators import asof, integrity, ledger, ranks, selection, study
 from tidemark.operators import evidence as ev
 from tidemark.operators import outcome as oc
 from tidemark.sources import calendar as cal
-from tidemark.sources import fixtures as fx
 from tidemark.streaming import live
 
 SF = "/root/testdata/sf0.001"
@@ -135,9 +134,14 @@ def test_gates_and_the_frozen_rule(spark):
 
 
 def test_members_need_a_finished_feature(spark):
-    u = spark.createDataFrame([("A", DAY, "insufficient_data", None), ("B", DAY, "whipsaw", 3), ("C", DAY, "whipsaw", 3), ("D", DAY, "whipsaw", 3)], "symbol string, earnings_date date, reaction_class string, delay_minutes int")
-    o = spark.createDataFrame([("A", DAY, "complete", 1.0), ("B", DAY, "complete", 1.0), ("C", DAY, "insufficient_data", 1.0)], "symbol string, earnings_date date, status string, regular_close_return double")
-    got = {r["symbol"]: (r["reasons"], r["included"], r["eligible"]) for r in research.study_members(u, o, research.Cohort(), "2024-01-01", "2024-12-31").collect()}
+    f = spark.createDataFrame([("A", "insufficient_data", None, None), ("B", "complete", "whipsaw", 3), ("C", "complete", "whipsaw", 3), ("D", "complete", "whipsaw", 3)], "symbol string, analysis_status string, reaction_class string, detection_delay_minutes int")
+    f = f.withColumns({"earnings_date": F.lit(DAY), **{n: F.lit(v) for n, v in zip(ev.VERSION_COLUMNS, ev.VERSIONS, strict=True)}, "source_evidence_sha256": F.lit("x"), "data_quality_flags": F.array().cast("array<string>")})
+    f = f.withColumns({n: F.lit(None).cast("double") for n in ("initial_return", "return_105m", "volume_105m", "study_coverage_ratio")}).withColumns({n: F.lit(None).cast("string") for n in ("reaction_direction", "earnings_postmarket_collection_mode")})
+    o = spark.createDataFrame([("A", "complete", 1.0), ("B", "complete", 1.0), ("C", "insufficient_data", 1.0)], "symbol string, analysis_status string, regular_close_return double")
+    o = o.withColumns({"earnings_date": F.lit(DAY), "outcome_version": F.lit(oc.OUTCOME_VERSION), "source_evidence_sha256": F.lit("y"), "data_quality_flags": F.array().cast("array<string>")})
+    scope = f.select("symbol", "earnings_date", F.lit(0.0).alias("eps_surprise_pct"))
+    plan = spark.createDataFrame([("s", 1, DAY, DAY, dt.date(2025, 1, 1), dt.date(2025, 2, 1), 1, 1, "higher")], "study_key string, version int, development_from date, development_to date, oos_from date, oos_to date, least_development int, least_oos int, expected_direction string")
+    got = {r["symbol"]: (r["reasons"], r["included"], r["eligible"]) for r in study.members(plan, scope, f, o).collect()}
     assert got == {"A": (["feature_not_complete"], False, False), "B": ([], True, True), "C": (["outcome_not_complete"], False, True), "D": (["outcome_missing"], False, True)}
 
 

@@ -11,53 +11,8 @@ from ..functions.columns import bar_problem, pct_change, reasons
 from .evidence import bar_text
 from .reaction import KEY, repeat_marks
 
-#: Minutes after the open that are priced exactly, the least share of regular minutes, and the session's length (fixed values).
-OPEN_MINUTES, LEAST_COVERAGE, SESSION = (5, 30, 60), 0.95, 390
-
-
-def outcomes(header: DataFrame, bars: DataFrame, *, now: str) -> DataFrame:
-    """One row per event of header: prices and returns of the next session against `pre_close` (the exact last regular close).
-
-    bars: phase (earnings_regular, following_premarket, following_regular), minute in its phase, prices. status: `complete`;
-    `insufficient_data` if a needed price is missing, a bar is invalid or repeated or too few minutes are there;
-    `not_yet_available` while that is so and `now` (a timestamp literal) is before the next day's close plus ten minutes.
-    """
-    reg, pre = F.col("phase") == "following_regular", F.col("phase") == "following_premarket"
-    at = lambda phase, m, c: F.max(F.when(phase & (F.col("minute") == m), F.col(c)))
-    a = repeat_marks(bars).groupBy(*KEY).agg(
-        F.max(F.when((F.col("phase") == "earnings_regular") & (F.col("minute") == -1), F.col("close"))).alias("pre_close"),
-        F.min_by(F.when(pre, F.col("open")), F.when(pre, F.col("minute"))).alias("premarket_open"),
-        F.max_by(F.when(pre, F.col("close")), F.when(pre, F.col("minute"))).alias("premarket_close"),
-        F.max(F.when(pre, F.col("high"))).alias("premarket_high"), F.min(F.when(pre, F.col("low"))).alias("premarket_low"),
-        at(reg, 0, "open").alias("regular_open"), at(reg, SESSION - 1, "close").alias("regular_close"),
-        F.max(F.when(reg, F.col("high"))).alias("regular_high"), F.min(F.when(reg, F.col("low"))).alias("regular_low"),
-        *[at(reg, n - 1, "close").alias(f"_close_{n}") for n in OPEN_MINUTES],
-        F.count(F.when(reg, 1)).alias("_rows"), F.count(F.when(reg & ~F.col("again"), 1)).cast("int").alias("regular_minutes"),
-        F.bool_or(bar_problem(F.col("open"), F.col("high"), F.col("low"), F.col("close")).isNotNull() & (reg | pre)).alias("_bad"),
-    )
-    o = header.select(*KEY).join(a, list(KEY), "left")
-    prices = ["premarket_open", "premarket_close", "premarket_high", "premarket_low", "regular_open", "regular_close", "regular_high", "regular_low"]
-    for c in prices:
-        o = o.withColumn(f"{c}_return", pct_change(F.col("pre_close"), F.col(c)))
-    for n in OPEN_MINUTES:
-        o = o.withColumn(f"regular_return_{n}m", pct_change(F.col("pre_close"), F.col(f"_close_{n}")))
-    ratio = F.least(F.lit(1.0), F.coalesce(F.col("regular_minutes"), F.lit(0)) / F.lit(SESSION))
-    needed = ["pre_close", *prices, *[f"regular_return_{n}m" for n in OPEN_MINUTES]]
-    missing = F.array_compact(
-        F.array(
-            *[F.when(F.col(c).isNull(), F.lit(c)) for c in needed], F.when(ratio < LEAST_COVERAGE, F.lit("following_regular_coverage")),
-            F.when(F.col("_bad"), F.lit("following_invalid_bar")), F.when(F.col("_rows") > F.col("regular_minutes"), F.lit("following_regular_duplicate_timestamp")),
-        )
-    )
-    o = o.withColumn("regular_coverage", ratio).withColumn("missing", missing)
-    next_day = F.date_add("earnings_date", F.when(F.weekday("earnings_date") == 4, 3).otherwise(1))
-    due = next_day.cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(16), mins=F.lit(10))
-    early = (F.lit(now).cast("timestamp_ntz") < due) & (F.coalesce(F.col("regular_minutes"), F.lit(0)) < SESSION)
-    status = F.when(early, "not_yet_available").when(F.size("missing") > 0, "insufficient_data").otherwise("complete")
-    return o.select(
-        *KEY, status.alias("status"), F.array_join("missing", ",").alias("missing"), "pre_close", *prices, *[f"{c}_return" for c in prices],
-        *[f"regular_return_{n}m" for n in OPEN_MINUTES], F.coalesce("regular_minutes", F.lit(0)).alias("regular_minutes"), "regular_coverage",
-    )
+#: Minutes after the open that are priced exactly, and the least share of regular minutes (fixed values).
+OPEN_MINUTES, LEAST_COVERAGE = (5, 30, 60), 0.95
 
 
 #: Minutes after the following close until which an outcome may still come (fixed value); the version of stored outcomes.

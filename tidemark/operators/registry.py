@@ -63,15 +63,6 @@ def violations(rows: DataFrame, key: list[str], *rules: tuple[Column, str]) -> D
     return rows.select(*key, F.explode(reasons(*rules)).alias("rule"))
 
 
-def outcome_violations(o: DataFrame, prices: list[str], expected: int) -> DataFrame:
-    """Outcome rows whose status does not fit their nulls and missing fields, or that saw more minutes than a session has."""
-    done, nulls = F.col("status") == "complete", sum((F.col(c).isNull().cast("int") for c in prices), F.lit(0))
-    return violations(
-        o, list(KEY), (done & (nulls > 0), "complete_without_value"), (done & (F.col("missing") != ""), "complete_with_missing_fields"),
-        (~done & (F.col("missing") == ""), "insufficient_without_missing_fields"), (F.col("regular_minutes") > expected, "more_minutes_than_expected"),
-    )
-
-
 def spec_violations(specs: DataFrame) -> DataFrame:
     """Study plans with reversed or overlapping periods, or a digest that is none."""
     overlap = (F.col("oos_from") <= F.col("development_to")) & (F.col("development_from") <= F.col("oos_to"))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, reasons, retention, surprise_pct
-from . import study
 from .ranks import quantiles
 from .reaction import KEY
 
@@ -147,18 +146,6 @@ def quality_issues(u: DataFrame, now: str) -> DataFrame:
 COMPLETE = ("immediate_continuation", "spike_and_fade", "delayed_breakout", "whipsaw")
 
 
-def study_members(u: DataFrame, outcomes: DataFrame, cohort: Cohort, start: str, end: str) -> DataFrame:
-    """Every event of the period with its sorted exclusion reasons and whether it is eligible (in the cohort, with a finished feature).
-
-    outcomes: at most one an event (selection.outcome_choice()): status and regular_close_return. study.members() does this for many studies at once."""
-    o = outcomes.select(*KEY, F.col("status").alias("outcome_status"), F.col("regular_close_return").alias("metric"))
-    m = u.filter(F.col("earnings_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).join(o, list(KEY), "left")
-    done = F.coalesce(F.col("reaction_class").isin(*COMPLETE), F.lit(False))
-    why = F.array_sort(F.concat(cohort.exclusions(), outcome_reasons(done & F.col("delay_minutes").isNotNull())))
-    metric = F.when(F.col("outcome_status") == "complete", F.col("metric"))
-    return m.select(*KEY, "delay_minutes", metric.alias("metric"), why.alias("reasons"), (F.size(why) == 0).alias("included"), (cohort.keeps() & done).alias("eligible"))
-
-
 def outcome_reasons(finished: Column) -> Column:
     """Codes (fixed values) of a missing feature, and of a missing or unfinished outcome (columns outcome_status and metric)."""
     return reasons(
@@ -166,12 +153,3 @@ def outcome_reasons(finished: Column) -> Column:
         (F.col("outcome_status").isNotNull() & ((F.col("outcome_status") != "complete") | F.col("metric").isNull()), "outcome_not_complete"),
     )
 
-
-def study_result(members: DataFrame, rules: DataFrame | None = None, least_sample: int = 5, direction: str = "higher") -> DataFrame:
-    """study.results() of one study: members as study_members() gives them, of its development stage, or with rules (one row: threshold, frozen
-    earlier) of its sealed one."""
-    one = [F.lit("study").alias("study_key"), F.lit(1).alias("version")]
-    stage = F.lit("development" if rules is None else "oos").alias("stage")
-    m = members.select("*", *one, stage, F.lit(least_sample).alias("least_sample"), F.lit(direction).alias("expected_direction"), F.lit(None).cast("string").alias("outcome_status"))
-    r = study.results(m, None if rules is None else rules.select(*one, "threshold"))
-    return r.drop("study_key", "version", "stage", "complete_outcomes", "insufficient_outcomes")

@@ -356,6 +356,10 @@ def outcome_run_summary(spark: SparkSession, d: str) -> DataFrame:
     return ev.run_summary(o, oc.outcomes_to_store(o).filter("day(earnings_date) % 2 = 1"), key)
 
 
+_OUTCOME = ["reference_close", *[f"premarket_{n}" for n in ("first", "high", "low", "last")], *[f"regular_{n}" for n in ("open", "high", "low", "close")]]
+_OUTCOME += [*[f"{n}_return" for n in _OUTCOME[1:]], *[f"regular_return_{n}m" for n in oc.OPEN_MINUTES]]
+
+
 def _spoilt_outcomes(rows: DataFrame) -> DataFrame:
     """Stored outcomes, some of them spoilt by the day of the month."""
     day = lambda n, v, c: F.when(F.dayofmonth("earnings_date") == n, v).otherwise(F.col(c)).alias(c)
@@ -366,10 +370,24 @@ def _spoilt_outcomes(rows: DataFrame) -> DataFrame:
     })
 
 
-def outcome_row_violations(spark: SparkSession, d: str) -> DataFrame:
+def outcome_violations(spark: SparkSession, d: str) -> DataFrame:
     return oc.outcome_violations(_spoilt_outcomes(oc.outcomes_to_store(inputs(spark, d).outcomes)))
 
 
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Status, prices and returns of every event's next session by the calendar."""
+    o = inputs(spark, d).outcomes
+    return flat(o.select(*KEY, "analysis_status", "missing_fields", *_OUTCOME, "following_regular_observed_minutes", "following_regular_coverage_ratio"))
+
+
+def outcome_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Two outcomes an event: the one of later evidence is complete, or lacks its prices."""
+    o = inputs(spark, d).outcomes.select(*KEY, F.col("analysis_status").alias("status"), "regular_close_return", F.lit("b").alias("evidence_sha256"))
+    later = F.expr("IF(day(earnings_date) < 15, 'complete', 'insufficient_data')")
+    two = o.unionByName(o.withColumns({"status": later, "regular_close_return": F.lit(0.0), "evidence_sha256": F.lit("a")}))
+    return rounded(selection.outcome_choice(two))
+
+
 def outcome_parameters(spark: SparkSession, d: str) -> DataFrame:
     """What a run of a year stores: each outcome's identity and the definition that it was made under."""
     o = oc.outcomes_to_store(inputs(spark, d).outcomes, "1996-01-01", "1996-12-31")
@@ -420,6 +438,25 @@ def study_results(spark: SparkSession, d: str) -> DataFrame:
     return rounded(study.results(_members(spark, d)[1]))
 
 
+def _first_study(spark: SparkSession, d: str) -> DataFrame:
+    """Members of one study's development stage."""
+    x = inputs(spark, d)
+    m = study.members(_plans(spark, d).filter("study_key = 'S0'"), ev.live_scope(x.events), x.live, x.outcomes.filter("day(earnings_date) <> 20"))
+    return m.filter("stage = 'development'")
+
+
+def study_members(spark: SparkSession, d: str) -> DataFrame:
+    return flat(_first_study(spark, d).select(*KEY, "delay_minutes", "metric", "reasons", "included", "eligible"))
+
+
+def study_result(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(study.results(_first_study(spark, d)).drop(*study.STUDY, "stage"))
+
+
+def exclusion_counter(spark: SparkSession, d: str) -> DataFrame:
+    return _first_study(spark, d).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def cohort_digests(spark: SparkSession, d: str) -> DataFrame:
     return study.cohort_digests(_members(spark, d)[1])
 
@@ -496,7 +533,7 @@ QUERIES = {
     for f in (
         evidence_header, phase_bars, feature_gates, feature_rows, feature_row_violations, mode_violations, feature_run_summary, universe, universe_of_period, all_quality_issues, newest_quality_issues, issues_by_kind,
         cohort_disclosure, trailing_universe, value_counts, scatter_points, monthly_series, event_paths, following_path, path_levels, evidence_audit, operations_page, chart_rows, export_rows, row_digests, bar_mode_violations, event_detail, export_universe, export_coverage, phase_starts_eastern,
-        normalized_symbols, record_ages, asof_daily, asof_ticks, class_quantiles, session_outcomes, stored_outcomes, outcome_run_summary, outcome_row_violations, outcome_parameters, all_study_members, study_results, cohort_digests, study_detail, study_violations,
+        normalized_symbols, record_ages, asof_daily, asof_ticks, class_quantiles, session_outcomes, stored_outcomes, outcome_run_summary, outcome_violations, outcomes, outcome_choice, study_members, study_result, exclusion_counter, outcome_parameters, all_study_members, study_results, cohort_digests, study_detail, study_violations,
         reconcile_window, unlisted_events, live_after_reconcile, liquidity_decisions, first_listed, stale_watchlists, monitor_candidates,
     )
 }
@@ -802,10 +839,18 @@ r AS (SELECT symbol, event_timestamp AS quoted_at, max(event_id) AS quote_id, ar
 SELECT l.symbol, event_timestamp, event_id, quoted_at, quote_id, round(last, 6) AS last FROM l ASOF LEFT JOIN r ON l.symbol = r.symbol AND l.event_timestamp >= r.quoted_at""",
     "class_quantiles": _U + " " + " UNION ALL ".join(f"""SELECT '{c}' AS measure, reaction_class, count({c}) AS n, {', '.join(f'round(quantile_cont(CAST({c} AS DOUBLE), {p}), 6) AS q{i}' for i, p in ((1, 0.25), (2, 0.5), (3, 0.75)))}
 FROM u WHERE {c} IS NOT NULL GROUP BY ALL""" for c in ("initial_return", "volume_105m")),
-    "outcome_row_violations": f"""{_SO}, s0 AS (SELECT * FROM so WHERE analysis_status <> 'not_yet_available'), x AS ({_SPOILT}) SELECT symbol, earnings_date, unnest({_LIST(*_O_RULES)}) AS rule FROM x""",
+    "outcome_violations": f"""{_SO}, s0 AS (SELECT * FROM so WHERE analysis_status <> 'not_yet_available'), x AS ({_SPOILT}) SELECT symbol, earnings_date, unnest({_LIST(*_O_RULES)}) AS rule FROM x""",
     "outcome_parameters": f"""{_SO} SELECT symbol, earnings_date, outcome_version, source_evidence_sha256,
 '{{"calendar":"XNYS","capture_grace_minutes":10,"execution_assumptions":"none","least_regular_coverage":0.95,"open_minutes":[5,30,60]}}' AS parameters FROM so
 WHERE analysis_status <> 'not_yet_available' AND earnings_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'""",
+    "outcomes": f"{_SO} SELECT symbol, earnings_date, analysis_status, {_J(['missing_fields'])}, {_R(_OUTCOME)}, following_regular_observed_minutes, round(following_regular_coverage_ratio, 6) AS following_regular_coverage_ratio FROM so",
+    "outcome_choice": f"""{_SO}, t AS (SELECT symbol, earnings_date, analysis_status AS status, regular_close_return, 'b' AS evidence_sha256 FROM so
+  UNION ALL SELECT symbol, earnings_date, CASE WHEN day(earnings_date) < 15 THEN 'complete' ELSE 'insufficient_data' END, 0, 'a' FROM so)
+SELECT symbol, earnings_date, status, evidence_sha256, round(regular_close_return, 6) AS regular_close_return FROM t
+QUALIFY row_number() OVER (PARTITION BY symbol, earnings_date ORDER BY status <> 'complete', evidence_sha256) = 1""",
+    "study_members": f"{_MEM} SELECT symbol, earnings_date, delay_minutes, round(metric, 6) AS metric, {_J(['reasons'])}, included, eligible FROM me WHERE study_key = 'S0' AND stage = 'development'",
+    "study_result": f"{_DEV} SELECT {_RESULT.removeprefix('study_key, version, ')}, 'refine' AS decision FROM q_development WHERE study_key = 'S0'",
+    "exclusion_counter": f"{_MEM} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM me WHERE study_key = 'S0' AND stage = 'development') GROUP BY ALL",
     "stored_outcomes": f"{_SO} SELECT symbol, earnings_date, outcome_version, source_evidence_sha256, analysis_status FROM so WHERE analysis_status <> 'not_yet_available' AND day(earnings_date) % 2 = 0",
     "outcome_run_summary": f"{_SO} SELECT {_SUMMARY('day(earnings_date) % 2 = 1')} FROM so",
     "all_study_members": f"{_MEM} SELECT study_key, version, stage, symbol, earnings_date, delay_minutes, round(metric, 6) AS metric, {_J(['reasons', 'flags'])}, included, eligible, feature_status, outcome_status, member_sha256 FROM me",

@@ -142,15 +142,6 @@ def development_split(spark: SparkSession, d: str) -> DataFrame:
     return selection.development_split(fx.events(spark, d), 0.3)
 
 
-def outcome_choice(spark: SparkSession, d: str) -> DataFrame:
-    """Two outcomes an event: the one of later evidence is complete, or lacks its prices."""
-    o = core._outcomes(spark, d).select(*KEY, "status", "regular_close_return")
-    two = o.select(*KEY, "status", "regular_close_return", F.lit("b").alias("evidence_sha256")).unionByName(
-        o.select(*KEY, F.expr("IF(day(earnings_date) < 15, 'complete', 'insufficient_data')").alias("status"), F.lit(0.0).alias("regular_close_return"), F.lit("a").alias("evidence_sha256"))
-    )
-    return rounded(selection.outcome_choice(two))
-
-
 def operations_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Newest and counted rows of each table: one row a table, put side by side."""
     q = fx.ticks(spark, d).agg(F.count("*").alias("quotes"), F.max("received_at").alias("newest_quote"), F.count_if("stale").alias("stale_quotes"))
@@ -205,15 +196,6 @@ def stale_reprocess_plan(spark: SparkSession, d: str) -> DataFrame:
     return registry.stale_reprocess_plan(rows(e), rows(late))
 
 
-def outcome_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Outcomes with some rows broken on purpose."""
-    o = core._outcomes(spark, d).withColumns({
-        "missing": F.expr("CASE day(earnings_date) WHEN 13 THEN '' WHEN 14 THEN 'x' ELSE missing END"), "regular_open": F.expr("CASE WHEN day(earnings_date) <> 7 THEN regular_open END"),
-        "regular_minutes": F.expr("regular_minutes + IF(day(earnings_date) = 21, 1, 0)"),
-    })
-    return registry.outcome_violations(o, core._PRICES, 390)
-
-
 def spec_violations(spark: SparkSession, d: str) -> DataFrame:
     return registry.spec_violations(_specs(spark, d))
 
@@ -246,8 +228,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         landed_calendar, landed_rejects, landed_session_bars, retrieval_mismatches, history_collection, landed_quotes, realized_moves, today_snapshot, captured_pending,
-        capture_candidates, active_symbols, clean_notes, path_tail, development_split, outcome_choice, operations_snapshot, register_studies, stage_status, evidence_digests,
-        stale_reprocess_plan, outcome_violations, spec_violations, result_violations, supersession_violations, cycle_violations,
+        capture_candidates, active_symbols, clean_notes, path_tail, development_split, operations_snapshot, register_studies, stage_status, evidence_digests,
+        stale_reprocess_plan, spec_violations, result_violations, supersession_violations, cycle_violations,
     )
 }
 
@@ -309,10 +291,6 @@ SELECT symbol, earnings_date, minute, round(close, 6) AS close, CASE WHEN phase
 FROM l WHERE phase <> 'earnings_regular' OR minute > last - 30""",
     "development_split": f"""WITH {fx.DUCK_EVENTS}, e AS (SELECT min(earnings_date) AS a, max(earnings_date) AS b FROM ev), c AS (SELECT a, b, b - CAST(round_even((b - a) * 3e-1, 0) AS INT) AS cut FROM e)
 SELECT a AS development_from, cut - 1 AS development_to, cut AS oos_from, b AS oos_to FROM c""",
-    "outcome_choice": f"""{_EB}, {core._OUT}, t AS (SELECT symbol, earnings_date, status, regular_close_return, 'b' AS evidence_sha256 FROM oc
-  UNION ALL SELECT symbol, earnings_date, CASE WHEN day(earnings_date) < 15 THEN 'complete' ELSE 'insufficient_data' END, 0, 'a' FROM oc)
-SELECT symbol, earnings_date, status, evidence_sha256, round(regular_close_return, 6) AS regular_close_return FROM t
-QUALIFY row_number() OVER (PARTITION BY symbol, earnings_date ORDER BY status <> 'complete', evidence_sha256) = 1""",
     "operations_snapshot": f"""WITH {fx.DUCK_EVENTS}, {fx.DUCK_TICKS}, {fx.DUCK_DAILY} SELECT * FROM
 (SELECT count(*) AS quotes, max(received_at) AS newest_quote, count(*) FILTER (stale) AS stale_quotes FROM tick),
 (SELECT count(*) AS events, max(earnings_date) AS newest_event, count(*) FILTER (illiquid) AS illiquid, count(*) FILTER (superseded) AS superseded FROM ev),
@@ -329,10 +307,6 @@ SELECT symbol, earnings_date, sha256(string_agg(t, chr(10) ORDER BY t)) AS evide
     "stale_reprocess_plan": f"""WITH {fx.DUCK_EVENTS.replace("k % 19 <> 0 AS post_covered", "(k % 19 <> 0 OR k % 2 = 0) AS post_covered")}, {fx.DUCK_BARS}, {core._SIGNAL}, {core._FEATURES}
 SELECT ev.symbol, ev.earnings_date, CASE WHEN k % 2 = 0 THEN 'retract_and_insert' ELSE 'unchanged' END AS action, CASE WHEN k % 2 = 0 THEN reaction_class END AS reaction_class
 FROM ev JOIN feat ON ev.symbol = feat.symbol AND ev.earnings_date = feat.earnings_date WHERE k % 19 = 0""",
-    "outcome_violations": f"""{_EB}, {core._OUT}, x AS (SELECT * REPLACE (CASE day(earnings_date) WHEN 13 THEN '' WHEN 14 THEN 'x' ELSE missing END AS missing,
-  CASE WHEN day(earnings_date) <> 7 THEN regular_open END AS regular_open, regular_minutes + CASE WHEN day(earnings_date) = 21 THEN 1 ELSE 0 END AS regular_minutes) FROM oc),
-y AS ({_BROKEN((f"status = 'complete' AND ({' OR '.join(f'{c} IS NULL' for c in core._PRICES)})", "complete_without_value"), ("status = 'complete' AND missing <> ''", "complete_with_missing_fields"), ("status <> 'complete' AND missing = ''", "insufficient_without_missing_fields"), ("regular_minutes > 390", "more_minutes_than_expected"))})
-SELECT symbol, earnings_date, rule FROM y""",
     "spec_violations": f"""{_SPEC}, x AS (SELECT *, DATE '1992-01-01' + CAST(k % 30 AS INT) AS df, CASE WHEN k % 19 = 0 THEN DATE '1991-12-31' ELSE DATE '1998-12-31' END AS dt,
   CASE WHEN k % 11 = 0 THEN DATE '1998-06-01' ELSE DATE '1999-01-01' END AS oos FROM spec), y AS ({_BROKEN(("df > dt", "development_reversed"), ("oos <= dt", "periods_overlap"))})
 SELECT study_key, version, rule FROM y""",

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.tables import stored
 from ..operators import bars as b
 from ..operators import integrity, ledger, reaction, research, selection
-from ..operators.outcome import outcomes as outcome_rows
 from ..operators.reaction import HORIZONS, KEY
 from ..sources import calendar as cal
 from ..sources import fixtures as fx
@@ -17,7 +16,6 @@ from ..sources import fixtures as fx
 WINDOW_OPENS, WINDOW_ENDS = 15 * 60 + 50, 20 * 60 + 15
 
 NOW = "2030-01-01 00:00:00"
-DEV = ("1992-01-01", "1998-12-31")
 COHORT = research.Cohort(directions=("up",), least_abs_return=1.0, most_delay=60, least_surprise=-50.0)
 FLOOR = 50_000
 #: In the middle of the tables, so that some captures are still to come.
@@ -140,17 +138,6 @@ def coverage_audit(spark: SparkSession, d: str) -> DataFrame:
     return e.select(*KEY, phases.alias("phase")).join(seen, [*KEY, "phase"], "left").select(*KEY, "phase", F.when(F.col("n").isNull(), "MISSING").otherwise("PRESENT").alias("state"), F.coalesce("n", F.lit(0)).alias("bars"))
 
 
-def _outcomes(spark: SparkSession, d: str) -> DataFrame:
-    e = fx.events(spark, d)
-    cols = ["symbol", "earnings_date", "phase", "minute", "open", "high", "low", "close"]
-    x = fx.bars(e).filter("phase = 'earnings_regular'").select(*cols).unionByName(fx.following(e).select(*cols))
-    return outcome_rows(e, x, now=NOW)
-
-
-def outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_outcomes(spark, d))
-
-
 def cohort_page(spark: SparkSession, d: str) -> DataFrame:
     p = research.cohort_page(_universe(spark, d), COHORT, 50, 10)
     return rounded(p.select(*KEY, "reaction_class", "direction", "initial_return", "delay_minutes", "retention", "eps_surprise"))
@@ -215,22 +202,6 @@ def reconcile_plan(spark: SparkSession, d: str) -> DataFrame:
     return ledger.reconcile_plan(e, one.unionByName(two).drop("d0", "k0"))
 
 
-def _members(spark: SparkSession, d: str) -> DataFrame:
-    return research.study_members(_universe(spark, d), _outcomes(spark, d), COHORT, *DEV)
-
-
-def study_members(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_members(spark, d).withColumn("reasons", F.array_join("reasons", ",")))
-
-
-def study_result(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(research.study_result(_members(spark, d)))
-
-
-def exclusion_counter(spark: SparkSession, d: str) -> DataFrame:
-    return _members(spark, d).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
-
-
 def monitor_health(spark: SparkSession, d: str) -> DataFrame:
     t = fx.ticks(spark, d)
     c = t.groupBy(F.window("event_timestamp", "5 minutes")["start"].alias("started")).agg(F.countDistinct("symbol").alias("candidates"), F.count("*").alias("fetched"), F.bool_or(F.col("event_type") == "error").alias("bad"))
@@ -296,9 +267,9 @@ QUERIES = {
     for f in (
         trading_days, phase_bounds, key_violations, append_only_changes,
         reaction_features, class_distribution, monthly_counts, class_by_direction, retention_histogram, liquidity_quartiles, first_cross, checkpoint_asof,
-        vwap_proxy, day_bars, minute_bars, latest_quote, degradation_reasons, changed_snapshots, authoritative_bars, coverage_summary, coverage_audit, outcomes,
+        vwap_proxy, day_bars, minute_bars, latest_quote, degradation_reasons, changed_snapshots, authoritative_bars, coverage_summary, coverage_audit,
         cohort_page, cohort_counts, exclusion_reasons, exclusion_reasons_wide, quality_issues, scatter_series, liquidity_floor, upsert_events, append_only_new_rows, coverage_replace,
-        reconcile_plan, study_members, study_result, exclusion_counter, monitor_health, feature_violations, daily_context, export_flatten,
+        reconcile_plan, monitor_health, feature_violations, daily_context, export_flatten,
     )
 }
 
@@ -362,28 +333,6 @@ _BAR = lambda bucket: f"""{_TICKS}, t AS (SELECT *, time_bucket(INTERVAL '{bucke
 SELECT symbol, bar_ts, arg_min(last, o) AS open, max(last) AS high, min(last) AS low, arg_max(last, o) AS close,
   CASE WHEN arg_max(volume, o) >= arg_min(volume, o) THEN arg_max(volume, o) - arg_min(volume, o) END AS volume, count(*) AS ticks FROM t GROUP BY ALL"""
 _LATEST = f"{_TICKS}, q AS (SELECT * FROM tick QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY received_at DESC, event_id DESC) = 1)"
-_PRICES = ["premarket_open", "premarket_close", "premarket_high", "premarket_low", "regular_open", "regular_close", "regular_high", "regular_low"]
-_OUT = f"""{fx.DUCK_FOLLOWING},
-ob AS (SELECT symbol, earnings_date, phase, minute, close AS open, close + 1 AS high, close - 1 AS low, close FROM fol
-       UNION ALL SELECT symbol, earnings_date, phase, minute, open, high, low, close FROM bar WHERE phase = 'earnings_regular'),
-oa AS (SELECT symbol, earnings_date, max(close) FILTER (phase = 'earnings_regular' AND minute = -1) AS pre_close,
-    arg_min(open, minute) FILTER (phase = 'following_premarket') AS premarket_open, arg_max(close, minute) FILTER (phase = 'following_premarket') AS premarket_close,
-    max(high) FILTER (phase = 'following_premarket') AS premarket_high, min(low) FILTER (phase = 'following_premarket') AS premarket_low,
-    max(open) FILTER (phase = 'following_regular' AND minute = 0) AS regular_open, max(close) FILTER (phase = 'following_regular' AND minute = 389) AS regular_close,
-    max(high) FILTER (phase = 'following_regular') AS regular_high, min(low) FILTER (phase = 'following_regular') AS regular_low,
-    {", ".join(f"max(close) FILTER (phase = 'following_regular' AND minute = {n - 1}) AS c_{n}" for n in (5, 30, 60))},
-    CAST(count(DISTINCT minute) FILTER (phase = 'following_regular') AS INT) AS regular_minutes FROM ob GROUP BY ALL),
-o1 AS (SELECT *, {", ".join(f"(c_{n} - pre_close) / pre_close * 100 AS regular_return_{n}m" for n in (5, 30, 60))}, least(1, regular_minutes / 390) AS regular_coverage FROM oa),
-o2 AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in ["pre_close", *_PRICES, "regular_return_5m", "regular_return_30m", "regular_return_60m"])},
-    CASE WHEN regular_coverage < 0.95 THEN 'following_regular_coverage' END], lambda x: x IS NOT NULL) AS miss FROM o1),
-oc AS (SELECT symbol, earnings_date, CASE WHEN len(miss) > 0 THEN 'insufficient_data' ELSE 'complete' END AS status, array_to_string(miss, ',') AS missing, pre_close, {", ".join(_PRICES)},
-    {", ".join(f"({c} - pre_close) / pre_close * 100 AS {c}_return" for c in _PRICES)}, regular_return_5m, regular_return_30m, regular_return_60m, regular_minutes, regular_coverage FROM o2)"""
-_MEMBERS = f"""{_U}, {_OUT}, om AS (SELECT symbol, earnings_date, status AS o_status, regular_close_return AS o_metric FROM oc),
-mem0 AS (SELECT u.symbol, u.earnings_date, delay_minutes, o_status, o_metric, coalesce(reaction_class NOT IN ('insufficient_data', 'no_trigger_in_window'), FALSE) AS done, {_KEEP} AS inside, {_WHY},
-  CASE WHEN NOT coalesce(reaction_class NOT IN ('insufficient_data', 'no_trigger_in_window') AND delay_minutes IS NOT NULL, FALSE) THEN 'feature_not_complete' END, CASE WHEN o_status IS NULL THEN 'outcome_missing' END,
-  CASE WHEN o_status IS NOT NULL AND (o_status <> 'complete' OR o_metric IS NULL) THEN 'outcome_not_complete' END], lambda x: x IS NOT NULL) AS why0
-  FROM u LEFT JOIN om ON u.symbol = om.symbol AND u.earnings_date = om.earnings_date WHERE u.earnings_date BETWEEN DATE '{DEV[0]}' AND DATE '{DEV[1]}'),
-mem AS (SELECT symbol, earnings_date, delay_minutes, CASE WHEN o_status = 'complete' THEN o_metric END AS metric, list_sort(why0) AS why, inside AND done AS eligible FROM mem0)"""
 
 #: Good Fridays, as given dates; they must cover the tables' years and one on each side.
 _GOOD_FRIDAYS = (
@@ -450,8 +399,6 @@ SELECT ev.symbol, ev.earnings_date, 'earnings_postmarket' AS phase, first_minute
 CASE WHEN seen IS NULL THEN 'no_bars_in_requested_phase' WHEN n > seen THEN 'duplicate_minute_bars' ELSE '' END AS flags FROM ev LEFT JOIN g ON ev.symbol = g.symbol AND ev.earnings_date = g.earnings_date""",
     "coverage_audit": f"""WITH {fx.DUCK_EVENTS}, {fx.DUCK_BARS}, g AS (SELECT symbol, earnings_date, phase, count(*) AS n FROM bar GROUP BY ALL), p AS (SELECT unnest(['earnings_regular', 'earnings_postmarket', 'following_premarket', 'following_regular']) AS phase)
 SELECT ev.symbol, ev.earnings_date, p.phase, CASE WHEN n IS NULL THEN 'MISSING' ELSE 'PRESENT' END AS state, coalesce(n, 0) AS bars FROM ev CROSS JOIN p LEFT JOIN g ON ev.symbol = g.symbol AND ev.earnings_date = g.earnings_date AND p.phase = g.phase""",
-    "outcomes": f"""WITH {fx.DUCK_EVENTS}, {fx.DUCK_BARS}, {_OUT} SELECT symbol, earnings_date, status, missing, regular_minutes,
-{_ROUND(["pre_close", *_PRICES, *[f"{c}_return" for c in _PRICES], "regular_return_5m", "regular_return_30m", "regular_return_60m", "regular_coverage"])} FROM oc""",
     "cohort_page": f"""{_U} SELECT symbol, earnings_date, reaction_class, direction, round(initial_return, 6) AS initial_return, delay_minutes, round(retention, 6) AS retention, round(eps_surprise, 6) AS eps_surprise
 FROM u WHERE {_KEEP} ORDER BY abs(u.initial_return) DESC NULLS LAST, u.earnings_date DESC, symbol LIMIT 50 OFFSET 10""",
     "cohort_counts": f"{_U} SELECT coalesce(reaction_class, 'not_analyzed') AS status, count(*) AS universe, count(*) FILTER ({_KEEP}) AS included, count(*) FILTER (NOT ({_KEEP})) AS excluded FROM u GROUP BY ALL",
@@ -482,13 +429,6 @@ li AS (SELECT symbol, year, quarter, d0 + CASE WHEN k0 % 3 = 0 THEN 7 ELSE 0 END
 s AS (SELECT symbol, year, quarter, min(d) AS listed FROM li GROUP BY ALL HAVING min(d) = max(d)),
 x AS (SELECT ev.symbol, earnings_date, listed, ev.year, ev.quarter, CASE WHEN listed <> earnings_date AND NOT superseded THEN 'supersede' WHEN listed = earnings_date AND superseded THEN 'reinstate' END AS action FROM ev JOIN s ON ev.symbol = s.symbol AND ev.year = s.year AND ev.quarter = s.quarter)
 SELECT symbol, earnings_date, action, CAST(listed AS DATE) AS listed, CASE WHEN action = 'supersede' THEN 'Q' || quarter || ' of ' || year || ' is listed on ' || strftime(listed, '%Y-%m-%d') END AS reason FROM x WHERE action IS NOT NULL""",
-    "study_members": f"{_MEMBERS} SELECT symbol, earnings_date, delay_minutes, round(metric, 6) AS metric, array_to_string(why, ',') AS reasons, len(why) = 0 AS included, eligible FROM mem",
-    "study_result": f"""{_MEMBERS}, t AS (SELECT quantile_cont(delay_minutes, 0.5) AS threshold FROM mem WHERE len(why) = 0),
-a AS (SELECT max(threshold) AS threshold, count(*) AS universe_count, count(*) FILTER (len(why) = 0) AS n, count(*) FILTER (eligible) AS eligible, count(*) FILTER (len(why) = 0 AND delay_minutes <= threshold) AS n_early,
-count(*) FILTER (len(why) = 0 AND delay_minutes > threshold) AS n_late, avg(metric) FILTER (len(why) = 0 AND delay_minutes <= threshold) AS e, avg(metric) FILTER (len(why) = 0 AND delay_minutes > threshold) AS l FROM mem, t)
-SELECT round(threshold, 6) AS threshold, universe_count, universe_count - n AS excluded_count, n, eligible, n_early, n_late, round(e, 6) AS early_mean, round(l, 6) AS late_mean, round(e - l, 6) AS difference,
-n >= 5 AND n_early > 0 AND n_late > 0 AS sample_gate, eligible = n AS coverage_gate, 'refine' AS decision FROM a""",
-    "exclusion_counter": f"{_MEMBERS} SELECT reason, count(*) AS n FROM (SELECT unnest(why) AS reason FROM mem) GROUP BY ALL",
     "monitor_health": f"""{_TICKS}, c AS (SELECT time_bucket(INTERVAL '5 minutes', event_timestamp) AS started, count(DISTINCT symbol) AS candidates, count(*) AS fetched, bool_or(event_type = 'error') AS bad FROM tick GROUP BY ALL),
 s AS (SELECT *, CASE WHEN strftime(started, '%H:%M') NOT BETWEEN '15:50' AND '20:15' THEN 'inactive' WHEN bad THEN 'degraded' ELSE 'success' END AS status FROM c)
 SELECT CAST(started AS DATE) AS market_date, arg_max(status, started) AS last_status, arg_max(fetched, started) AS last_fetched, max(started) FILTER (status = 'success') AS last_success,
