@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 #: Headers that a 304 may renew (fixed values); all others of a revisit are ignored.
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 
-#: The time line is cut at these many quantiles, so that a URL with a third of all captures is many tasks' work.
-SPANS = 64
+#: Spans that the time line is cut into, rows of a span beyond which there are more, and how many there can be.
+SPANS, SPAN_ROWS, MOST_SPANS = 64, 2_000_000, 1024
 
 #: Captures of one page are so many seconds after its first.
 STEP = 1_000_000
@@ -35,14 +35,17 @@ def _etag(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), r"^W/", "")
 
 
-def asof_latest(left: DataFrame, right: DataFrame, by: str, ts: str, tie: str, value: Column, spans: int = SPANS) -> DataFrame:
+def asof_latest(left: DataFrame, right: DataFrame, by: str, ts: str, tie: str, value: Column, spans: int | None = None) -> DataFrame:
     """left with `found`: value of the right row with the latest (ts, tie) before left's ts (strictly), in the same `by`.
 
     The time line is cut into spans at quantiles; each (by, span) is a window of its own, begun with what the spans
-    before it leave behind. A row with a null `by` or ts finds nothing.
+    before it leave behind. There are SPANS spans, or more where right has many rows: one for SPAN_ROWS, MOST_SPANS at most.
+    A row with a null `by` or ts finds nothing.
     """
-    probes = [k / spans for k in range(1, spans)]
-    cuts = (right.agg(F.percentile_approx(F.col(ts).cast("double"), probes, 1000).alias("c")).first()["c"] or []) if probes else []
+    probes = ",".join(f"{k / MOST_SPANS!r}D" for k in range(1, MOST_SPANS))
+    seen = right.select(F.col(ts).cast("double").alias("t")).agg(F.count("t").alias("n"), F.expr(f"percentile_approx(t, array({probes}), {2 * MOST_SPANS})").alias("c")).first()
+    spans = spans or min(MOST_SPANS, max(SPANS, -(-seen["n"] // SPAN_ROWS)))
+    cuts = [seen["c"][k * MOST_SPANS // spans - 1] for k in range(1, spans)] if seen["n"] else []
     place = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c <= F.col(ts).cast("double"))) if cuts else F.lit(0)
     r = right.filter(F.col(by).isNotNull() & F.col(ts).isNotNull()).select(F.col(by).alias("__by"), place.alias("__span"), F.col(ts).alias("__ts"), F.col(tie).alias("__tie"), value.alias("__value"))
     last = r.groupBy("__by", "__span").agg(F.max_by("__value", F.struct("__ts", "__tie")).alias("__value"))
@@ -67,7 +70,7 @@ def asof_latest(left: DataFrame, right: DataFrame, by: str, ts: str, tie: str, v
     return looked.unionByName(rest)
 
 
-def resolve_revisits(responses: DataFrame, revisits: DataFrame, spans: int = SPANS) -> DataFrame:
+def resolve_revisits(responses: DataFrame, revisits: DataFrame, spans: int | None = None) -> DataFrame:
     """One row per revisit, in any order of input.
 
     responses: record_id, url, ts, digest, headers (map, lower-case names); revisits: record_id, url, ts, headers.
