@@ -193,5 +193,7 @@ def liquidity_decisions(events: DataFrame, rows: DataFrame, dollar_volume: DataF
     backlog = events.filter(~F.col("illiquid")).join(rows.filter("analysis_status = 'insufficient_data'").select("symbol", "earnings_date"), ["symbol", "earnings_date"])
     j = backlog.join(dollar_volume, "symbol", "left")
     decision = F.when(F.col("dollar_volume").isNull(), "inconclusive").when(F.col("dollar_volume") < floor, "exclude").otherwise("keep")
-    why = F.when(decision == "exclude", F.format_string("mean dollar volume %.0f is under %.0f", F.col("dollar_volume"), F.lit(float(floor))))
+    # halves to the even number, as SQL's printf does, and off the last digits, which sums in another order may change
+    whole = F.bround(F.round("dollar_volume", 6)).cast("long")
+    why = F.when(decision == "exclude", F.format_string("mean dollar volume %d is under %.0f", whole, F.lit(float(floor))))
     return j.select("symbol", "earnings_date", decision.alias("decision"), why.alias("reason"))
