@@ -2,11 +2,18 @@
 
 import datetime as dt
 
-from tidemark.operators import ledger
+from tidemark.operators import ledger, reaction
+from tidemark.plans import queries
+from tidemark.sources import fixtures as fx
 
+SF = "/root/testdata/sf0.001"
 DAY = dt.date(2024, 1, 2)
 
 
+def nodes(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_liquidity_reasons_round_as_sql_does(spark):
     """42.5 and 42.49999999999999 are one mean summed in two orders; SQL's printf gives a half the even number."""
     events = spark.createDataFrame([(s, DAY, False) for s in "AB"], "symbol string, earnings_date date, illiquid boolean")
@@ -14,3 +21,14 @@ def test_liquidity_reasons_round_as_sql_does(spark):
     volume = spark.createDataFrame([("A", 42.5), ("B", 42.49999999999999)], "symbol string, dollar_volume double")
     got = {r["reason"] for r in ledger.liquidity_decisions(events, rows, volume, 50).collect()}
     assert got == {"mean dollar volume 42 is under 50"}
+
+
+def test_reaction_features_sort_no_bars(spark):
+    plan = nodes(queries._features(spark, SF))
+    assert "Window" not in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_unfolded_bars_and_rows_have_the_same_features(spark):
+    e = fx.events(spark, SF)
+    a, b = reaction.reaction_features(e, fx.unfolded(e)), reaction.reaction_features(e, fx.bars(e))
+    assert a.count() == e.count() and queries.rounded(a).exceptAll(queries.rounded(b)).count() == 0
