@@ -3,7 +3,7 @@
 import datetime as dt
 
 from tidemark.operators import ledger, reaction
-from tidemark.plans import queries
+from tidemark.plans import operations, queries
 from tidemark.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +32,8 @@ def test_unfolded_bars_and_rows_have_the_same_features(spark):
     e = fx.events(spark, SF)
     a, b = reaction.reaction_features(e, fx.unfolded(e)), reaction.reaction_features(e, fx.bars(e))
     assert a.count() == e.count() and queries.rounded(a).exceptAll(queries.rounded(b)).count() == 0
+
+
+def test_today_snapshot_shuffles_no_bars(spark):
+    """A union of retrievals would lose that bars are dealt as their events are, so every bar would be shuffled."""
+    assert "Union" not in operations.today_snapshot(spark, SF)._jdf.queryExecution().optimizedPlan().toString()

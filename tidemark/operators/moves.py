@@ -30,13 +30,14 @@ def realized_moves(events: DataFrame, candles: DataFrame) -> DataFrame:
     )
 
 
-def provisional_path(bars: DataFrame, threshold: float = THRESHOLD_PCT) -> DataFrame:
+def provisional_path(bars: DataFrame, threshold: float = THRESHOLD_PCT, dealt: bool = False) -> DataFrame:
     """Per event, from whatever minutes exist: the latest regular close, the last move from it and the first move of threshold or more.
 
-    bars: symbol, earnings_date, phase, minute, close, received_at; the latest retrieval of a minute counts. One shuffle, on the event.
+    bars: symbol, earnings_date, phase, minute, close, received_at; the latest retrieval of a minute counts. One shuffle, on the event,
+    and none if bars are dealt by it already (dealt).
     """
     reg = F.col("phase") == "earnings_regular"
-    b = bars.repartition(*KEY).groupBy(*KEY, "phase", "minute").agg(F.max_by("close", "received_at").alias("close"))
+    b = (bars if dealt else bars.repartition(*KEY)).groupBy(*KEY, "phase", "minute").agg(F.max_by("close", "received_at").alias("close"))
     b = b.withColumn("pre", F.max_by("close", F.when(reg, F.col("minute"))).over(Window.partitionBy(*KEY)))
     b = b.withColumn("cr", F.when(~reg & (F.col("pre") > 0), pct_change(F.col("pre"), F.col("close")))).withColumn("post", F.when(~reg, F.col("minute")))
     hit = F.when(F.abs("cr") >= threshold, F.col("minute"))
@@ -51,15 +52,15 @@ def told_flags(flags: Column, stale: Column) -> Column:
     return F.filter(flags, lambda f: ~((f == "stale") & F.coalesce(stale, F.lit(False))))
 
 
-def today_snapshot(events: DataFrame, features: DataFrame, quotes: DataFrame, bars: DataFrame, threshold: float = THRESHOLD_PCT) -> DataFrame:
+def today_snapshot(events: DataFrame, features: DataFrame, quotes: DataFrame, bars: DataFrame, threshold: float = THRESHOLD_PCT, dealt: bool = False) -> DataFrame:
     """Live after-close events with their latest quote, provisional path, finished class and why the numbers may mislead.
 
     quotes: symbol, earnings_date, received_at, bid, ask, last, stale, age_seconds, quality_flags (array). The quote's flags stand among the reasons, `stale` but once.
-    Only finished rows (final) may be compared with history.
+    Only finished rows (final) may be compared with history. dealt: as provisional_path() says.
     """
     q = quotes.groupBy(*KEY).agg(F.max_by(F.struct("received_at", "bid", "ask", "last", "stale", "age_seconds", "quality_flags"), "received_at").alias("q"))
     live = events.filter((F.col("hour") == "amc") & ~F.col("illiquid") & ~F.col("superseded")).select(*KEY, "eps_estimate", "eps_actual")
-    j = live.join(provisional_path(bars, threshold), list(KEY), "left").join(q, list(KEY), "left").join(features.select(*KEY, "reaction_class"), list(KEY), "left")
+    j = live.join(provisional_path(bars, threshold, dealt), list(KEY), "left").join(q, list(KEY), "left").join(features.select(*KEY, "reaction_class"), list(KEY), "left")
     mid, spread, age = (F.col("q.bid") + F.col("q.ask")) / 2, F.col("q.ask") - F.col("q.bid"), F.col("q.age_seconds")
     why = merge_flags(
         reasons((F.col("q.received_at").isNull(), "no_quote"), (F.col("q.stale"), "stale_quote"), (age > OLD_QUOTE, "old_quote"), (F.col("pre_close").isNull(), "no_pre_close")),

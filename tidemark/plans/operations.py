@@ -105,9 +105,9 @@ def today_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Every day's snapshot; features of 1998 on are not finished, and an earlier retrieval has other prices."""
     e = fx.events(spark, d)
     b = fx.bars(e)
-    old = b.withColumn("close", F.col("close") * 3).withColumn("received_at", F.lit(0))
-    done = reaction.reaction_features(e, b).filter("year(earnings_date) < 1998")
-    return rounded(moves.today_snapshot(e, done, _event_quotes(b), b.withColumn("received_at", F.lit(1)).unionByName(old)))
+    both = b.withColumn("received_at", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("close", F.expr("IF(received_at = 0, close * 3, close)"))  # no union: bars stay dealt as the events are
+    done = reaction.reaction_features(e, fx.unfolded(e)).filter("year(earnings_date) < 1998")
+    return rounded(moves.today_snapshot(e, done, _event_quotes(b), both, dealt=True))
 
 
 def captured_pending(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +192,7 @@ def stale_reprocess_plan(spark: SparkSession, d: str) -> DataFrame:
     """Evening bars of some events without coverage have arrived since."""
     e = fx.events(spark, d)
     late = e.withColumn("post_covered", F.expr("post_covered OR k % 2 = 0"))
-    rows = lambda x: reaction.reaction_features(x, fx.bars(x)).join(registry.evidence_digest(fx.bars(x)), list(KEY))
+    rows = lambda x: reaction.reaction_features(x, fx.unfolded(x)).join(registry.evidence_digest(fx.bars(x)), list(KEY))
     return registry.stale_reprocess_plan(rows(e), rows(late))
 
 
