@@ -2,8 +2,12 @@
 
 import datetime as dt
 
+import pytest
+
+from tidemark.operators import evidence as ev
 from tidemark.operators import ledger, reaction
-from tidemark.plans import operations, queries
+from tidemark.plans import events, operations, queries
+from tidemark.sources import evidence as evx
 from tidemark.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +41,25 @@ def test_unfolded_bars_and_rows_have_the_same_features(spark):
 def test_today_snapshot_shuffles_no_bars(spark):
     """A union of retrievals would lose that bars are dealt as their events are, so every bar would be shuffled."""
     assert "Union" not in operations.today_snapshot(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bars_of_coverage_are_neither_written_nor_shuffled(spark):
+    """Unfolded beside their coverage rows: the plan has no join, shuffle or sort above the minutes, and no table of bars is read."""
+    x = events.Inputs(spark, SF)
+    plan = x.bars._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("posexplode")]
+    assert not [n for n in ("Join", "Exchange", "Sort", "Window", "derived") if n in above]
+
+
+def test_unfolded_bars_of_coverage_are_those_of_the_join(spark):
+    x = events.Inputs(spark, SF)
+    whole = ev.phase_bars(x.coverage, evx.retrieved(x.events, x.coverage))
+    own = x.bars.select(*whole.columns)
+    assert own.count() == whole.count() and own.exceptAll(whole).count() == 0
+
+
+def test_unfolded_bars_outside_of_their_phase_are_refused(spark):
+    rows = spark.createDataFrame([("p", 0), ("p", 1), ("p", 1), ("q", 9)], "phase string, minute int")
+    assert rows.agg(reaction.repeats_in("p", 0, 2)).first()[0] == 1
+    with pytest.raises(Exception, match="outside of the minutes"):
+        rows.agg(reaction.repeats_in("p", 0, 1)).collect()
