@@ -63,3 +63,9 @@ def test_unfolded_bars_outside_of_their_phase_are_refused(spark):
     assert rows.agg(reaction.repeats_in("p", 0, 2)).first()[0] == 1
     with pytest.raises(Exception, match="outside of the minutes"):
         rows.agg(reaction.repeats_in("p", 0, 1)).collect()
+
+
+def test_authoritative_bars_are_not_shuffled(spark):
+    """No exchange lies above the retrievals' bars."""
+    plan = queries.authoritative_bars(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode")]

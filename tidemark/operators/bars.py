@@ -31,12 +31,14 @@ def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def authoritative_bars(coverage: DataFrame, bars: DataFrame) -> DataFrame:
     """Bars of the one retrieval that coverage names for each event and phase, inside its half-open bounds, first per ts.
 
-    coverage: symbol, earnings_date, phase, received_at, expected_start, expected_end. Catalyst broadcasts coverage where its
-    measured size allows; the range stays in the join condition.
+    coverage: symbol, earnings_date, phase, received_at, expected_start, expected_end. An event's few coverage rows are one list, joined on the event alone and
+    hashed: bars that are dealt by their event are not shuffled, and only those that a row names are sorted for the first per ts.
     """
-    c = coverage.select("symbol", "earnings_date", "phase", "received_at", "expected_start", "expected_end")
-    j = bars.join(c, ["symbol", "earnings_date", "phase", "received_at"]).filter((F.col("ts") >= F.col("expected_start")) & (F.col("ts") < F.col("expected_end")))
-    return latest_per_key(j, ["symbol", "earnings_date", "phase", "ts"], F.col("id").asc()).drop("expected_start", "expected_end")
+    key = ["symbol", "earnings_date"]
+    c = coverage.groupBy(*key).agg(F.collect_list(F.struct("phase", "received_at", "expected_start", "expected_end")).alias("__covered"))
+    named = lambda c: (c["phase"] == F.col("phase")) & (c["received_at"] == F.col("received_at")) & (F.col("ts") >= c["expected_start"]) & (F.col("ts") < c["expected_end"])
+    j = bars.join(c.hint("shuffle_hash"), key).filter(F.exists("__covered", named)).drop("__covered")
+    return latest_per_key(j, [*key, "phase", "ts"], F.col("id").asc())
 
 
 def coverage_summary(bars: DataFrame, expected: DataFrame) -> DataFrame:
