@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import evidence as ev
 from tidemark.operators import ledger, reaction
@@ -69,3 +70,32 @@ def test_authoritative_bars_are_not_shuffled(spark):
     """No exchange lies above the retrievals' bars."""
     plan = queries.authoritative_bars(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Generate explode")]
+
+
+def test_unfolding_some_minutes_gives_those_of_all(spark):
+    """Passes that look for the reference and the signal unfold only the minutes that can matter; an event whose minute is null has none."""
+    x = events.Inputs(spark, SF)
+    values = x.events.select(*reaction.KEY, F.expr("CASE WHEN k % 3 > 0 THEN k % 100 END").cast("int").alias("at"))
+    between = (F.col("at"), F.col("at") + 2)
+    e = fx.unfolded(x.events)
+    own, whole = e(values, between), e(values).filter(F.col("minute").between(*between))
+    assert own.count() == whole.count() > 0 and own.exceptAll(whole).count() == 0
+    b = x.unfolded(*ev.STUDY_PHASES)
+    cols = [*reaction.KEY, "phase", "minute", "ts", "close", "id"]
+    own, whole = ev.minutes_of(b(values, between)).select(*cols), ev.minutes_of(b(values)).filter(F.col("minute").between(*between)).select(*cols)
+    assert own.count() == whole.count() > 0 and own.exceptAll(whole).count() == 0
+
+
+def test_texts_of_bars_are_made_before_they_are_collected(spark):
+    """collect_list works its argument out without generated code, so it gets a column as it is."""
+    x = events.Inputs(spark, SF)
+    plan = ev.evidence_digests(x.events.selectExpr("symbol", "earnings_date", *[f"'' AS {p}_response_sha256" for p in ("regular", "post")], *[f"earnings_date AS {p}_expected_{e}" for p in ("regular", "post") for e in ("start", "end")]), x.unfolded(*ev.STUDY_PHASES))
+    assert "collect_list(rows" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prices_in_millionths_round_halves_away_from_zero(spark):
+    odd = [0.0000005, -0.0000005, 0.0000004999, 1.0000015, 100.1, -3.25, 8.9e12, 9.1e12, float("nan"), None]
+    rows = spark.createDataFrame([(v,) for v in odd], "x double")
+    before = "CASE WHEN x IS NULL OR isnan(x) OR abs(x) > 9e12 THEN coalesce(CAST(x AS STRING), '-') ELSE CAST(CAST(round(CASE WHEN isnan(x) OR abs(x) > 9e12 THEN 0 ELSE x END * 1000000) AS BIGINT) AS STRING) END"
+    got = rows.select(ev.micro(F.col("x")).alias("a"), F.expr(before).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
