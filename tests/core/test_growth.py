@@ -99,3 +99,34 @@ def test_prices_in_millionths_round_halves_away_from_zero(spark):
     before = "CASE WHEN x IS NULL OR isnan(x) OR abs(x) > 9e12 THEN coalesce(CAST(x AS STRING), '-') ELSE CAST(CAST(round(CASE WHEN isnan(x) OR abs(x) > 9e12 THEN 0 ELSE x END * 1000000) AS BIGINT) AS STRING) END"
     got = rows.select(ev.micro(F.col("x")).alias("a"), F.expr(before).alias("b")).collect()
     assert [r["a"] for r in got] == [r["b"] for r in got]
+
+
+@pytest.mark.parametrize("name", ["phase_bars", "event_paths", "following_path", "event_detail"])
+def test_bars_of_paths_are_not_sorted(spark, name):
+    """The first bar of a time, an event's horizons and its first and last bar are found without a window over bars, and bars are not sorted for a join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = (events.QUERIES | operations.QUERIES)[name](spark, SF)._jdf.queryExecution().executedPlan()
+        text = plan.toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "row_number" not in text
+    depth = lambda line: len(line) - len(line.lstrip(" :|+-"))
+    lines = text.split("\n")
+    for i, line in enumerate(lines):  # below a sort, up to the next line that lies no deeper, no minute is unfolded
+        if line.lstrip(" :|+-").startswith("Sort ["):
+            below = []
+            for other in lines[i + 1 :]:
+                if depth(other) <= depth(line):
+                    break
+                below.append(other)
+            unfolds = next((n for n, x in enumerate(below) if "explode(_minutes" in x or "posexplode(_minutes" in x), None)
+            summed = next((n for n, x in enumerate(below) if "Aggregate(" in x), None)
+            assert unfolds is None or (summed is not None and summed < unfolds), "\n".join([line, *below])
+
+
+def test_first_bars_are_those_of_a_window(spark):
+    x = events.inputs(spark, SF)
+    cols = ["symbol", "earnings_date", "phase", "ts", "id", "close", "volume"]
+    ours, theirs = x.first()(None).select(cols), ev.first_of_each(x.bars).select(cols)
+    assert x.bars.count() > theirs.count() and ours.exceptAll(theirs).isEmpty() and theirs.exceptAll(ours).isEmpty()
