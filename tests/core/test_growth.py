@@ -130,3 +130,13 @@ def test_first_bars_are_those_of_a_window(spark):
     cols = ["symbol", "earnings_date", "phase", "ts", "id", "close", "volume"]
     ours, theirs = x.first()(None).select(cols), ev.first_of_each(x.bars).select(cols)
     assert x.bars.count() > theirs.count() and ours.exceptAll(theirs).isEmpty() and theirs.exceptAll(ours).isEmpty()
+
+
+def test_digests_of_outcomes_are_made_only_for_those_who_read_them(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("no digest is read")
+
+    monkeypatch.setattr(events, "_KEPT", {})
+    monkeypatch.setattr(events.oc, "with_outcome_digest", refused)
+    for name in ("outcomes", "outcome_choice", "study_members", "study_result", "exclusion_counter"):
+        events.QUERIES[name](spark, SF)
