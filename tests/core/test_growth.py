@@ -1,12 +1,14 @@
 """Results that must not change, and plans that must not grow, with the size of tables."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import evidence as ev
 from tidemark.operators import ledger, reaction
+from tidemark.operators import outcome as oc
 from tidemark.plans import events, operations, queries
 from tidemark.sources import evidence as evx
 from tidemark.sources import fixtures as fx
@@ -140,3 +142,21 @@ def test_digests_of_outcomes_are_made_only_for_those_who_read_them(spark, monkey
     monkeypatch.setattr(events.oc, "with_outcome_digest", refused)
     for name in ("outcomes", "outcome_choice", "study_members", "study_result", "exclusion_counter"):
         events.QUERIES[name](spark, SF)
+
+
+def methods(df) -> list[int]:
+    """Sizes of the largest generated method of each stage, in bytes."""
+    debug = getattr(getattr(df.sparkSession._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(df._jdf.queryExecution().executedPlan()))]
+
+
+@pytest.mark.parametrize("phases", [ev.STUDY_PHASES, oc.PHASES, ev.PHASES])
+def test_unfolding_bars_of_coverage_is_compiled(spark, phases):
+    """The JVM interprets methods over 8,000 bytes, which took half of the time of unfolded bars."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        x = events.Inputs(spark, SF)
+        sizes = methods(x.unfolded(*phases)(None)) + methods(ev.with_bar_texts(x.events, x.unfolded(*phases), phases, "rows"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000
